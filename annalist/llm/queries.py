@@ -11,6 +11,21 @@ from annalist.llm.common import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annalist.llm import host_rules
+
+    return host_rules.judge(read(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annalist.llm import chat
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
+    return chat.digest(rows.unionByName(extra))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +34,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Query] = {"op8_byte_bpe": op8_byte_bpe}
+QUERIES: dict[str, Query] = {
+    "op5_host_rules": op5_host_rules,
+    "op7_chat_format": op7_chat_format,
+    "op8_byte_bpe": op8_byte_bpe,
+}
 
 ORACLE_SQL: dict[str, str] = {}
