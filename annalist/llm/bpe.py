@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import blocks, column, id_text
 
-#: Encoded pieces that one Python worker remembers; beyond that it starts anew.
-CACHE_PIECES = 600_000
+#: Encoded pieces and words that one Python worker remembers; beyond that it starts anew.
+CACHE_PIECES, CACHE_WORDS = 150_000, 300_000
 #: Pieces taken from a text at once, so that a very long text never becomes one list.
 PIECES_AT_ONCE = 1 << 17
 #: Longer texts take the way that holds only some pieces at a time.
@@ -203,7 +203,7 @@ class Encoder:
         """
         plain = {i: t.split(" ") for i, t in enumerate(texts) if len(t) <= PLAIN_CHARS and t and not RUNS.search(t)}
         new = set().union(*plain.values()).difference(self.words)
-        if len(self.words) + len(new) > CACHE_PIECES:
+        if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
             new = set().union(*plain.values())
         split = {w: self.split.findall(" " + w) for w in new}
@@ -228,7 +228,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
-        for block in blocks(batches, limit=8 << 20):
+        for block in blocks(batches, limit=3 << 20):
             ids = own.encode([t or "" for t in column(block, "text").to_pylist()])
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
