@@ -84,3 +84,20 @@ def data_path(sf_dir: str, name: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(data_path(sf_dir, name))
+
+
+def append(df: DataFrame, start, added: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """``df`` with further columns, computed block by block in Arrow.
+
+    ``start()`` runs once a task and gives a function from a block to the arrays of ``added``. The rows keep their
+    order and all their columns; ``df`` has a string column ``text``.
+    """
+    names = [c for c in df.columns] + [x.split()[0] for x in added.split(", ")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for block in blocks(batches, limit=limit):
+            yield pa.RecordBatch.from_arrays([*block.columns, *make(block)], names)
+
+    return df.mapInArrow(run, f"{fields}, {added}")

@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annalist.llm.common import read
+from annalist.llm.common import read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annalist.llm import toxicity
+
+    held = lambda i: remainder(i, 3) == 1
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held, ~held(F.col("doc_id")))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annalist.llm import host_rules
 
@@ -34,10 +42,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annalist.llm import langid
+
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
     "op5_host_rules": op5_host_rules,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
