@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,12 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget plans that are done with; only then do executors delete their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo ``n``; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1))

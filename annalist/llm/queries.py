@@ -12,6 +12,12 @@ from annalist.llm.common import read, remainder
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annalist.llm import ngram_join
+
+    return ngram_join.join_components(read(spark, sf_dir, "documents"), words=4, share=85)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annalist.llm import toxicity
 
@@ -49,6 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op5_host_rules": op5_host_rules,
     "op7_chat_format": op7_chat_format,
