@@ -25,6 +25,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held, ~held(F.col("doc_id")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annalist.llm import suffix_dedup
+
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annalist.llm import host_rules
 
@@ -57,6 +63,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_host_rules": op5_host_rules,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
