@@ -10,8 +10,11 @@ Partitions where a set has no element say nothing and are not signed, unless a s
 partitions or fewer, when it signs the empty ones too; so no pair is lost (see ``signatures``).
 
 Sets that share a signature are candidates. Candidates are linked to the least set of their bucket, not to each
-other; the components of these links hold every candidate pair. Each component is verified exactly, large ones cut
-into pairs of blocks over many tasks, by counting common shingles; of the links found a spanning forest goes on.
+other; the components of these links hold every candidate pair. Signatures of different bands never meet, so a set
+is one node for each of its two bands and a component holds sets of like size. Components are first thinned out by
+sketches (how many hashes fall in each of ``SKETCH`` ranges: the counts of two sets differ by no more than the
+sets do), then verified exactly by counting common shingles. Large components are cut into pairs of blocks over
+many tasks; of the links found a spanning forest goes on.
 
 Defined results: lower-cases A-Z only; fewer words than a shingle are one shingle; null, empty or blank texts have
 none and link with nothing; equal sets are one node, so copies are not expanded; repeated ids stay repeated rows;
@@ -21,7 +24,7 @@ another 64-bit hash and their size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +40,10 @@ SPARE = 4
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 400_000
 #: Shingles that one verifying task holds, about.
-BLOCK_SHINGLES = 1_000_000
-TILE = 256
+BLOCK_SHINGLES = 2_000_000
+#: Nodes that one thinning task holds, about.
+BLOCK_NODES = 8_192
+TILE, SKETCH = 256, 64
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,6 +80,13 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Elements in each range of the domain, as 16-bit counts; a count cut off at the top differs by less, not more."""
+    edges = np.arange(1, SKETCH, dtype=np.uint64) * np.uint64(2**64 // SKETCH)
+    counts = np.diff(np.concatenate(([0], np.searchsorted(h, edges), [len(h)])))
+    return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
+
+
 def set_id(h: np.ndarray) -> int:
     total = mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).reshape(1)
     return int((total + np.array([len(h)], np.uint64) * MIX2).astype(np.int64)[0])
@@ -99,8 +111,8 @@ class PartEnum:
         most = self.starts[band + 1] - 1
         return 2 * most * (100 - self.share) // (100 + self.share)
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set, in its own band and in the next.
+    def signatures(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Signatures of a sorted set in its own band and, as the smaller partner, in the next.
 
         Of ``k + SPARE`` partitions at most ``k`` hold a difference. A set with elements in more than ``k``
         partitions so agrees with each similar set in one where it has elements. A pair without such a set has two
@@ -117,112 +129,161 @@ class PartEnum:
             held = np.diff(cuts) > 0
             if held.sum() <= k:
                 held[:] = True
-            out.append(mix(mix(part * MIX2 + np.uint64(1)) + sums[cuts[1:]] - sums[cuts[:-1]])[held])
-        return np.concatenate(out).astype(np.int64)
+            out.append((band, mix(mix(part * MIX2 + np.uint64(1)) + sums[cuts[1:]] - sums[cuts[:-1]])[held].astype(np.int64)))
+        return out
+
+
+def node(sid: int, band: int) -> int:
+    """A set in a band, as one number."""
+    return (sid ^ (band * 0x9E3779B97F4A7C15 & 2**63 - 1)) if band else sid
 
 
-def describe(df: DataFrame, words: int) -> DataFrame:
-    """doc_id, set id (null for an empty set) and set size of every row."""
+def describe(df: DataFrame, words: int, share: int) -> DataFrame:
+    """doc_id, set id (null for an empty set), set size, and the set's nodes in its own band and in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enum = PartEnum(share)
         for block in blocks(batches):
             sets = [shingles(t, words) for t in as_bytes(block)]
             sid = [set_id(h) if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), pa.array(sid, pa.int64()), pa.array([len(h) for h in sets], pa.int64())], ["doc_id", "sid", "n"])
+            bands = [enum.band(len(h)) if len(h) else 0 for h in sets]
+            nodes = [[None if i is None else node(i, b + k) for i, b in zip(sid, bands)] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [column(block, "doc_id"), *(pa.array(x, pa.int64()) for x in (sid, [len(h) for h in sets], *nodes)), pa.array(map(sketch, sets), pa.binary())], ["doc_id", "sid", "n", "own", "next", "sketch"]
+            )
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, sid long, n long")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, sid long, n long, own long, next long, sketch binary")
 
 
 def signed(df: DataFrame, words: int, share: int) -> DataFrame:
-    """(sig, sid) of every set; a set that a task has signed before is not signed again."""
+    """(sig, node) of every set; a set that a task has signed before is not signed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum, seen = PartEnum(share), set()
-        for block in blocks(batches):
-            sigs, sids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for block in blocks(batches, limit=1 << 20):
+            sigs, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text in as_bytes(block):
                 h = shingles(text, words)
                 if len(h) and (sid := set_id(h)) not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(sid)
-                    sigs.append(enum.signatures(h))
-                    sids.append(np.full(len(sigs[-1]), sid, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sids))], ["sig", "sid"])
-
-    return df.select("text").mapInArrow(run, "sig long, sid long")
-
-
-def links_within(sets: list[np.ndarray], share: int, cross: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs among ``sets``; with ``cross`` only of pairs of different blocks."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    size = np.array([len(sets[i]) for i in order])
-    root = list(range(len(sets)))
+                    for band, found in enum.signatures(h):
+                        sigs.append(found)
+                        nodes.append(np.full(len(found), node(sid, band), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+
+    return df.select("text").mapInArrow(run, "sig long, node long")
+
+
+Hits = Callable[[slice, slice], np.ndarray]
+
+
+def forest(size: np.ndarray, share: int, small: np.ndarray, cross: np.ndarray | None, hits: Hits) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that ``hits`` finds among sets of ascending ``size``, tile by tile.
+
+    Pairs of two ``small`` sets are left to their own band; with ``cross`` only pairs of different blocks count.
+    """
+    label, out, n = np.arange(len(size)), [], len(size)
+    for a in range(0, n, TILE):
+        x = slice(a, min(a + TILE, n))
+        for b in range(a, n, TILE):
+            y = slice(b, min(b + TILE, n))
+            if 100 * size[x.stop - 1] < share * size[b]:
+                break  # no later set can be similar to one of this tile
+            hit = hits(x, y) & ~(small[x, None] & small[None, y])
+            if cross is not None:
+                hit &= cross[x, None] != cross[None, y]
+            for p in (np.flatnonzero(hit.any(1)) + a).tolist():
+                q = np.flatnonzero(hit[p - a]) + b
+                for k in q[(q > p) & (label[q] != label[p])].tolist():
+                    if label[k] != label[p]:
+                        label[label == label[k]] = label[p]
+                        out.append((p, k))
+    return out
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def similar(sets: list[np.ndarray], share: int) -> Hits:
+    """Which pairs of sets reach the threshold, by their common shingles."""
     # Only shingles of two sets or more can be common; they are numbered.
-    flat = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(np.arange(len(order)), size)
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
     by = np.argsort(flat, kind="stable")
     same = flat[by][1:] == flat[by][:-1]
     again = np.append(same, False) | np.append(False, same)
-    number = np.cumsum(np.append(True, ~same)) - 1
-    feature, owner = number[again], owner[by][again]
+    feature, owner = (np.cumsum(np.append(True, ~same)) - 1)[again], owner[by][again]
     by = np.argsort(owner, kind="stable")
     feature, owner = feature[by], owner[by]
-    at = np.searchsorted(owner, np.arange(len(order) + 1))
-    out = []
-    for a in range(0, len(order), TILE):
-        a_end = min(a + TILE, len(order))
-        fa, oa = feature[at[a] : at[a_end]], owner[at[a] : at[a_end]] - a
-        used = np.unique(fa)
-        for b in range(a, len(order), TILE):
-            b_end = min(b + TILE, len(order))
-            if 100 * size[a_end - 1] < share * size[b]:
-                break  # sizes ascend: no later set can be similar to one of this tile
-            fb, ob = feature[at[b] : at[b_end]], owner[at[b] : at[b_end]] - b
-            place = np.searchsorted(used, fb)
-            ok = (place < len(used)) & (used[np.minimum(place, len(used) - 1)] == fb) if len(used) else np.zeros(len(fb), bool)
-            common = np.zeros((a_end - a, b_end - b), np.float32)
-            ca, cb, pb = np.searchsorted(used, fa), place[ok], ob[ok]
-            for lo in range(0, len(used), 8192):
-                x, y = np.zeros((a_end - a, 8192), np.float32), np.zeros((b_end - b, 8192), np.float32)
-                m = (ca >= lo) & (ca < lo + 8192)
-                x[oa[m], ca[m] - lo] = 1
-                m = (cb >= lo) & (cb < lo + 8192)
-                y[pb[m], cb[m] - lo] = 1
-                common += x @ y.T
-            both = size[a:a_end, None] + size[None, b:b_end] - common
-            i, j = np.nonzero(100 * common >= share * both)
-            for p, q in zip((i + a).tolist(), (j + b).tolist()):
-                if p < q and (cross is None or cross[order[p]] != cross[order[q]]):
-                    r, s = find(p), find(q)
-                    if r != s:
-                        root[s] = r
-                        out.append((order[p], order[q]))
-    return out
+    at = np.searchsorted(owner, np.arange(len(sets) + 1))
+
+    def hits(x: slice, y: slice) -> np.ndarray:
+        fx, ox = feature[at[x.start] : at[x.stop]], owner[at[x.start] : at[x.stop]] - x.start
+        fy, oy = feature[at[y.start] : at[y.stop]], owner[at[y.start] : at[y.stop]] - y.start
+        used = np.intersect1d(fx, fy)
+        place = [np.searchsorted(used, f) for f in (fx, fy)]
+        common = np.zeros((x.stop - x.start, y.stop - y.start), np.float32)
+        ok = [used[np.minimum(k, len(used) - 1)] == f for k, f in zip(place, (fx, fy))] if len(used) else []
+        for lo in range(0, len(used), 8192):
+            dense = []
+            for k, o, good, n in zip(place, (ox, oy), ok, common.shape):
+                m = good & (k >= lo) & (k < lo + 8192)
+                dense.append(np.zeros((n, min(8192, len(used) - lo)), np.float32))
+                dense[-1][o[m], k[m] - lo] = 1
+            common += dense[0] @ dense[1].T
+        return 100 * common >= share * (size[x, None] + size[None, y] - common)
+
+    return hits
+
+
+def near(counts: np.ndarray, size: np.ndarray, share: int) -> Hits:
+    """Which pairs of sets their sketches leave possible."""
+
+    def hits(x: slice, y: slice) -> np.ndarray:
+        apart = np.abs(counts[x, None, :] - counts[None, y, :]).sum(-1, dtype=np.int32)
+        return apart * (100 + share) <= (size[x, None] + size[None, y]) * (100 - share)
+
+    return hits
+
+
+def placed(members: DataFrame, weight: str, limit: int) -> DataFrame:
+    """``members`` (with comp and node) with key, block and pair: whole components in shared bins, large ones as pairs of blocks.
+
+    A member of a large component is a row for each pair of blocks that its own is in.
+    """
+    parts = members.groupBy(F.col("comp").alias("of_comp")).agg(F.ceil(F.sum(weight) / limit).cast("long").alias("parts"))
+    total = members.agg(F.sum(F.col(weight).cast("long"))).first()[0] or 0
+    bins = int(total // limit * 4 + 24)
+    out = members.join(parts, F.col("comp") == F.col("of_comp")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
+    out = out.withColumn("with", F.explode(F.when(F.col("parts") == 1, F.array("block")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    none = F.lit(-1).cast("long")
+    key = F.when(F.col("parts") == 1, F.struct(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("k"), none.alias("i"), none.alias("j")))
+    key = key.otherwise(F.struct(F.col("comp").alias("k"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")))
+    return out.withColumn("key", key).withColumn("pair", F.col("key.i") != F.col("key.j")).drop("parts", "of_comp", "with")
+
 
+def by_component(group: pa.Table) -> Iterator[np.ndarray]:
+    """Rows of each component in a group, by ascending size, each node once."""
+    comp, node, n = (group.column(c).to_numpy() for c in ("comp", "node", "n"))
+    order = np.lexsort((node, n, comp))
+    order = order[np.append(True, (comp[order][1:] != comp[order][:-1]) | (node[order][1:] != node[order][:-1]))]
+    cuts = np.append(np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1])), len(order))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield order[lo:hi]
 
-def verified(df: DataFrame, words: int, share: int) -> DataFrame:
-    """``df``: key, comp, pair (true if two blocks meet), block, sid, text. Links (a, b) of a spanning forest."""
+
+def linked(df: DataFrame, share: int, payload: str, out: str, prepare: Callable[[list[bytes], np.ndarray], Hits]) -> DataFrame:
+    """Forest links (a, b), in terms of the column ``out``, of the pairs that ``prepare(payloads, sizes)`` finds."""
 
     def run(group: pa.Table) -> pa.Table:
-        comp, block, sid, pair = (group.column(c).to_numpy() for c in ("comp", "block", "sid", "pair"))
-        text = group.column("text").cast(pa.binary()).to_pylist()
+        block, pair, small, n, name = (group.column(c).to_numpy() for c in ("block", "pair", "small", "n", out))
+        held = group.column(payload).cast(pa.binary()).combine_chunks()
         a, b = [], []
-        order = np.argsort(comp, kind="stable")
-        cuts = np.append(np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1])), len(order))
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            rows = order[lo:hi].tolist()
-            sets = [shingles(text[i] or b"", words) for i in rows]
-            for p, q in links_within(sets, share, block[rows] if pair[rows[0]] else None):
-                a.append(int(sid[rows[p]]))
-                b.append(int(sid[rows[q]]))
+        for rows in by_component(group):
+            payloads = [x or b"" for x in held.take(pa.array(rows)).to_pylist()]
+            for p, q in forest(n[rows], share, small[rows], block[rows] if pair[rows[0]] else None, prepare(payloads, n[rows])):
+                a.append(int(name[rows[p]]))
+                b.append(int(name[rows[q]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return df.groupBy("key").applyInArrow(run, "a long, b long")
@@ -232,28 +293,30 @@ def join_components(df: DataFrame, words: int = 4, share: int = 85, id_col: str
     """doc_id, n_shingles and component_id (least doc_id reachable by links of ``share`` hundredths or more)."""
     spark = df.sparkSession
     df = id_text(df, id_col, text_col)
-    docs = table(describe(df, words), "ngram-sets")
-    sets = docs.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    # Each set is a candidate of the least set in its bucket.
-    first = F.min("sid").over(Window.partitionBy("sig").orderBy("sid"))
-    star = table(signed(df, words, share).withColumn("least", first).filter("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")).distinct(), "ngram-candidates")
+    docs = table(describe(df, words, share), "ngram-sets")
+    # Each node is a candidate of the least node in its bucket.
+    first = F.min("node").over(Window.partitionBy("sig").orderBy("node"))
+    star = signed(df, words, share).withColumn("least", first).filter("node <> least")
+    star = table(star.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "ngram-candidates")
     release(spark)
-    groups = components(star, "ngram-groups")
-    members = table(groups.join(sets, groups["node"] == sets["sid"]).select("comp", "sid", "rep", "n"), "ngram-members")
-    parts = members.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts"))
-    total = members.agg(F.sum("n")).first()[0] or 0
-    bins = int(total // BLOCK_SHINGLES * 2 + 12)
-    placed = members.join(parts.withColumnRenamed("comp", "of"), F.col("comp") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts")))
-    # A small component is one row a set in a shared bin; a large one sends each set to every pair that its block is in.
-    meets = F.explode(F.when(F.col("parts") == 1, F.array(F.col("block"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("with")
-    placed = placed.select("comp", "sid", "rep", "parts", "block", meets)
-    key = F.when(F.col("parts") == 1, F.struct(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("k"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
-    key = key.otherwise(F.struct(F.col("comp").alias("k"), F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")))
-    placed = placed.select(key.alias("key"), "comp", (F.col("parts") > 1).alias("multi"), "block", "with", "sid", "rep")
+    groups = components(star, "ngram-groups").withColumnRenamed("node", "of_node")
+    sets = docs.filter("sid IS NOT NULL").groupBy("sid").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "own", "next", "sketch")))
+    roles = F.explode(F.array(F.struct(F.col("own").alias("node"), F.lit(False).alias("small")), F.struct(F.col("next").alias("node"), F.lit(True).alias("small"))))
+    nodes = sets.select("sid", F.col("doc_id").alias("rep"), "n", "sketch", roles.alias("x")).select("sid", "rep", "n", "sketch", "x.*")
+    members = table(groups.join(nodes, F.col("of_node") == F.col("node")).drop("of_node").withColumn("one", F.lit(1)), "ngram-members")
+
+    def thin(payloads: list[bytes], n: np.ndarray) -> Hits:
+        return near(np.frombuffer(b"".join(payloads), np.uint16).reshape(-1, SKETCH).astype(np.int32), n, share)
+
+    possible = table(linked(placed(members, "one", BLOCK_NODES), share, "sketch", "node", thin), "ngram-possible")
+    groups = components(possible, "ngram-thinned").withColumnRenamed("node", "of_node").withColumnRenamed("comp", "to_comp")
+    members = table(members.join(groups, F.col("of_node") == F.col("node")).select(F.col("to_comp").alias("comp"), "node", "sid", "rep", "n", "small"), "ngram-thin-members")
     texts = df.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    pairs = placed.join(texts, placed["rep"] == texts["id"]).dropDuplicates(["key", "comp", "sid"])
-    links = verified(pairs.select("key", "comp", (F.col("multi") & (F.col("key.i") != F.col("key.j"))).alias("pair"), "block", "sid", "text"), words, share)
-    found = components(table(links, "ngram-links"), "ngram-components").withColumnRenamed("node", "of_sid")
+    with_text = placed(members, "n", BLOCK_SHINGLES).join(texts, F.col("rep") == F.col("id")).drop("id", "rep")
+    exact = linked(with_text, share, "text", "sid", lambda payloads, n: similar([shingles(t, words) for t in payloads], share))
+    links = table(exact, "ngram-links")
+    release(spark)
+    found = components(links, "ngram-components").withColumnRenamed("node", "of_sid")
     label = docs.join(found, docs["sid"] == found["of_sid"], "left").select("doc_id", "n", F.coalesce("comp", "sid").alias("c"))
     label = table(label, "ngram-labels")
     least = label.filter("c IS NOT NULL").groupBy(F.col("c").alias("of_c")).agg(F.min("doc_id").alias("m"))
