@@ -62,9 +62,15 @@ TABLE = byte_table()
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and where each text ends among them."""
-    data = TABLE[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    if (data >= 0xC4).any():  # letters beyond Latin-1 that may have a lower case
+        texts = [t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    upper = np.append(False, (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))
+    data = TABLE[data]
+    data[upper] |= 0x20
     up, back = powers(len(data))
     inside = data != 0
     edge = np.flatnonzero(np.append(inside[0], inside[1:] != inside[:-1]))
