@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.llm import licenses
 from annalist.llm.common import read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read(spark, sf_dir, "documents"), words=4, share=85)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annalist.llm import toxicity
 
@@ -37,6 +42,12 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annalist.llm import secrets
+
+    return secrets.digest(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annalist.llm import chat
 
@@ -68,13 +79,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_licenses": op2_licenses,
     "op3_toxicity": op3_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_host_rules": op5_host_rules,
+    "op6_secrets": op6_secrets,
     "op7_chat_format": op7_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle()}
