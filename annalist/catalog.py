@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from annalist.plans import scoring_queries
+
+AREAS = (scoring_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for area in AREAS for k, f in area.R.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: s for area in AREAS for k, s in area.R.sql.items()}
 FLAGSHIP = "bucket_rollup"
