@@ -12,8 +12,8 @@ partitions or fewer, when it signs the empty ones too; so no pair is lost (see `
 Sets that share a signature are candidates. Candidates are linked to the least set of their bucket, not to each
 other; the components of these links hold every candidate pair. Signatures of different bands never meet, so a set
 is one node for each of its two bands and a component holds sets of like size. Components are first thinned out by
-sketches (how many hashes fall in each of ``SKETCH`` ranges: the counts of two sets differ by no more than the
-sets do), then verified exactly by counting common shingles. Large components are cut into pairs of blocks over
+sketches (how many hashes fall in each of ``SKETCH`` ranges, eight times as many for sets of ``FINE`` elements or
+more: the counts of two sets differ by no more than the sets do), then verified exactly by counting common shingles. Large components are cut into pairs of blocks over
 many tasks; of the links found a spanning forest goes on.
 
 Defined results: lower-cases A-Z only; fewer words than a shingle are one shingle; null, empty or blank texts have
@@ -38,12 +38,12 @@ from annalist.llm.components import components
 
 SPARE = 4
 #: Words whose hashes a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Shingles that one verifying task holds, about.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_500_000
 #: Nodes that one thinning task holds, about.
 BLOCK_NODES = 8_192
-TILE, SKETCH = 256, 64
+TILE, SKETCH, FINE = 256, 64, 1_000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -82,7 +82,8 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 def sketch(h: np.ndarray) -> bytes:
     """Elements in each range of the domain, as 16-bit counts; a count cut off at the top differs by less, not more."""
-    edges = np.arange(1, SKETCH, dtype=np.uint64) * np.uint64(2**64 // SKETCH)
+    n = SKETCH * 8 if len(h) >= FINE else SKETCH
+    edges = np.arange(1, n, dtype=np.uint64) * np.uint64(2**64 // n)
     counts = np.diff(np.concatenate(([0], np.searchsorted(h, edges), [len(h)])))
     return np.minimum(counts, 65_535).astype(np.uint16).tobytes()
 
@@ -165,7 +166,7 @@ def signed(df: DataFrame, words: int, share: int) -> DataFrame:
             for text in as_bytes(block):
                 h = shingles(text, words)
                 if len(h) and (sid := set_id(h)) not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
                     seen.add(sid)
                     for band, found in enum.signatures(h):
@@ -240,7 +241,7 @@ def near(counts: np.ndarray, size: np.ndarray, share: int) -> Hits:
     """Which pairs of sets their sketches leave possible."""
 
     def hits(x: slice, y: slice) -> np.ndarray:
-        apart = np.abs(counts[x, None, :] - counts[None, y, :]).sum(-1, dtype=np.int32)
+        apart = np.array([np.abs(counts[y] - row).sum(1, dtype=np.int32) for row in counts[x]])
         return apart * (100 + share) <= (size[x, None] + size[None, y]) * (100 - share)
 
     return hits
@@ -306,7 +307,10 @@ def join_components(df: DataFrame, words: int = 4, share: int = 85, id_col: str
     members = table(groups.join(nodes, F.col("of_node") == F.col("node")).drop("of_node").withColumn("one", F.lit(1)), "ngram-members")
 
     def thin(payloads: list[bytes], n: np.ndarray) -> Hits:
-        return near(np.frombuffer(b"".join(payloads), np.uint16).reshape(-1, SKETCH).astype(np.int32), n, share)
+        counts = [np.frombuffer(x, np.uint16).astype(np.int32) for x in payloads]
+        if min(map(len, counts)) < max(map(len, counts)):
+            counts = [c.reshape(SKETCH, -1).sum(1) for c in counts]
+        return near(np.array(counts), n, share)
 
     possible = table(linked(placed(members, "one", BLOCK_NODES), share, "sketch", "node", thin), "ngram-possible")
     groups = components(possible, "ngram-thinned").withColumnRenamed("node", "of_node").withColumnRenamed("comp", "to_comp")
