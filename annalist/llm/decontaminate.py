@@ -34,7 +34,7 @@ WINDOW, STRIDE = 24, 6
 RANK, EXTRA, SEED = 48, 8, 7
 FIT_PASSAGES, BLOCK_ITEMS = 20_000, 10_000
 #: Least share of a window's weight in benchmark words, and least cosine.
-GATE, COSINE = 0.2, 0.5
+GATE, COSINE = 0.35, 0.75
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8
 BASE = 0xD6E8FEB86659FD93
 BASE_BACK = pow(BASE, -1, 2**64)
@@ -220,6 +220,7 @@ class Searcher:
     def __init__(self, index: Index):
         self.x = index
         self.weights = [index.idf[bucket(h)] for h in index.items]
+        self.pairs = [list(zip(h.tolist(), w.tolist())) for h, w in zip(index.items, self.weights)]
         self.inside = (index.vocabulary >= 0).astype(np.float64)
 
     def search(self, texts: list[bytes]) -> list[list[dict]]:
@@ -270,7 +271,8 @@ class Searcher:
         for cosine, s, e in regions:
             lo, hi = max(begin, s - room), min(end, e + room)
             region = h[lo:hi]
-            if float(weight[np.isin(own, region)].sum()) < LIKELY * total:
+            there = set(region.tolist())
+            if sum(w for x, w in self.pairs[item] if x in there) < LIKELY * total:
                 continue  # no subsequence can carry more than the words that are there
             share = common_weight(own, region, weight) / max(total, 1e-9)
             if share < LIKELY or (share < SURE and not self.answered(item, region)):
