@@ -49,8 +49,8 @@ DOUBLE = re.compile(r"(.)\1+")
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 HIDDEN = re.compile("[​-‏⁠﻿­]")
 FRONT, BACK = ".,;:\"'[]{}>#%&*-_=?~`^/\\", ".,;:\"'()[]{}<>#%&*-_=?!~`^/\\|$+@"
-#: Only words in so many toxic rows enter the lexicon.
-LEAST_ROWS = 2
+#: Only words in so many toxic rows, and so much likelier in toxic rows, enter the lexicon.
+LEAST_ROWS, LEAST_LIFT = 3, 3.0
 #: Tokens that one Python worker remembers.
 CACHE_TOKENS = 400_000
 TOP = 3
@@ -262,8 +262,9 @@ def fit(df: DataFrame, labels: DataFrame, train: Column) -> Model:
         yield rows_held()
 
     words = rows.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counted = {r["f"]: (r["n1"], r["n0"]) for r in words.filter(F.col("n1") >= LEAST_ROWS).filter("n1 > 0.02 * n0").collect()}
     n1, n0 = (min(sizes[y], ROWS_PER_CLASS) for y in (1, 0))
+    strong = words.filter((F.col("n1") >= LEAST_ROWS) & (F.col("n1") > LEAST_LIFT * n1 / n0 * F.col("n0"))).toArrow()
+    counted = dict(zip(strong.column("f").to_pylist(), zip(strong.column("n1").to_pylist(), strong.column("n0").to_pylist())))
     counts = df.sparkSession.sparkContext.broadcast(counted)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,11 +286,12 @@ def fit(df: DataFrame, labels: DataFrame, train: Column) -> Model:
                 out.append(evidence(best, len(tokens)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), pa.array(ys, pa.int32())], ["x", "y"])
 
-    got = rows.mapInArrow(measure, "x array<double>, y int").collect()
-    if not got:
+    got = rows.mapInArrow(measure, "x array<double>, y int").toArrow()  # 2 x ROWS_PER_CLASS rows
+    if not got.num_rows:
         return Model(language, {}, [])
-    got.sort(key=lambda r: (r["y"], r["x"]))
-    x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
+    x, y = np.array(got.column("x").to_pylist()), got.column("y").to_numpy().astype(float)
+    order = np.lexsort((*x.T, y))
+    x, y = x[order], y[order]
     weight = np.where(y == 1, sizes[1] / n1, sizes[0] / n0)
     lexicon = {f: float(w) for f, (a, b) in counted.items() if (w := log_odds(a, b, n1, n0)) > 0}
     return Model(language, lexicon, logistic(x, y, weight / weight.mean()))
