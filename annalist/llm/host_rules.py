@@ -106,3 +106,25 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left")
     kept = ~F.col("base_failed") & ~own_failed & ~F.coalesce("host_failed", F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
+def oracle() -> str:
+    """What ``judge`` must return over documents, in DuckDB; windows are compared as texts."""
+    fails = {"few_words": f"n_words < {MIN_WORDS}", "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words", "symbols": f"100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words", "dup_lines": f"100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines"}
+    sums = ", ".join(f"sum(CAST({c} AS INT)) AS f_{r}" for r, c in fails.items())
+    over = ", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, var_pop(f_{r} / n) AS v_{r}" for r in RULES)
+    weight = lambda r: f"CASE WHEN v_{r} > 0 THEN greatest({PRIOR_LEAST}, least({PRIOR_MOST}, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE {PRIOR_MOST} END"
+    host = " OR ".join(f"(f_{r} + m_{r} * ({weight(r)})) / (n + ({weight(r)})) > {MAX_HOST_RATE}" for r in RULES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+t AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+p AS (SELECT r, i, string_agg(word, ' ') OVER ahead AS gram, count(*) OVER ahead AS c FROM t WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW_WORDS - 1} FOLLOWING)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS k FROM p WHERE c = {WINDOW_WORDS}),
+rep AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + {WINDOW_WORDS})) AS pos FROM g WHERE k > 1) x GROUP BY r),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+ln AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+m AS (SELECT d.doc_id, d.source, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars, CAST(length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(ln.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(ln.n_lines, 0) AS n_lines FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
+h AS (SELECT source, count(*) AS n, {sums} FROM m GROUP BY source), o AS (SELECT {over} FROM h), v AS (SELECT source, ({host}) AS host_failed FROM h, o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({fails["few_words"]}) OR ({fails["repeats"]}) AS base_failed, NOT ({" OR ".join(f"({c})" for c in fails.values())}) AND NOT host_failed AS kept
+FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source"""
