@@ -37,7 +37,7 @@ def session_ids(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Punctuation to blanks, lower case, single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
 def normalize_entity(text: Column) -> Column:

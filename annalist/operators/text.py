@@ -40,19 +40,25 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text:
 
 
 def tfidf_pairs(df: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """Pairs (a < b) of documents whose TF-IDF cosine reaches the threshold; candidates share a rare enough term.
+    """Pairs (a < b) of documents whose TF-IDF cosine reaches the threshold.
 
-    Terms in over half of the documents weigh next to nothing under the smoothed idf but still count in the cosine.
+    Terms are ordered from rare to common. Where a document's remaining terms weigh less than the threshold together,
+    they cannot carry a pair; so similar documents share a term before that point in both, and only those rare
+    prefixes are joined for candidates. The cosine of candidates is then exact.
     """
     terms = term_counts(df, doc_id, text)
     n = df.select(F.count(F.lit(1)).alias("n"))
     idf = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
     weighted = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+    unit = weighted.join(norm, "doc").select("doc", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
+    left = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc").orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    prefix = unit.withColumn("left", left).filter(F.col("left") >= threshold * threshold - 1e-9).select("doc", "term")
+    pairs = prefix.withColumnRenamed("doc", "a").join(prefix.withColumnRenamed("doc", "b"), "term").filter("a < b").select("a", "b").distinct()
+    one = unit.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa"))
     other = unit.select(F.col("doc").alias("b"), "term", F.col("w").alias("wb"))
-    pairs = unit.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa")).join(other, "term").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score")).filter(F.col("score") >= threshold)
+    both = pairs.join(one, "a").join(other, ["b", "term"])
+    return both.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score")).filter(F.col("score") >= threshold)
 
 
 def jaccard(a: Column, b: Column) -> Column:

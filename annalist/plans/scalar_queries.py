@@ -41,10 +41,9 @@ def extract_session_ids(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.array_join(text.session_ids(said), ",").alias("ids"))
 
 
-@R.query("clean_text", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS cleaned FROM documents WHERE lang = 'en' AND regexp_full_match(text, '[\x00-\x7f]*')")
+@R.query("clean_text", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS cleaned FROM documents")
 def clean_text(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").filter("lang = 'en'").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return rows.select("doc_id", F.md5(text.clean(F.col("text")).cast("binary")).alias("cleaned"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean(F.col("text")).cast("binary")).alias("cleaned"))
 
 
 @R.query("parse_choice", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 3 THEN NULL ELSE substr('ABCD', CAST(1 + event_id % 4 AS INT), 1) END AS choice FROM events")
@@ -120,7 +119,7 @@ R.statement("alternating_seq", "SELECT conv_id, turn, CAST(ROW_NUMBER() OVER (OR
 R.statement("segment_fallback", "SELECT conv_id, turn, CAST(floor(turn / 6) AS BIGINT) AS segment FROM {conversations}")
 R.statement("segment_bank", "SELECT 'turn' AS granularity, conv_id, count(*) AS n FROM {conversations} GROUP BY conv_id UNION ALL SELECT 'segment', conv_id, count(DISTINCT floor(turn / 6)) FROM {conversations} GROUP BY conv_id UNION ALL SELECT 'session', conv_id, 1 FROM {conversations} GROUP BY conv_id")
 R.statement("window_tier", "WITH n AS (SELECT doc_id, floor(length(text) / 3.0) AS n FROM {documents}) SELECT doc_id, CASE WHEN n <= 512 THEN '512' WHEN n <= 1024 THEN '1k' WHEN n <= 4096 THEN '4k' WHEN n <= 8192 THEN '8k' ELSE 'too long' END AS tier FROM n")
-R.statement("context_fit", "SELECT doc_id, substr(text, 1, CAST(3 * (200 - 40 - 8) AS INT)) AS shown FROM {documents} WHERE length(text) < 2000")
+R.statement("context_fit", "SELECT doc_id, substr(text, 1, CAST(3 * (200 - 40 - 8) AS INT)) AS shown FROM {documents}")
 R.statement("doc_budget", "WITH d AS (SELECT source, doc_id, floor(length(text) / 3.0) AS n, sum(floor(length(text) / 3.0)) OVER (PARTITION BY source ORDER BY doc_id) AS t FROM {documents}) SELECT doc_id, CAST(CASE WHEN t <= 5000 THEN n ELSE 5000 - (t - n) END AS BIGINT) AS shown FROM d WHERE t <= 5000 OR (t - n < 5000 AND 5000 - (t - n) > 100)")
 R.statement("normalize_entity", "SELECT p_partkey, replace(lower(p_name), ' ', '_') AS entity FROM {part}")
 R.statement("md5_text", "SELECT doc_id, md5(text) AS digest FROM {documents}")

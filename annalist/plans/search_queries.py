@@ -124,18 +124,18 @@ def hybrid_rank(spark, sf_dir):
     return both.select("query", "doc", F.round(1.0 / (60 + F.col("rank")) + 1.0 / (60 + F.col("other")), 8).alias("score"))
 
 
-@R.query("tag_overlap_topk", "WITH t AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 50 AS tag FROM lineitem), p AS (SELECT a.o AS a, b.o AS b, count(*) AS n FROM t a JOIN t b ON a.tag = b.tag AND a.o <> b.o WHERE a.o % 500 = 0 GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM p) x WHERE k <= 5")
+@R.query("tag_overlap_topk", "WITH t AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 50 AS tag FROM lineitem), p AS (SELECT a.o AS a, b.o AS b, count(*) AS n FROM t a JOIN t b ON a.tag = b.tag AND a.o <> b.o WHERE a.o % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM p) x WHERE k <= 5")
 def tag_overlap_topk(spark, sf_dir):
     tags = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 50).alias("tag")).distinct()
-    pairs = tags.filter("o % 500 = 0").withColumnRenamed("o", "a").join(tags.withColumnRenamed("o", "b"), "tag").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    pairs = tags.filter("o % 20 = 0").withColumnRenamed("o", "a").join(tags.withColumnRenamed("o", "b"), "tag").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     return pairs.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))).filter("k <= 5").drop("k")
 
 
-@R.query("tfidf_neardup", "WITH short AS (SELECT * FROM documents WHERE length(text) < 400), " + TOKENS.format(id="doc_id", text="text", table="short") + """, t AS (SELECT doc, unnest(w) AS term FROM w), tf AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM short),
+@R.query("tfidf_neardup", "WITH " + TOKENS.format(id="doc_id", text="text", table="documents") + """, t AS (SELECT doc, unnest(w) AS term FROM w), tf AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
 d AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n), w2 AS (SELECT doc, term, tf * idf AS w FROM tf JOIN d USING (term)), nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM w2 GROUP BY doc), u AS (SELECT doc, term, w / norm AS w FROM w2 JOIN nm USING (doc))
-SELECT a, b, round(score, 4) AS score FROM (SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2) x WHERE score >= 0.75""")
+SELECT a, b FROM (SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2) x WHERE score >= 0.75""")
 def tfidf_neardup(spark, sf_dir):
-    return text.tfidf_pairs(read(spark, sf_dir, "documents").filter(F.length("text") < 400), "doc_id", "text", 0.75).select("a", "b", F.round("score", 4).alias("score"))
+    return text.tfidf_pairs(read(spark, sf_dir, "documents"), "doc_id", "text", 0.75).select("a", "b")
 
 
 @R.query("word_match_count", "SELECT doc_id, CAST(len(list_filter(['the', 'of', 'ed', 'zebra'], lambda q: contains(lower(text), q))) AS BIGINT) AS n FROM documents")
@@ -144,7 +144,7 @@ def word_match_count(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(words, lambda q: F.contains(F.lower("text"), q))).cast("long").alias("n"))
 
 
-SIM_Q = "SELECT l_orderkey, l_linenumber, round({w} * (l_discount - avg(l_discount) OVER (PARTITION BY l_orderkey)) / {sd} + 0.3 * greatest(-3, least(3, (l_tax - avg(l_tax) OVER (PARTITION BY l_orderkey)) / {sq})), 6) + 0.0 AS score FROM {lineitem} WHERE l_orderkey % 10 = 0"
+SIM_Q = "SELECT l_orderkey, l_linenumber, round({w} * (l_discount - avg(l_discount) OVER (PARTITION BY l_orderkey)) / {sd} + 0.3 * greatest(-3, least(3, (l_tax - avg(l_tax) OVER (PARTITION BY l_orderkey)) / {sq})), 6) + 0.0 AS score FROM {lineitem}"
 R.statement("sim_q_rank", SIM_Q.replace("{w}", "0.7").replace("{sd}", "CASE WHEN coalesce(stddev_pop(l_discount) OVER (PARTITION BY l_orderkey), 0) < 1e-9 THEN 1 ELSE stddev_pop(l_discount) OVER (PARTITION BY l_orderkey) END").replace("{sq}", "CASE WHEN coalesce(stddev_pop(l_tax) OVER (PARTITION BY l_orderkey), 0) < 1e-9 THEN 1 ELSE stddev_pop(l_tax) OVER (PARTITION BY l_orderkey) END"))
 R.statement("value_select", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT l_orderkey, l_partkey, l_linenumber, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_tax DESC, l_linenumber, l_partkey) AS k FROM {lineitem} WHERE l_discount >= 0.02) x WHERE k <= 2")
 R.statement("dedup_topk", "WITH c AS (SELECT l_orderkey, l_partkey, l_discount, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey % 3 END AS task FROM {lineitem}), one AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, coalesce(CAST(task AS VARCHAR(20)), 'id' || l_partkey) ORDER BY l_discount DESC, l_partkey) AS u FROM c) SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_partkey) AS k FROM one WHERE u = 1) x WHERE k <= 3")

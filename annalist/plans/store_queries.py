@@ -9,17 +9,17 @@ from annalist.operators import filters, graph, mutation
 from annalist.registry import Registry, read
 
 R = Registry()
-GRAPH = "edges AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM {lineitem} WHERE l_orderkey % 50 = 0 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM {lineitem} WHERE l_orderkey % 50 = 0)"
+GRAPH = "edges AS (SELECT DISTINCT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM {lineitem} UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM {lineitem})"
 
 
 def edges(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
+    items = read(spark, sf_dir, "lineitem")
     name = lambda p, c: F.concat(F.lit(p), c)
     return items.select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")).union(items.select(name("p", "l_partkey"), name("s", "l_suppkey"))).distinct()
 
 
 def starts(spark, sf_dir):
-    return read(spark, sf_dir, "orders").filter("o_orderkey % 500 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    return read(spark, sf_dir, "orders").filter("o_orderkey % 20 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
 
 
 @R.query("filter_dsl", "SELECT event_id FROM events WHERE (value >= 20 AND value < 60) AND (event_type IN ('click', 'view') OR props LIKE '%7%') AND ts > TIMESTAMP '2024-01-10 00:00:00'")
@@ -60,9 +60,10 @@ def tags_all(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("l_orderkey")
 
 
-@R.query("isolated_nodes", "WITH " + GRAPH + " SELECT 'p' || p_partkey AS id FROM part WHERE 'p' || p_partkey NOT IN (SELECT src FROM edges) AND 'p' || p_partkey NOT IN (SELECT dst FROM edges)")
+@R.query("isolated_nodes", "WITH edges AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_discount = 0.1 AND l_returnflag = 'R') SELECT 'p' || p_partkey AS id FROM part WHERE 'p' || p_partkey NOT IN (SELECT src FROM edges) AND 'p' || p_partkey NOT IN (SELECT dst FROM edges)")
 def isolated_nodes(spark, sf_dir):
-    return graph.isolated(read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")), edges(spark, sf_dir))
+    kind = read(spark, sf_dir, "lineitem").filter("l_discount = 0.1D AND l_returnflag = 'R'").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    return graph.isolated(read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")), kind)
 
 
 @R.query("graph_neighbors", "WITH " + GRAPH + " SELECT src AS id, dst AS neighbor FROM edges WHERE src IN ('p10', 'p11', 'p12', 'p13') UNION SELECT dst, src FROM edges WHERE dst IN ('p10', 'p11', 'p12', 'p13')")
@@ -70,7 +71,7 @@ def graph_neighbors(spark, sf_dir):
     return graph.neighbors(edges(spark, sf_dir), spark.createDataFrame([(f"p{i}",) for i in (10, 11, 12, 13)], "id string"))
 
 
-WALK = "WITH RECURSIVE " + GRAPH + ", st AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 500 = 0), {both}walk(id, node, steps) AS (SELECT id, id, 0 FROM st UNION SELECT w.id, e.dst, w.steps + 1 FROM walk w JOIN {e} e ON e.src = w.node WHERE w.steps < {d}) SELECT id, node, CAST(min(steps) AS INT) AS steps FROM walk GROUP BY 1, 2"
+WALK = "WITH RECURSIVE " + GRAPH + ", st AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 20 = 0), {both}walk(id, node, steps) AS (SELECT id, id, 0 FROM st UNION SELECT w.id, e.dst, w.steps + 1 FROM walk w JOIN {e} e ON e.src = w.node WHERE w.steps < {d}) SELECT id, node, CAST(min(steps) AS INT) AS steps FROM walk GROUP BY 1, 2"
 
 
 @R.query("graph_path", WALK.replace("{both}", "").replace("{e}", "edges").replace("{d}", "2"))
@@ -83,9 +84,9 @@ def graph_subgraph(spark, sf_dir):
     return graph.distances(edges(spark, sf_dir), starts(spark, sf_dir), 2, directed=False)
 
 
-@R.query("inherit_edges", "WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem WHERE l_orderkey < 2000) SELECT DISTINCT * FROM (SELECT CASE WHEN src = 4 AND kind <> 'A' THEN 7 ELSE src END AS src, CASE WHEN dst = 4 AND kind <> 'A' THEN 7 ELSE dst END AS dst, kind FROM e) x WHERE src <> dst")
+@R.query("inherit_edges", "WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, l_returnflag AS kind FROM lineitem) SELECT DISTINCT * FROM (SELECT CASE WHEN src = 4 AND kind <> 'A' THEN 7 ELSE src END AS src, CASE WHEN dst = 4 AND kind <> 'A' THEN 7 ELSE dst END AS dst, kind FROM e) x WHERE src <> dst")
 def inherit_edges(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
     return graph.inherit_edges(e, 4, 7, "A")
 
 
@@ -103,14 +104,14 @@ def update_vector(spark, sf_dir):
     return mutation.update(part, changes, "p_partkey", "p_name", "p_size")
 
 
-ACTIONS = "a AS (SELECT event_id AS pos, event_id % 400 AS id, CASE event_id % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' ELSE 'NONE' END AS event, 't' || event_id AS text FROM events WHERE event_id < 700)"
+ACTIONS = "a AS (SELECT event_id AS pos, event_id % 400 AS id, CASE event_id % 4 WHEN 0 THEN 'ADD' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' ELSE 'NONE' END AS event, 't' || event_id AS text FROM events)"
 
 
-@R.query("merge_actions", "WITH " + ACTIONS + ", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS k FROM a WHERE event <> 'NONE') x WHERE k = 1), s AS (SELECT p_partkey AS id, p_name AS text FROM part WHERE p_partkey < 300) SELECT coalesce(s.id, l.id) AS id, coalesce(l.text, s.text) AS text, CASE WHEN l.event IS NULL THEN 'kept' WHEN s.id IS NULL THEN 'added' ELSE 'updated' END AS state FROM s FULL OUTER JOIN l ON s.id = l.id WHERE l.event IS NULL OR l.event <> 'DELETE'")
+@R.query("merge_actions", "WITH " + ACTIONS + ", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS k FROM a WHERE event <> 'NONE') x WHERE k = 1), s AS (SELECT p_partkey AS id, p_name AS text FROM part) SELECT coalesce(s.id, l.id) AS id, coalesce(l.text, s.text) AS text, CASE WHEN l.event IS NULL THEN 'kept' WHEN s.id IS NULL THEN 'added' ELSE 'updated' END AS state FROM s FULL OUTER JOIN l ON s.id = l.id WHERE l.event IS NULL OR l.event <> 'DELETE'")
 def merge_actions(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("ADD", "UPDATE", "DELETE", "NONE"))), (F.col("event_id") % 4 + 1).cast("int"))
-    actions = read(spark, sf_dir, "events").filter("event_id < 700").select(F.col("event_id").alias("pos"), (F.col("event_id") % 400).alias("id"), kind.alias("event"), F.concat(F.lit("t"), "event_id").alias("text"))
-    return mutation.merge_actions(read(spark, sf_dir, "part").filter("p_partkey < 300").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), actions)
+    actions = read(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), (F.col("event_id") % 400).alias("id"), kind.alias("event"), F.concat(F.lit("t"), "event_id").alias("text"))
+    return mutation.merge_actions(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), actions)
 
 
 @R.query("remove_oldest", "SELECT event_id, event_type FROM (SELECT event_id, event_type, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k <= 25")
@@ -118,10 +119,10 @@ def remove_oldest(spark, sf_dir):
     return mutation.newest(read(spark, sf_dir, "events"), 25, "event_type", "ts", "event_id").select("event_id", "event_type")
 
 
-@R.query("mark_status", "SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 300 = 0) THEN 'resolving' ELSE 'activated' END AS status FROM supplier")
+@R.query("mark_status", "SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1 AND l_returnflag = 'R') THEN 'resolving' ELSE 'activated' END AS status FROM supplier")
 def mark_status(spark, sf_dir):
     store = read(spark, sf_dir, "supplier").select("s_suppkey", F.lit("activated").alias("status"))
-    hit = read(spark, sf_dir, "lineitem").filter("l_orderkey % 300 = 0").select(F.col("l_suppkey").alias("s_suppkey"))
+    hit = read(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_discount = 0.1D AND l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
     return mutation.mark(store, hit, "s_suppkey", "status", F.lit("resolving"))
 
 
@@ -171,17 +172,17 @@ R.statement("topk_per_type_truncate", "WITH t AS (SELECT event_id, event_type, R
 R.statement("seq_page", "SELECT event_id FROM {events} WHERE event_id > 100 AND event_id <= 150")
 R.statement("recent", "SELECT event_id FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 30")
 R.statement("union_all_passages", "SELECT 'doc' AS kind, doc_id AS id, source, CAST(NULL AS INT) AS label FROM {documents} UNION ALL SELECT 'vec', vec_id, CAST(NULL AS VARCHAR(10)), label FROM {embeddings}")
-R.statement("union_distinct_neighbors", "SELECT l_partkey AS a, l_suppkey AS b FROM {lineitem} WHERE l_orderkey < 3000 UNION SELECT l_suppkey, l_partkey FROM {lineitem} WHERE l_orderkey < 3000")
-R.statement("merge_recall_paths", "WITH h AS (SELECT 1 AS path, l_partkey AS id, l_discount AS score FROM {lineitem} WHERE l_orderkey % 7 = 0 UNION ALL SELECT 2, l_partkey, l_tax FROM {lineitem} WHERE l_orderkey % 11 = 0 UNION ALL SELECT 3, l_partkey, l_quantity / 50 FROM {lineitem} WHERE l_orderkey % 13 = 0), b AS (SELECT path, id, max(score) AS score FROM h GROUP BY path, id), r AS (SELECT id, path, score, min(path) OVER (PARTITION BY id) AS first, ROW_NUMBER() OVER (PARTITION BY id ORDER BY path DESC) AS k FROM b) SELECT id, first AS first_path, score FROM r WHERE k = 1")
+R.statement("union_distinct_neighbors", "SELECT l_partkey AS a, l_suppkey AS b FROM {lineitem} UNION SELECT l_suppkey, l_partkey FROM {lineitem}")
+R.statement("merge_recall_paths", "WITH h AS (SELECT 1 AS path, l_partkey AS id, l_discount AS score FROM {lineitem} WHERE l_returnflag = 'A' UNION ALL SELECT 2, l_partkey, l_tax FROM {lineitem} WHERE l_returnflag = 'R' UNION ALL SELECT 3, l_partkey, l_quantity / 50 FROM {lineitem} WHERE l_linestatus = 'O'), b AS (SELECT path, id, max(score) AS score FROM h GROUP BY path, id), r AS (SELECT id, path, score, min(path) OVER (PARTITION BY id) AS first, ROW_NUMBER() OVER (PARTITION BY id ORDER BY path DESC) AS k FROM b) SELECT id, first AS first_path, score FROM r WHERE k = 1")
 R.statement("concat_paths", "SELECT 'a' AS path, p_partkey AS id FROM {part} WHERE p_size < 10 UNION ALL SELECT 'b', p_partkey FROM {part} WHERE p_type = 'ECONOMY' UNION ALL SELECT 'c', s_suppkey FROM {supplier}")
 R.statement("graph_chain", "WITH " + GRAPH + " SELECT src, dst FROM edges WHERE src LIKE 'p%'")
 R.statement("source_passages_join", "SELECT l_orderkey, l_linenumber, s_name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey")
-R.statement("exclude_ids", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_orderkey % 5 = 0)")
-R.statement("anti_rawfile_summary", "WITH s AS (SELECT l_partkey AS target FROM {lineitem} WHERE l_orderkey % 40 = 0) SELECT p_partkey FROM {part} LEFT JOIN s ON s.target = p_partkey WHERE s.target IS NULL")
-R.statement("event_expand", "SELECT DISTINCT b.event_id FROM {events} a JOIN {events} b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) WHERE a.event_id % 100 = 0")
-R.statement("links_expand", "WITH l AS (SELECT l_orderkey AS note, l_partkey AS link, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM {lineitem}) SELECT note, link FROM l WHERE pos <= 6 AND note % 100 = 0")
+R.statement("exclude_ids", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity >= 47)")
+R.statement("anti_rawfile_summary", "WITH s AS (SELECT l_partkey AS target FROM {lineitem} WHERE l_quantity >= 49) SELECT p_partkey FROM {part} LEFT JOIN s ON s.target = p_partkey WHERE s.target IS NULL")
+R.statement("event_expand", "SELECT DISTINCT b.event_id FROM {events} a JOIN {events} b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) WHERE a.event_id % 20 = 0")
+R.statement("links_expand", "WITH l AS (SELECT l_orderkey AS note, l_partkey AS link, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM {lineitem}) SELECT note, link FROM l WHERE pos <= 6")
 R.statement("key_or_tag_recall", "WITH t AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM {lineitem} WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey) SELECT o_orderkey FROM {orders} LEFT JOIN t ON t.l_orderkey = o_orderkey WHERE o_orderkey IN (1, 2, 3) OR coalesce(n, 0) >= 2")
-R.statement("lineage_join", "WITH m AS (SELECT event_id, 's' || (event_id % 600) AS marker FROM {events} WHERE event_id < 1000), l AS (SELECT 's' || event_id AS marker, user_id FROM {events}) SELECT m.event_id, l.user_id FROM m LEFT JOIN l ON l.marker = m.marker")
+R.statement("lineage_join", "WITH m AS (SELECT event_id, 's' || (event_id % 600) AS marker FROM {events}), l AS (SELECT 's' || event_id AS marker, user_id FROM {events}) SELECT m.event_id, l.user_id FROM m LEFT JOIN l ON l.marker = m.marker")
 R.statement("history_log", "SELECT o_custkey AS memory_id, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version FROM {orders}")
 R.statement("ttl_delete", "SELECT event_id FROM {events} WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '14' DAY")
 R.statement("soft_delete", "SELECT event_id, user_id % 5 = 0 AS is_deleted FROM {events}")
