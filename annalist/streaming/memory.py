@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,3 +52,51 @@ def short_buffer_stream(df: DataFrame, budget: int) -> DataFrame:
 def windowed_counts(df: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts by event-time window with a watermark; beyond what the memory methods have."""
     return df.withWatermark("at", late).groupBy(F.window("at", size), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def segments_by_weight(weights: list[int], limit: int, boundary: list[bool]) -> list[int]:
+    """Segment of each item: after ``limit`` of weight has gathered, the next item at a boundary opens a new one."""
+    out, segment, used = [], 0, 0
+    for w, cut in zip(weights, boundary):
+        if used >= limit and cut:
+            segment, used = segment + 1, 0
+        out.append(segment)
+        used += w
+    return out
+
+
+def compact(sessions: list[str], budget: int, fold: Callable[[str, list[str]], str]) -> tuple[str, list[str]]:
+    """A summary and the recent sessions within a budget of tokens.
+
+    When both together overflow, the oldest half of the recent sessions is folded into the summary; a summary that
+    would not fit by itself is cut to the budget. ``fold(summary, evicted)`` is the injected model.
+    """
+    summary, recent = "", []
+    size = lambda s: len(s) // 3
+    for text in sessions:
+        recent.append(text)
+        while size(summary) + sum(map(size, recent)) > budget and len(recent) > 1:
+            out, recent = recent[: (len(recent) + 1) // 2], recent[(len(recent) + 1) // 2 :]
+            summary = fold(summary, out)[: 3 * budget]
+    return summary, recent
+
+
+def chronological(sessions: DataFrame, probes: DataFrame, start: Callable[[], object], ingest: Callable[[object, dict], object], answer: Callable[[object, dict], str]) -> DataFrame:
+    """Answer each probe from the state after exactly the sessions up to its cutoff.
+
+    ``sessions``: user_id, session_index and what ``ingest`` reads; ``probes``: probe_id, user_id, cutoff. Users are
+    independent: one group each, sessions fed in order, probes answered on the way.
+    """
+
+    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        state, out = start(), []
+        feed = own.sort_values("session_index").to_dict("records")
+        at = 0
+        for p in asked.sort_values(["cutoff", "probe_id"]).to_dict("records"):
+            while at < len(feed) and feed[at]["session_index"] <= p["cutoff"]:
+                state = ingest(state, feed[at])
+                at += 1
+            out.append((p["probe_id"], answer(state, p)))
+        return pd.DataFrame(out, columns=["probe_id", "memory_context"])
+
+    return sessions.groupBy("user_id").cogroup(probes.groupBy("user_id")).applyInPandas(run, "probe_id string, memory_context string")
