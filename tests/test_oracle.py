@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -43,5 +44,5 @@ def test_entry_without_the_corpus_operators(monkeypatch):
 
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("annalist.llm", "corpus_pipeline")) else real(name, *a))
-    assert entry.queries() and not any(k.startswith("op") or k == "pipeline" for k in entry.queries())
+    assert entry.queries() and not any(re.match(r"op\d+_|pipeline$", k) for k in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
