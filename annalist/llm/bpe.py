@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -32,8 +31,9 @@ CACHE_PIECES, CACHE_WORDS = 150_000, 300_000
 PIECES_AT_ONCE = 1 << 17
 #: Longer texts take the way that holds only some pieces at a time.
 PLAIN_CHARS = 1 << 22
-#: White space that a piece may share with its neighbours.
-RUNS = re.compile(r"\s\s|^\s|\s\Z")
+#: White space other than blank and line end; and what a piece may share with its neighbours.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -201,7 +201,7 @@ class Encoder:
         Where single blanks between other characters are the only blanks, no piece crosses them, and a blank with the
         word behind it is looked up as one. A text with other runs of white space is split whole.
         """
-        plain = {i: t.split(" ") for i, t in enumerate(texts) if len(t) <= PLAIN_CHARS and t and not RUNS.search(t)}
+        plain = {i: t.split(" ") for i, t in enumerate(texts) if is_plain(t)}
         new = set().union(*plain.values()).difference(self.words)
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
@@ -217,6 +217,13 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
+def is_plain(text: str) -> bool:
+    """Whether single blanks and line ends between other characters are the only white space."""
+    if not 0 < len(text) <= PLAIN_CHARS or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(r in text for r in RUNS) and not any(c in text for c in OTHER_SPACE)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One per Python worker."""
