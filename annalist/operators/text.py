@@ -63,3 +63,22 @@ def tfidf_pairs(df: DataFrame, doc_id: str, text: str, threshold: float) -> Data
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def jaccard_pairs(df: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """Pairs (a < b) of documents whose token sets have a Jaccard similarity of ``percent`` hundredths or more.
+
+    Tokens are ordered from rare to common; sets that similar share one of the first ``n - ceil(t n) + 1`` of each, so
+    only these are joined for candidates.
+    """
+    rows = df.select(F.col(doc_id).alias("doc"), F.array_distinct(tokens(F.col(text))).alias("w")).filter(F.size("w") > 0)
+    words = rows.select("doc", F.size("w").alias("n"), F.explode("w").alias("term"))
+    df_ = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "term"))
+    first = words.join(df_, "term").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1).select("doc", "n", "term")
+    a, b = (first.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), "term") for x in "ab")
+    fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    pairs = a.join(b, "term").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    sets = rows.select("doc", "w")
+    both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
+    return both.filter(100 * F.size(F.array_intersect("wa", "wb")) >= percent * F.size(F.array_union("wa", "wb"))).select("a", "b")

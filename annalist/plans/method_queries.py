@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from annalist.functions import chunks
 from annalist.functions import text as texts
 from annalist.operators import scoring, text, vectors
 from annalist.plans import history
@@ -109,3 +110,40 @@ R.statement("private_field_guard", "SELECT event_id, coalesce(get_json_object(pr
 def random_k(spark, sf_dir):
     """A seeded uniform sample of ten; the seed fixes it for one layout of the table only, so no SQL states it."""
     return read(spark, sf_dir, "part").select("p_partkey").orderBy(F.rand(42), "p_partkey").limit(10)
+
+
+@R.query("minhash_dedup", """WITH w AS (SELECT doc_id AS doc, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2)) AS w FROM documents), t AS (SELECT doc, len(w) AS n, unnest(w) AS term FROM w),
+p AS (SELECT a.doc AS a, b.doc AS b, count(*) AS c, any_value(a.n + b.n) AS s FROM t a JOIN t b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2) SELECT b AS doc_id, min(a) AS duplicate_of FROM p WHERE 100 * c >= 60 * (s - c) GROUP BY b""")
+def minhash_dedup(spark, sf_dir):
+    """Documents that are similar (0.6 or more of their tokens) to an earlier one; exact, so without the sketch's misses."""
+    pairs = text.jaccard_pairs(read(spark, sf_dir, "documents"), "doc_id", "text", 60)
+    return pairs.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("duplicate_of"))
+
+
+@R.query("fuzzy_partial")
+def fuzzy_partial(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(chunks.fuzzy("smal rign")(F.col("p_name")), 6).alias("ratio"))
+
+
+@R.query("chunk_paragraph")
+def chunk_paragraph(spark, sf_dir):
+    parts = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.paragraph_chunks(200)(F.col("text"))).alias("pos", "chunk"))
+    return parts.select("doc_id", "pos", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@R.query("chunk_separator")
+def chunk_separator(spark, sf_dir):
+    parts = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.separator_chunks(600, 60)(F.col("text"))).alias("pos", "chunk"))
+    return parts.select("doc_id", "pos", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@R.query("kmeans_partition")
+def kmeans_partition(spark, sf_dir):
+    """About twenty vectors a cluster, seed 42; clusters of ten or fewer are left out. Labels depend on the library."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    k = max(2, -(-rows.count() // 20))
+    placed = KMeans(k=k, seed=42, maxIter=10).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
+    return placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).filter("n > 10")
