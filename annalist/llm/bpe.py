@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import blocks, column, id_text
+from annalist.llm.common import blocks, claim, column, id_text
 
 #: Encoded pieces and words that one Python worker remembers; beyond that it starts anew.
 CACHE_PIECES, CACHE_WORDS = 150_000, 300_000
@@ -234,6 +234,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """doc_id and ``ids array<int>`` of every row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", encoder.cache_clear)
         own = encoder(ranks_path, pattern)
         for block in blocks(batches, limit=3 << 20):
             ids = own.encode([t or "" for t in column(block, "text").to_pylist()])
@@ -249,6 +250,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """doc_id, ids and ``decoded binary``: the bytes that the ids stand for; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", encoder.cache_clear)
         own = encoder(ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):

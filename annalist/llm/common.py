@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +15,20 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 BLOCK_BYTES = 4 << 20
+#: What operators remember in a Python worker from task to task: how to forget it, by operator.
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def claim(operator: str, forget: Callable[[], None]) -> None:
+    """Called as a task begins: what other operators remember in this worker is dropped, as workers live on."""
+    others = [name for name in _FORGET if name != operator]
+    for name in others:
+        _FORGET.pop(name)()
+    _FORGET[operator] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import append, as_bytes, blocks, column, id_text
+from annalist.llm.common import append, as_bytes, blocks, claim, column, id_text
 
 BUCKETS = 1 << 17
 WINDOW, STRIDE = 24, 6
@@ -90,6 +90,7 @@ def frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold a word of each bucket, and the number of documents; the sums have a row for each bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate", _powers.clear)
         counts, n = np.zeros(BUCKETS, np.int64), 0
         for block in blocks(batches, limit=1 << 20):
             h, ends = words(as_bytes(block))
@@ -305,6 +306,7 @@ def with_hits(df: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
         shared = df.sparkSession.sparkContext.broadcast(build(rows, idf, vocabulary, projection))
 
         def start(shared=shared):
+            claim("decontaminate", _powers.clear)
             own = Searcher(shared.value)
             return lambda block: [pa.array(own.search(as_bytes(block)), arrow)]
 

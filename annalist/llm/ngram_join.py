@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import as_bytes, blocks, column, id_text, release, table
+from annalist.llm.common import as_bytes, blocks, claim, column, id_text, release, table
 from annalist.llm.components import components
 
 SPARE = 4
@@ -143,6 +143,7 @@ def describe(df: DataFrame, words: int, share: int) -> DataFrame:
     """doc_id, set id (null for an empty set), set size, and the set's nodes in its own band and in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", word_hashes.cache_clear)
         enum = PartEnum(share)
         for block in blocks(batches):
             sets = [shingles(t, words) for t in as_bytes(block)]
@@ -160,6 +161,7 @@ def signed(df: DataFrame, words: int, share: int) -> DataFrame:
     """(sig, node) of every set; a set that a task has signed before is not signed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", word_hashes.cache_clear)
         enum, seen = PartEnum(share), set()
         for block in blocks(batches, limit=1 << 20):
             sigs, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -277,6 +279,7 @@ def linked(df: DataFrame, share: int, payload: str, out: str, prepare: Callable[
     """Forest links (a, b), in terms of the column ``out``, of the pairs that ``prepare(payloads, sizes)`` finds."""
 
     def run(group: pa.Table) -> pa.Table:
+        claim("ngram_join", word_hashes.cache_clear)
         block, pair, small, n, name = (group.column(c).to_numpy() for c in ("block", "pair", "small", "n", out))
         held = group.column(payload).cast(pa.binary()).combine_chunks()
         a, b = [], []

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import as_bytes, blocks, column, id_text, release, table
+from annalist.llm.common import as_bytes, blocks, claim, column, id_text, release, table
 
 LENGTH, GRAM = 400, 100
 HOT = 50_000
@@ -118,6 +118,7 @@ def find_anchors(df: DataFrame, length: int, gram: int) -> DataFrame:
     their members are rows without a gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix_dedup", _powers.clear)
         seen: set[int] = set()
         for block in blocks(batches, limit=SEGMENT):
             tids, texts = column(block, "tid").to_pylist(), as_bytes(block)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import append, as_bytes, blocks, column, id_text
+from annalist.llm.common import append, as_bytes, blocks, claim, column, id_text
 
 ROWS_PER_CLASS = 10_000
 THRESHOLD = 0.7
@@ -52,7 +52,7 @@ FRONT, BACK = ".,;:\"'[]{}>#%&*-_=?~`^/\\", ".,;:\"'()[]{}<>#%&*-_=?!~`^/\\|$+@"
 #: Only words in so many toxic rows, and so much likelier in toxic rows, enter the lexicon.
 LEAST_ROWS, LEAST_LIFT = 3, 3.0
 #: Tokens that one Python worker remembers.
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 150_000
 TOP = 3
 
 
@@ -243,6 +243,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Column) -> Model:
     shared = df.sparkSession.sparkContext.broadcast(language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", lambda: None)
         restorer, held = Restorer(shared.value), {}
 
         def rows_held() -> pa.RecordBatch:
@@ -256,7 +257,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Column) -> Model:
                         held[f][y] += 1
                     else:
                         held[f] = [1 - y, y]
-                if len(held) > 300_000:
+                if len(held) > 100_000:
                     yield rows_held()
                     held = {}
         yield rows_held()
@@ -315,6 +316,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
+        claim("toxicity", lambda: None)
         own = Scorer(shared.value)
         return lambda block: [pa.array([own.score(t or "") for t in column(block, "text").to_pylist()], pa.float64())]
 
