@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents give the TF-IDF weights.
-2. A randomised SVD of the TF-IDF passages of the benchmark items (windows of ``WINDOW`` words) gives a latent
-   space: the passages are multiplied with a random matrix and back in the tasks that hold them, the driver only
+2. A randomised SVD of the TF-IDF passages of the benchmark items (windows of the largest of ``SIZES`` words that
+   the item fills) gives a latent space: the passages are multiplied with a random matrix and back in the tasks that hold them, the driver only
    orthonormalises a matrix of at most ``BUCKETS`` by ``RANK + EXTRA``; a second pass rotates it.
-3. Each document's windows are folded in. Windows with little weight in words of the benchmark are passed over; of
-   the rest, cosines with all passages give candidates.
+3. Each document's windows are folded in, once for each size that the items have, so that a short item is compared
+   with windows of its own length. Windows with little weight in words of the benchmark are passed over; of the rest,
+   cosines with all passages of their size give candidates. Items with a passage of which the space keeps less than
+   ``BLIND`` have no cosine worth the name; they are candidates (cosine 0) wherever enough of their words stand.
 4. A candidate holds if the longest common subsequence of item and region carries ``SURE`` of the item's weight, or
    ``LIKELY`` of it while the answer is there too: the item's answer column if given, else its last sentence.
 
@@ -30,11 +32,14 @@ from pyspark.sql import functions as F
 from annalist.llm.common import append, as_bytes, blocks, claim, column, id_text
 
 BUCKETS = 1 << 17
-WINDOW, STRIDE = 24, 6
+#: Words of a window. Windows of documents begin at every fourth part of one.
+SIZES = (24, 16, 12, 8, 6, 4, 3, 2, 1)
 RANK, EXTRA, SEED = 48, 8, 7
 FIT_PASSAGES, BLOCK_ITEMS = 20_000, 10_000
 #: Least share of a window's weight in benchmark words, and least cosine.
-GATE, COSINE = 0.35, 0.75
+GATE, COSINE = 0.2, 0.5
+#: Least share of a passage's length that its latent vector keeps.
+BLIND = 0.05
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.8
 BASE = 0xD6E8FEB86659FD93
 BASE_BACK = pow(BASE, -1, 2**64)
@@ -111,10 +116,11 @@ def frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
 
 def passages(n: int) -> list[tuple[int, int]]:
     """Windows over an item of ``n`` words, half overlapping, the last one at its end."""
-    if n <= WINDOW:
-        return [(0, n)] if n else []
-    starts = [*range(0, n - WINDOW, WINDOW // 2), n - WINDOW]
-    return [(s, s + WINDOW) for s in starts]
+    if not n:
+        return []
+    size = next(k for k in SIZES if k <= n)
+    starts = [*range(0, n - size, max(1, size // 2)), n - size]
+    return [(s, s + size) for s in starts]
 
 
 def passage_matrix(texts: list[bytes], idf: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[np.ndarray]]:
@@ -181,6 +187,7 @@ class Index:
     answers: list[np.ndarray]
     owner: np.ndarray
     vectors: np.ndarray
+    sizes: np.ndarray
 
 
 def build(rows: list, idf: np.ndarray, vocabulary: np.ndarray, projection: np.ndarray) -> Index:
@@ -190,7 +197,7 @@ def build(rows: list, idf: np.ndarray, vocabulary: np.ndarray, projection: np.nd
     h, ends = words([a.encode() for a in said])
     answers = [h[a:b] for a, b in zip(np.append(0, ends[:-1]), ends)]
     vectors = [fold(b[None, :], idf, vocabulary, projection)[0] for _, b in parts]
-    return Index(idf, vocabulary, projection, [r["item_id"] for r in rows], own, answers, np.array([i for i, _ in parts], np.int64), np.array(vectors, np.float32).reshape(-1, projection.shape[1]))
+    return Index(idf, vocabulary, projection, [r["item_id"] for r in rows], own, answers, np.array([i for i, _ in parts], np.int64), np.array(vectors, np.float32).reshape(-1, projection.shape[1]), np.array([len(b) for _, b in parts], np.int64))
 
 
 def last_sentence(text: str) -> str:
@@ -222,7 +229,51 @@ class Searcher:
         self.x = index
         self.weights = [index.idf[bucket(h)] for h in index.items]
         self.pairs = [list(zip(h.tolist(), w.tolist())) for h, w in zip(index.items, self.weights)]
+        self.sizes = np.array([len(h) for h in index.items], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        flat = np.concatenate([*index.items, np.zeros(0, np.uint64)])
+        self.known, self.flat = np.unique(flat, return_inverse=True)
+        self.flat_weights = np.concatenate([*self.weights, np.zeros(0)])
+        self.member = np.zeros(len(self.known) + 1, bool)
         self.inside = (index.vocabulary >= 0).astype(np.float64)
+        weight = np.zeros(len(index.projection), np.float32)
+        weight[index.vocabulary[index.vocabulary >= 0]] = index.idf[index.vocabulary >= 0]
+        self.rows = np.vstack([index.projection * weight[:, None], np.zeros((1, index.projection.shape[1]), np.float32)])
+
+        self.blind = self.blind_items()
+
+    def folded(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """``fold`` of windows over ``b``, in order of their starts, by running sums over the words that they cover."""
+        base, n = start[0], end.max() - start[0]
+        open_at = np.bincount(start - base, minlength=n + 1) - np.bincount(end - base, minlength=n + 1)
+        covered = np.cumsum(open_at)[:n] > 0
+        place = np.append(0, np.cumsum(covered))
+        sums = np.zeros((place[-1] + 1, self.rows.shape[1]))
+        np.cumsum(self.rows[self.x.vocabulary[b[base : base + n][covered]]], axis=0, out=sums[1:])  # -1 is the row of zeros
+        out = (sums[place[end - base]] - sums[place[start - base]]).astype(np.float32)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def blind_items(self) -> np.ndarray:
+        x, out = self.x, set()
+        for i, h in enumerate(x.items):
+            b = bucket(h)
+            for s, e in passages(len(h)):
+                latent = self.rows[x.vocabulary[b[s:e]]].sum(axis=0)
+                if np.linalg.norm(latent) < BLIND * np.linalg.norm(x.idf[b[s:e]]):
+                    out.add(i)
+        return np.array(sorted(out), np.int64)
+
+    def coverable(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which of the items can still pass, by the weight of their words that stand anywhere in a document."""
+        self.member[word] = True
+        self.member[-1] = False
+        sizes = self.sizes[item]
+        first = np.cumsum(sizes) - sizes
+        at = np.repeat(self.offsets[item] - first, sizes) + np.arange(sizes.sum())
+        weight = self.flat_weights[at]
+        there = np.add.reduceat(weight * self.member[self.flat[at]], first)
+        self.member[word] = False
+        return there >= (LIKELY - 1e-9) * np.add.reduceat(weight, first)
 
     def search(self, texts: list[bytes]) -> list[list[dict]]:
         x, out = self.x, [[] for _ in texts]
@@ -230,28 +281,42 @@ class Searcher:
             return out
         h, ends = words(texts)
         begins = np.append(0, ends[:-1])
-        counts = np.where(ends > begins, np.maximum(0, ends - begins - WINDOW + STRIDE - 1) // STRIDE + 1, 0)
-        if not counts.sum():
-            return out
-        doc = np.repeat(np.arange(len(texts)), counts)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = begins[doc] + nth * STRIDE
-        end = np.minimum(start + WINDOW, ends[doc])
         b = bucket(h)
+        word = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        word = np.where(self.known[word] == h, word, -1)
         squares = x.idf[b] ** 2
         every = np.append(0.0, np.cumsum(squares))
         known = np.append(0.0, np.cumsum(squares * self.inside[b]))
-        keep = known[end] - known[start] >= GATE * (every[end] - every[start])
-        keep &= every[end] > every[start]
-        start, end, doc = start[keep], end[keep], doc[keep]
         found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        for lo in range(0, len(start), 4096):
-            s, e = start[lo : lo + 4096], end[lo : lo + 4096]
-            at = s[:, None] + np.arange(WINDOW)
-            rows = np.where(at < e[:, None], b[np.minimum(at, len(b) - 1)], -1)
-            cosine = fold(rows, x.idf, x.vocabulary, x.projection) @ x.vectors.T
-            for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                found.setdefault((int(doc[lo + i]), int(x.owner[j])), []).append((float(cosine[i, j]), int(s[i]), int(e[i])))
+        for size in SIZES:
+            own = np.flatnonzero(x.sizes == size)
+            if not len(own):
+                continue
+            step = max(1, size // 4)
+            counts = np.where(ends > begins, np.maximum(0, ends - begins - size + step - 1) // step + 1, 0)
+            doc = np.repeat(np.arange(len(texts)), counts)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = begins[doc] + nth * step
+            end = np.minimum(start + size, ends[doc])
+            keep = known[end] - known[start] >= GATE * (every[end] - every[start])
+            keep &= every[end] > every[start]
+            start, end, doc = start[keep], end[keep], doc[keep]
+            for lo in range(0, len(start), 4096):
+                s, e = start[lo : lo + 4096], end[lo : lo + 4096]
+                cosine = self.folded(b, s, e) @ x.vectors[own].T
+                i, j = np.nonzero(cosine >= COSINE)
+                cuts = np.append(np.flatnonzero(np.diff(doc[lo + i], prepend=-1)), len(i))
+                for a, z in zip(cuts[:-1], cuts[1:]):
+                    d, owner = int(doc[lo + i[a]]), x.owner[own[j[a:z]]]
+                    item = np.unique(owner)
+                    item = item[self.coverable(item, word[begins[d] : ends[d]])]
+                    for k in a + np.flatnonzero(np.isin(owner, item)) if len(item) else ():
+                        found.setdefault((d, int(owner[k - a])), []).append((float(cosine[i[k], j[k]]), int(s[i[k]]), int(e[i[k]])))
+        for d in range(len(texts)) if len(self.blind) else ():
+            own = word[begins[d] : ends[d]]
+            for item in self.blind[self.coverable(self.blind, own)].tolist():
+                at = begins[d] + np.flatnonzero(np.isin(own, self.flat[self.offsets[item] : self.offsets[item] + self.sizes[item]]))
+                found.setdefault((d, item), []).extend((0.0, k, k + 1) for k in at.tolist())
         for (d, item), hits in found.items():
             if (hit := self.check(item, hits, h, begins[d], ends[d])) is not None:
                 out[d].append(hit)

@@ -82,6 +82,36 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.with_hits(odd.select("doc_id", "text", "lang"), bench).count() == odd.count()
 
 
+def test_short_and_reworded_items(spark):
+    """Items shorter than a long window, verbatim and with a changed word, amid words of other items."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(ENGLISH) + str(rng.randrange(60)) for _ in range(n))
+    items = [(i, text((5, 8, 12, 40)[i % 4])) for i in range(80)]
+    around = lambda: " ".join(rng.choice(rng.choice(items)[1].split()) for _ in range(30))
+    rows = []
+    for i, said in items:
+        w = said.split()
+        if i % 8 > 3 and len(w) > 5:
+            w[len(w) // 2] = "changed"
+        rows.append((i, f"{around()} {' '.join(w)} {around()}"))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    counts, n = decontaminate.frequencies(df)
+    idf = np.log((n + 1.0) / (counts + 1.0)) + 0.1
+    want = set()
+    for d, said in rows:
+        h = decontaminate.words([said.encode()])[0]
+        for i, item in items:
+            own = decontaminate.words([item.encode()])[0]
+            w = idf[decontaminate.bucket(own)]
+            if w[np.isin(own, h)].sum() < decontaminate.SURE * w.sum():
+                continue
+            regions = (h[k : k + len(own) + 2] for k in range(len(h)))
+            if max(decontaminate.common_weight(own, r, w) for r in regions) >= decontaminate.SURE * w.sum():
+                want.add((d, i))
+    assert len(want) >= 75 and want <= got
+
+
 def test_common_weight():
     rng = np.random.default_rng(1)
     for _ in range(50):
