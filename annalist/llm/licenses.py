@@ -1,7 +1,8 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences, sentences are normalised (lower case, words and numbers only), known licence
-sentences become their identifiers, and the identifiers of a text in order are matched against ordered rules: a
+Texts are cut into pieces at line ends and stops, pieces are normalised (lower case, words and numbers only), and
+successive pieces that together are a known licence sentence, wrapped or not, become its identifier; a line without
+words, blank or of comment marks, ends a sentence. The identifiers of a text in order are matched against ordered rules: a
 rule holds if its sentences stand in the text in that order, other text between them or not. Of the rules of one
 licence the longest that holds is reported.
 
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.host_rules import let
+
 #: Known sentences of public licences, as normalised, with their identifiers.
 SENTENCES = {
     "mit-name": "mit license",
@@ -47,6 +50,8 @@ SENTENCES = {
     "cc-by-sa": "licensed under cc by sa 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
+#: Other wordings of those sentences. The SQL does not know them.
+WORDINGS = {"the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "as-is"}
 #: Fixed values: (rule, licence, sentences in order).
 RULES = [
     ("mit-full", "MIT", ["mit-grant", "mit-notice", "as-is", "mit-liable"]),
@@ -75,10 +80,14 @@ RULES = [
 #: Fixed value: a text without these letters has no known sentence.
 TRIGGER = "(?i)licen[sc]e|permission|redistribut|free software|this program|copyright|provided|liable|public domain"
 ORDER = list(SENTENCES)
+KNOWN = {said: name for name, said in SENTENCES.items()} | WORDINGS
+#: The words that known sentences begin with, and the words of the longest: it cannot have more pieces.
+FIRST = "^(?:" + "|".join(sorted({said.split()[0] for said in KNOWN})) + r")\b"
+LONGEST = max(len(said.split()) for said in KNOWN)
 
 
 def sentences(text: Column) -> Column:
-    """Sentences end at a line end, or at a full stop or question mark before white space."""
+    """Pieces end at a line end, or at a full stop, question mark, semicolon or colon before white space."""
     return F.split(F.regexp_replace(text, r"([.?;:])\s+", "$1\n"), "\n")
 
 
@@ -88,9 +97,15 @@ def normal(sentence: Column) -> Column:
 
 def identifiers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``ids``: the known sentences of each text in order; texts without any are left out."""
-    known = F.create_map(*(x for name, said in SENTENCES.items() for x in (F.lit(said), F.lit(name))))
+    known = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
     rows = df.filter(F.col(text_col).rlike(TRIGGER)).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ids = F.filter(F.transform(F.filter(sentences(F.col("text")), lambda s: s.rlike(TRIGGER)), lambda s: F.try_element_at(known, normal(s))), lambda x: x.isNotNull())
+
+    def begun(pieces: Column, i: Column) -> Column:
+        """The known sentences that begin with piece ``i``."""
+        runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size(pieces) - i)), lambda n: F.try_element_at(known, F.array_join(F.slice(pieces, i + 1, n), " ")))
+        return F.filter(runs, lambda x: x.isNotNull())
+
+    ids = let(F.transform(sentences(F.col("text")), normal), lambda pieces: F.flatten(F.transform(pieces, lambda s, i: F.when(s.rlike(FIRST), begun(pieces, i)).otherwise(F.array().cast("array<string>")))))
     return rows.select("doc_id", ids.alias("ids")).filter(F.size("ids") > 0)
 
 
