@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame and SQL functions only.
 
-Candidates are long tokens with a digit and quoted values of assignments. A forest judges each by length, character
+Candidates are values behind a name of secrets (quoted, with blanks or not, or up to white space), passwords in URLs,
+long tokens with a digit or of mixed case, and quoted values of assignments. A forest judges each by length, character
 transitions and classes, entropy, coverage by dictionary words, its path, and the words beside it. It is trained
 from labelled findings: any table of (before, candidate, after, path, label). ``labelled_findings`` makes one of
 fixed size from templates with known labels; a team's own triage results can take its place.
@@ -22,8 +23,16 @@ from pyspark.sql import functions as F
 from annalist.llm.common import table
 from annalist.llm.host_rules import let
 
-#: A long token with a digit, or the quoted value of an assignment.
-CANDIDATE = r"""(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}|(?<=[:=]\s{0,2}["'])[^"'\s]{8,}+(?=["'])"""
+NAMED = r"(?i:token|secret|passwd|password|passphrase|pwd|api.?key|access.?key|private.?key|client.?key|auth|credentials?)[A-Za-z0-9_\-]{0,16}[\"']?\s{0,2}[:=]\s{0,2}"
+#: In this order: the quoted and the unquoted value of a name, the password of a URL, a long token with a digit, one of mixed case, the quoted value of an assignment.
+CANDIDATE = "|".join((
+    rf"""(?<=["'])(?<={NAMED}["'])[^"'\n]{{4,}}+(?=["'])""",
+    rf"""(?<=[:=\s])(?<={NAMED})[^\s"':=][^\s"']*(?<![.,;)}}\]])""",
+    r"""(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/@]++(?=@)""",
+    r"""(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}""",
+    r"""(?<![A-Za-z0-9+/_\-])(?=[a-z+/_\-]*+[A-Z])(?=[A-Z+/_\-]*+[a-z])[A-Za-z+/_\-]{20,}+={0,2}""",
+    r"""(?<=[:=]\s{0,2}["'])[^"'\s]{8,}+(?=["'])""",
+))
 BESIDE = 48
 TREES, DEPTH, SEED, THRESHOLD = 40, 8, 7, 0.5
 #: Labelled rows made for training.
@@ -66,6 +75,10 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "slashes": count(candidate, "/") / size,
         "assigned": flag(before, r"[:=]\s{0,2}[\"']?$"),
         "quoted": flag(before, "[\"']$"),
+        "value_of": flag(before, NAMED + "[\"']?$"),
+        "url": flag(before, r"://[^\s:/@]*:$"),
+        "symbols": count(candidate, r"[^A-Za-z0-9\s]") / size,
+        "blanks": count(candidate, r"\s") / size,
         "named": flag(near, NAMES),
         "other": flag(near, OTHERS),
         "test_path": flag(F.lower(path), TEST_PATHS),
@@ -84,12 +97,24 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     lead = pick(["", "the value of ", "set ", "export ", "re and it ", "la de que ", "config. "], "l")
     assign = lambda q: F.concat(lead, name, F.lit(q))
     words = F.concat_ws("_", pick(["your", "my", "example", "sample", "test", "dummy"], "w"), name, pick(["here", "value", "placeholder", "123456", "changeme"], "v"))
+    words_of = lambda salt: pick(["correct", "horse", "battery", "staple", "river", "window", "purple", "monkey", "garden", "silver", "winter", "candle"], salt)
+    common = lambda salt: pick(["the", "is", "that", "required", "and", "field", "must", "string", "None", "str", "True", "for", "reset", "user"], salt)
+    loud = lambda salt: F.concat(F.initcap(words_of(salt)), F.substring(digits, 3, 2), pick(["&", "!", "$", "#", "%", "^", "*"], salt + "s"), F.substring(b64, 9, 5), pick(["", "!", "?", "z"], salt + "e"))
+    letters = F.translate(b64, "0123456789", "kQwZrTnLxB")
+    env = F.concat(pick(["DB_PASSWORD", "password", "AWS_SECRET", "SECRET_KEY", "passwd", "PWD", "db_pwd", "api_key"], "v1"), pick(["=", ": ", " = "], "v2"))
+    url = F.concat(lead, pick(["postgres", "https", "mysql", "redis", "amqp", "ftp"], "u1"), F.lit("://"), pick(["app", "admin", "root", "", "svc"], "u2"), F.lit(":"))
     yes = [
+        (F.concat(lead, env), loud("k1"), "\n"), (F.concat(lead, env), F.concat(words_of("k2"), F.substring(digits, 5, 1), F.substring(b64, 20, 5)), " "), (F.concat(lead, env), F.substring(letters, 1, 40), "\n"), (F.concat(lead, env), loud("k7"), ""),
+        (url, F.concat(F.substring(b64, 4, 11)), "@host/db"), (url, loud("k3"), "@localhost"), (F.concat(lead, env, F.lit('"')), F.concat_ws(" ", words_of("k4"), words_of("k5"), words_of("k6")), '"'), (F.concat(lead, env), F.substring(letters, 7, 24), " "),
+        (assign(' = "'), F.substring("x", 1, 40), '"'), (assign(' = "'), F.substring("x", 2, 40), '" and'),
         (assign(' = "'), F.substring("x", 1, 40), '"'), (assign(': "'), F.substring(b64, 1, 40), '"'), (assign("="), F.substring(b64, 5, 24), "\n"), (assign(' = "'), F.substring("y", 1, 64), '" '),
         (F.concat(lead, F.lit("aws_access_key_id = ")), F.concat(F.lit("AKIA"), F.upper(F.substring(b64, 3, 16))), "\n"), (F.concat(lead, F.lit("authorization: bearer ")), F.concat(F.lit("eyJ"), F.substring(b64, 1, 60)), " "),
         (assign(" = '"), F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), "'"), (assign(' = "'), F.substring("x", 9, 32), '" er '),
     ]
+    camel = F.concat_ws("", *(F.initcap(words_of(f"c{i}")) for i in range(4)))
     no = [
+        (F.concat(lead, env), common("d1"), " "), (F.concat(lead, env), F.concat(common("d2"), F.lit("_"), common("d3")), "\n"), (F.concat(lead, env), F.concat(pick(["os.environ[", "getenv(", "${", "<your_", "request.form["], "d4"), name), "]"), (lead, camel, "("),
+        (F.concat(lead, F.lit("class ")), F.concat(camel, F.lit("Factory")), ":"), (lead, F.concat_ws("/", words_of("c5"), F.initcap(words_of("c6")), words_of("c7"), words_of("c8")), "."), (F.concat(lead, env, F.lit('"')), F.concat_ws(" ", F.lit("Enter your"), name, common("d5")), '"'), (url, pick(["password", "pass", "<password>", "${PASSWORD}", "yourpassword", "changeme"], "d6"), "@host"),
         (F.concat(lead, F.lit("commit ")), F.substring("x", 1, 40), "\n"), (F.concat(lead, F.lit("sha256: ")), F.substring("y", 1, 64), " "), (F.lit('"integrity": "'), F.concat(F.lit("sha512-"), b64), '"'), (F.concat(lead, F.lit('uuid = "')), uuid, '"'),
         (lead, F.substring(digits, 1, 16), " the"), (lead, F.substring(digits, 5, 16), F.concat(F.lit(" on "), name, F.lit(' = "'))), (assign(' = "'), words, '"'), (assign(' = "'), F.concat(F.repeat(F.lit("x"), 20), F.substring(digits, 1, 2)), '"'), (F.concat(lead, F.lit("def ")), F.concat(words, F.lit("_function_2")), "("),
         (lead, F.concat(F.lit("/usr/lib/python3/"), words), " "), (F.concat(lead, F.lit('etag: "')), F.substring("x", 3, 32), '"'), (F.concat(lead, F.lit("card ")), F.substring(digits, 7, 16), "."), (F.concat(lead, F.lit('checksum = "')), F.substring("y", 1, 40), '"'),

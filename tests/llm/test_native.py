@@ -91,6 +91,17 @@ def test_held_out_findings(spark, forest):
     assert out.filter("label = prediction").count() >= 0.95 * rows.count()
 
 
+def test_secrets_of_other_shapes(spark):
+    said = ["DB_PASSWORD=hunter2Zq9x", "password: Tr0ub4dor&3xyz!Kq", "see postgres://app:S3cr3tPw9@host", "AWS_SECRET=wJalrXUtnFEMIbKmDENGqbPxRfiCYEXAMKLpQwZv", 'password = "correct horse battery"']
+    want = ["hunter2Zq9x", "Tr0ub4dor&3xyz!Kq", "S3cr3tPw9", "wJalrXUtnFEMIbKmDENGqbPxRfiCYEXAMKLpQwZv", "correct horse battery"]
+    clean = ["the password: the one that you chose", "password = None", "token: str", "ThreadPoolExecutorFactoryBean(", "secret = os.environ[x]", "src/Window/garden/candle is a path"]
+    df = spark.createDataFrame([(i, t, "src0") for i, t in enumerate(said + clean)], "doc_id long, text string, source string")
+    model = secrets.train(secrets.labelled_findings(spark))
+    assert sorted((r["doc_id"], r["candidate"]) for r in secrets.scan(df, model).collect()) == list(enumerate(want))
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df, model).collect()}
+    assert all(masked[i] == t.replace(w, "[SECRET]") for i, (t, w) in enumerate(zip(said, want)))
+
+
 def test_licenses(spark, odd, none):
     mit = ". ".join(licenses.SENTENCES[s].capitalize() for s in ("mit-grant", "mit-notice", "as-is", "mit-liable")) + "."
     wrong = ". ".join(licenses.SENTENCES[s] for s in ("mit-notice", "mit-grant")) + "."
