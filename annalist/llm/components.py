@@ -36,4 +36,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         mark = (row["n"], row["h"])
     else:
         raise RuntimeError(f"no fixed point after {ROUNDS} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    out._annalist_path = now._annalist_path  # for drop_table()
+    return out

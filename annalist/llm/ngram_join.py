@@ -1,31 +1,38 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-A document is its set of hashed word shingles. Two sets of at most U elements whose Jaccard similarity reaches the
-threshold differ in at most ``k = 2 U (1 - t) / (1 + t)`` elements. So the domain of hashes is cut into partitions,
-and the subsets of partitions are enumerated that must hold one without a difference (single partitions out of
-``k + SPARE``): two similar sets agree on at least SPARE of them and share those signatures. Sets are banded by
-size; a set signs for its own band and for the next, as the smaller partner.
-
-Partitions where a set has no element say nothing and are not signed, unless a set has elements in ``k``
-partitions or fewer, when it signs the empty ones too; so no pair is lost (see ``signatures``).
-
-Sets that share a signature are candidates. Candidates are linked to the least set of their bucket, not to each
-other; the components of these links hold every candidate pair. Signatures of different bands never meet, so a set
-is one node for each of its two bands and a component holds sets of like size. Components are first thinned out by
-sketches (how many hashes fall in each of ``SKETCH`` ranges, eight times as many for sets of ``FINE`` elements or
-more: the counts of two sets differ by no more than the sets do), then verified exactly by counting common shingles. Large components are cut into pairs of blocks over
-many tasks; of the links found a spanning forest goes on.
+A document is its set of hashed word shingles. Two sets x and y whose Jaccard similarity reaches the threshold t
+differ in at most ``(|x| + |y|) (1 - t) / (1 + t)`` elements. Sets are banded by size; a set signs for its own band
+and for the next, as the smaller partner. For a band the domain of hashes is cut into groups of ``PARTS``
+partitions (first level); in each group all subsets of ``PARTS - MISS`` partitions are enumerated (second level),
+and what a set holds in such a subset is a signature. Spoiling all subsets of a group takes ``MISS + 1``
+differences, so two similar sets agree in some signature of at least ``agreeing`` groups.
+
+As that is more than one group, a set may leave out its weakest signatures, those with the fewest elements, which
+chance shares most: it leaves out what is below the least signature of its ``agreeing``-th weakest group, in the
+order of (elements, place). An agreeing signature has the same place in that order in both sets, and the stricter
+partner still keeps one of those it agrees in (see ``signatures``); so no pair is lost.
+
+Sets that share a signature are candidates. Candidates are linked to the least set of their bucket, first within a
+task's block, so that a common signature is one row a block, then over all blocks. Signatures of different bands
+never meet: a set is one node for each of its two bands, and the components of these links hold every candidate
+pair. A component too large for a task is first compared with one hub, in rounds: what reaches the threshold is one
+cluster, whose members need no more comparison with each other; by the triangle inequality only sets that differ
+from the hub by no more than twice the distance can link with them. Then components are thinned out by sketches
+(how many hashes fall in each of ``SKETCH`` ranges, eight times as many for sets of ``FINE`` elements or more: the
+counts of two sets differ by no more than the sets do) and verified exactly by counting common shingles, pairs of
+blocks over many tasks where they are still large. Of the links found a spanning forest goes on.
 
 Defined results: lower-cases A-Z only; fewer words than a shingle are one shingle; null, empty or blank texts have
-none and link with nothing; equal sets are one node, so copies are not expanded; repeated ids stay repeated rows;
-an empty table gives an empty table; other columns are ignored. Shingles are told apart by 64-bit hashes, sets by
-another 64-bit hash and their size.
+none and link with nothing; equal sets are one node, so copies are not expanded; each row is a document of its own,
+also where ids repeat, with the same or another text; an empty table gives an empty table; other columns are
+ignored. Shingles are told apart by 64-bit hashes, sets by another 64-bit hash and their size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +40,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import as_bytes, blocks, claim, column, id_text, release, table
+from annalist.llm.common import as_bytes, blocks, claim, column, drop_table, id_text, release, table
 from annalist.llm.components import components
 
-SPARE = 4
+#: Partitions of a group, differences that spoil not all of its subsets, and groups beyond those that differences can spoil.
+PARTS, MISS, SPARE = 3, 1, 0.25
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 200_000
 #: Shingles that one verifying task holds, about.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 500_000
 #: Nodes that one thinning task holds, about.
 BLOCK_NODES = 8_192
+#: Rounds of comparing a large component with a hub before it is compared in pairs of blocks.
+HUB_ROUNDS = 4
 TILE, SKETCH, FINE = 256, 64, 1_000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -105,32 +115,44 @@ class PartEnum:
             self.starts.append(self.starts[-1] * 100 // self.share + 1)
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
-    def differences(self, band: int) -> int:
-        """Most elements in which two similar sets differ, the larger one in the band."""
+    def most(self, band: int) -> int:
+        """Largest size in a band."""
         while len(self.starts) < band + 2:
             self.starts.append(self.starts[-1] * 100 // self.share + 1)
-        most = self.starts[band + 1] - 1
-        return 2 * most * (100 - self.share) // (100 + self.share)
+        return self.starts[band + 1] - 1
+
+    def differences(self, one: int, other: int) -> int:
+        """Most elements in which similar sets of these sizes differ."""
+        return (one + other) * (100 - self.share) // (100 + self.share)
+
+    def groups(self, band: int) -> int:
+        spoiled = self.differences(self.most(band), self.most(band)) // (MISS + 1)
+        return spoiled + 1 + int(spoiled * SPARE)
 
     def signatures(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Signatures of a sorted set in its own band and, as the smaller partner, in the next.
 
-        Of ``k + SPARE`` partitions at most ``k`` hold a difference. A set with elements in more than ``k``
-        partitions so agrees with each similar set in one where it has elements. A pair without such a set has two
-        sets with elements in ``k`` or fewer; both sign their empty partitions as well.
+        Two similar sets agree in a signature of at least ``agreeing`` groups, for either set's own bound. Say the
+        cut of y is the higher. Fewer than ``agreeing`` groups of y hold a signature below it, so in one of the
+        agreeing groups all of y's signatures are kept, and x keeps the one that agrees as it is above both cuts.
         """
         own, out = self.band(len(h)), []
         sums = np.append(np.uint64(0), np.cumsum(mix(h ^ MIX1)))
+        subsets = [list(x) for x in combinations(range(PARTS), PARTS - MISS)]
         for band in (own, own + 1):
-            k = self.differences(band)
-            n = k + SPARE
-            edges = (np.arange(1, n, dtype=np.uint64) * np.uint64(2**64 // n)) if n > 1 else np.zeros(0, np.uint64)
+            groups = self.groups(band)
+            n = groups * PARTS
+            edges = np.arange(1, n, dtype=np.uint64) * np.uint64(2**64 // n)
             cuts = np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))
-            part = np.arange(n, dtype=np.uint64) + np.uint64(band << 32)
-            held = np.diff(cuts) > 0
-            if held.sum() <= k:
-                held[:] = True
-            out.append((band, mix(mix(part * MIX2 + np.uint64(1)) + sums[cuts[1:]] - sums[cuts[:-1]])[held].astype(np.int64)))
+            counts, held = np.diff(cuts).reshape(groups, PARTS), (sums[cuts[1:]] - sums[cuts[:-1]]).reshape(groups, PARTS)
+            count = np.stack([counts[:, x].sum(1) for x in subsets], 1)
+            held = np.stack([held[:, x].sum(1, dtype=np.uint64) for x in subsets], 1)
+            place = np.arange(count.size).reshape(count.shape)
+            order = count * count.size + place
+            agreeing = groups - self.differences(len(h), min(self.most(band), len(h) * 100 // self.share)) // (MISS + 1)
+            keep = order >= np.partition(order.min(1), agreeing - 1)[agreeing - 1]
+            name = (place.astype(np.uint64) + np.uint64(band << 32)) * MIX2 + np.uint64(1)
+            out.append((band, mix(mix(name) + held)[keep].astype(np.int64)))
         return out
 
 
@@ -140,7 +162,7 @@ def node(sid: int, band: int) -> int:
 
 
 def describe(df: DataFrame, words: int, share: int) -> DataFrame:
-    """doc_id, set id (null for an empty set), set size, and the set's nodes in its own band and in the next."""
+    """doc_id, hash of the text, set id (null for an empty set), set size, and the set's nodes in its own band and in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram_join", word_hashes.cache_clear)
@@ -151,14 +173,19 @@ def describe(df: DataFrame, words: int, share: int) -> DataFrame:
             bands = [enum.band(len(h)) if len(h) else 0 for h in sets]
             nodes = [[None if i is None else node(i, b + k) for i, b in zip(sid, bands)] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [column(block, "doc_id"), *(pa.array(x, pa.int64()) for x in (sid, [len(h) for h in sets], *nodes)), pa.array(map(sketch, sets), pa.binary())], ["doc_id", "sid", "n", "own", "next", "sketch"]
+                [column(block, "doc_id"), column(block, "mark"), *(pa.array(x, pa.int64()) for x in (sid, [len(h) for h in sets], *nodes)), pa.array(map(sketch, sets), pa.binary())],
+                ["doc_id", "mark", "sid", "n", "own", "next", "sketch"],
             )
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, sid long, n long, own long, next long, sketch binary")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, mark long, sid long, n long, own long, next long, sketch binary")
 
 
 def signed(df: DataFrame, words: int, share: int) -> DataFrame:
-    """(sig, node) of every set; a set that a task has signed before is not signed again."""
+    """(sig, node, to) of every set: with ``to`` null a signature of the node, else a link to the least of its block.
+
+    In a block only the least node of a signature signs; the others are linked to it, under a ``sig`` that only
+    deals them out. A set that a task has signed before is not signed again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram_join", word_hashes.cache_clear)
@@ -174,18 +201,36 @@ def signed(df: DataFrame, words: int, share: int) -> DataFrame:
                     for band, found in enum.signatures(h):
                         sigs.append(found)
                         nodes.append(np.full(len(found), node(sid, band), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+            sig, own = np.concatenate(sigs), np.concatenate(nodes)
+            by = np.lexsort((own, sig))
+            sig, own = sig[by], own[by]
+            first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
+            least = own[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
+            link = own != least
+            pairs = np.unique(np.stack([own[link], least[link]], 1), axis=0)
+            to = np.append(np.zeros(first.sum(), np.int64), pairs[:, 1])
+            cols = [np.append(sig[first], mix(pairs[:, 0].astype(np.uint64)).astype(np.int64)), np.append(own[first], pairs[:, 0])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(to, mask=np.arange(len(to)) < first.sum())], ["sig", "node", "to"])
 
-    return df.select("text").mapInArrow(run, "sig long, node long")
+    return df.select("text").mapInArrow(run, "sig long, node long, to long")
+
+
+def candidates(df: DataFrame, words: int, share: int) -> DataFrame:
+    """Links (a, b) of each node to the least node of a bucket, all buckets."""
+    rows = signed(df, words, share)
+    first = F.min(F.when(F.col("to").isNull(), F.col("node"))).over(Window.partitionBy("sig"))
+    star = rows.withColumn("b", F.coalesce("to", first)).filter("node <> b")
+    return star.select(F.col("node").alias("a"), "b").distinct()
 
 
 Hits = Callable[[slice, slice], np.ndarray]
 
 
-def forest(size: np.ndarray, share: int, small: np.ndarray, cross: np.ndarray | None, hits: Hits) -> list[tuple[int, int]]:
+def forest(size: np.ndarray, share: int, small: np.ndarray, hub: np.ndarray, cross: np.ndarray | None, hits: Hits) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that ``hits`` finds among sets of ascending ``size``, tile by tile.
 
-    Pairs of two ``small`` sets are left to their own band; with ``cross`` only pairs of different blocks count.
+    Pairs of two ``small`` sets are left to their own band, pairs of one ``hub`` (0: none) are linked by it; with
+    ``cross`` only pairs of different blocks count.
     """
     label, out, n = np.arange(len(size)), [], len(size)
     for a in range(0, n, TILE):
@@ -194,7 +239,7 @@ def forest(size: np.ndarray, share: int, small: np.ndarray, cross: np.ndarray |
             y = slice(b, min(b + TILE, n))
             if 100 * size[x.stop - 1] < share * size[b]:
                 break  # no later set can be similar to one of this tile
-            hit = hits(x, y) & ~(small[x, None] & small[None, y])
+            hit = hits(x, y) & ~(small[x, None] & small[None, y]) & ((hub[x, None] != hub[None, y]) | (hub[x, None] == 0))
             if cross is not None:
                 hit &= cross[x, None] != cross[None, y]
             for p in (np.flatnonzero(hit.any(1)) + a).tolist():
@@ -280,12 +325,12 @@ def linked(df: DataFrame, share: int, payload: str, out: str, prepare: Callable[
 
     def run(group: pa.Table) -> pa.Table:
         claim("ngram_join", word_hashes.cache_clear)
-        block, pair, small, n, name = (group.column(c).to_numpy() for c in ("block", "pair", "small", "n", out))
+        block, pair, small, hub, n, name = (group.column(c).to_numpy() for c in ("block", "pair", "small", "hub", "n", out))
         held = group.column(payload).cast(pa.binary()).combine_chunks()
         a, b = [], []
         for rows in by_component(group):
             payloads = [x or b"" for x in held.take(pa.array(rows)).to_pylist()]
-            for p, q in forest(n[rows], share, small[rows], block[rows] if pair[rows[0]] else None, prepare(payloads, n[rows])):
+            for p, q in forest(n[rows], share, small[rows], hub[rows], block[rows] if pair[rows[0]] else None, prepare(payloads, n[rows])):
                 a.append(int(name[rows[p]]))
                 b.append(int(name[rows[q]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -293,21 +338,89 @@ def linked(df: DataFrame, share: int, payload: str, out: str, prepare: Callable[
     return df.groupBy("key").applyInArrow(run, "a long, b long")
 
 
+def hub_distances(df: DataFrame, words: int, share: int) -> DataFrame:
+    """(node, sid, to, linked, near) of the rows of each (comp, part), which also holds its hub: the sets that reach
+    the threshold with it, and those that a member of its cluster may reach it with."""
+
+    def run(group: pa.Table) -> pa.Table:
+        claim("ngram_join", word_hashes.cache_clear)
+        node, sid, hub = (group.column(c).to_numpy() for c in ("node", "sid", "is_hub"))
+        texts = group.column("text").cast(pa.binary()).to_pylist()
+        at = int(np.flatnonzero(hub)[0])
+        centre = shingles(texts[at] or b"", words)
+        found = []
+        for i in np.flatnonzero(~hub).tolist():
+            h = shingles(texts[i] or b"", words)
+            common = int((centre[np.minimum(np.searchsorted(centre, h), len(centre) - 1)] == h).sum())
+            union = len(h) + len(centre) - common
+            found.append((int(node[i]), int(sid[i]), int(sid[at]), 100 * common >= share * union, 100 * common >= (2 * share - 100) * union))
+        cols = list(zip(*found)) or [()] * 5
+        kinds = [pa.int64()] * 3 + [pa.bool_()] * 2
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("node", "sid", "to", "linked", "near"), cols, kinds)})
+
+    return df.groupBy("comp", "part").applyInArrow(run, "node long, sid long, to long, linked boolean, near boolean")
+
+
+def hubs(members: DataFrame, star: DataFrame, with_text: Callable[[DataFrame], DataFrame], words: int, share: int) -> tuple[DataFrame, DataFrame | None]:
+    """``members`` with a ``hub`` (0: none), large components broken up by rounds of hubs, and the links found (a, b of sids).
+
+    A component above the bounds of one task gives its cluster, which then meets only the sets near the hub, under a
+    component of their own; the rest stays and has its next round.
+    """
+    links, done = None, members.withColumn("hub", F.lit(0).cast("long"))
+    degree = star.groupBy(F.col("b").alias("of_b")).agg(F.count("*").alias("degree"))
+    for step in range(HUB_ROUNDS):
+        sizes = done.filter("hub = 0").groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("k"), F.sum("n").alias("held"))
+        sizes = sizes.filter((F.col("k") > BLOCK_NODES) | (F.col("held") > BLOCK_SHINGLES)).select("c", F.ceil(F.greatest(F.col("k") / BLOCK_NODES, F.col("held") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+        large = done.filter("hub = 0").join(sizes, F.col("comp") == F.col("c")).drop("c")
+        rows = large.join(degree, F.col("node") == F.col("of_b"), "left")
+        centre = rows.groupBy("comp").agg(F.max_by(F.struct("node", "sid", "rep", "mark", "parts"), F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("x")).select("comp", "x.*")
+        centre = table(centre, "ngram-hubs")
+        if centre.isEmpty():
+            drop_table(centre)
+            break
+        key = ["comp", "node", "sid", "rep", "mark"]
+        all_rows = large.select(*key, F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(False).alias("is_hub")).unionByName(
+            centre.select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_hub"))
+        )
+        found = table(hub_distances(with_text(all_rows), words, share), "ngram-hub-links")
+        new = found.filter("linked AND sid <> to").select(F.col("sid").alias("a"), F.col("to").alias("b"))
+        links = new if links is None else links.union(new)
+        told = done.join(found.select(F.col("node").alias("of_node"), "to", "linked", "near"), F.col("node") == F.col("of_node"), "left")
+        # The cluster and what is near it meet in a component of their own, the rest goes on.
+        ring = F.xxhash64("comp", F.lit(step))
+        roles = F.when(F.col("linked"), F.array(F.struct(ring.alias("comp"), F.col("to").alias("hub"))))
+        roles = roles.when(F.col("near"), F.array(F.struct(ring.alias("comp"), F.lit(0).cast("long").alias("hub")), F.struct("comp", F.lit(0).cast("long").alias("hub"))))
+        roles = roles.otherwise(F.array(F.struct("comp", "hub")))
+        keep = [c for c in members.columns if c != "comp"]
+        before, done = done, table(told.withColumn("x", F.explode(roles)).select("x.comp", *keep, "x.hub"), "ngram-parted")
+        # Only clusters with a set near them have anything left to compare.
+        open_ = done.filter("hub = 0").select(F.col("comp").alias("open")).distinct()
+        done = done.join(open_, F.col("comp") == F.col("open"), "left_semi")
+        release(members.sparkSession)
+    return done, links
+
+
 def join_components(df: DataFrame, words: int = 4, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links of ``share`` hundredths or more)."""
     spark = df.sparkSession
-    df = id_text(df, id_col, text_col)
+    df = id_text(df, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     docs = table(describe(df, words, share), "ngram-sets")
-    # Each node is a candidate of the least node in its bucket.
-    first = F.min("node").over(Window.partitionBy("sig").orderBy("node"))
-    star = signed(df, words, share).withColumn("least", first).filter("node <> least")
-    star = table(star.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "ngram-candidates")
+    star = table(candidates(df, words, share), "ngram-candidates")
     release(spark)
-    groups = components(star, "ngram-groups").withColumnRenamed("node", "of_node")
-    sets = docs.filter("sid IS NOT NULL").groupBy("sid").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "own", "next", "sketch")))
+    groups = components(star, "ngram-groups")
+    sets = docs.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), *(F.min(c).alias(c) for c in ("n", "own", "next", "sketch")))
     roles = F.explode(F.array(F.struct(F.col("own").alias("node"), F.lit(False).alias("small")), F.struct(F.col("next").alias("node"), F.lit(True).alias("small"))))
-    nodes = sets.select("sid", F.col("doc_id").alias("rep"), "n", "sketch", roles.alias("x")).select("sid", "rep", "n", "sketch", "x.*")
-    members = table(groups.join(nodes, F.col("of_node") == F.col("node")).drop("of_node").withColumn("one", F.lit(1)), "ngram-members")
+    nodes = sets.select("sid", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("mark"), "n", "sketch", roles.alias("x")).select("sid", "rep", "mark", "n", "sketch", "x.*")
+    members = table(groups.withColumnRenamed("node", "of_node").join(nodes, F.col("of_node") == F.col("node")).drop("of_node"), "ngram-members")
+    drop_table(groups)
+    texts = df.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "text")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        """A set's text is that of the row (doc_id, mark) which stands for it."""
+        return rows.join(texts, F.col("rep").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).drop("id", "m", "rep", "mark")
+
+    parted, links = hubs(members, star, with_text, words, share)
 
     def thin(payloads: list[bytes], n: np.ndarray) -> Hits:
         counts = [np.frombuffer(x, np.uint16).astype(np.int32) for x in payloads]
@@ -315,16 +428,18 @@ def join_components(df: DataFrame, words: int = 4, share: int = 85, id_col: str
             counts = [c.reshape(SKETCH, -1).sum(1) for c in counts]
         return near(np.array(counts), n, share)
 
-    possible = table(linked(placed(members, "one", BLOCK_NODES), share, "sketch", "node", thin), "ngram-possible")
-    groups = components(possible, "ngram-thinned").withColumnRenamed("node", "of_node").withColumnRenamed("comp", "to_comp")
-    members = table(members.join(groups, F.col("of_node") == F.col("node")).select(F.col("to_comp").alias("comp"), "node", "sid", "rep", "n", "small"), "ngram-thin-members")
-    texts = df.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    with_text = placed(members, "n", BLOCK_SHINGLES).join(texts, F.col("rep") == F.col("id")).drop("id", "rep")
-    exact = linked(with_text, share, "text", "sid", lambda payloads, n: similar([shingles(t, words) for t in payloads], share))
-    links = table(exact, "ngram-links")
+    possible = table(linked(placed(parted.withColumn("one", F.lit(1)), "one", BLOCK_NODES), share, "sketch", "node", thin), "ngram-possible")
+    thinned = components(possible, "ngram-thinned")
+    of = thinned.toDF("of_node", "to_comp")
+    once = parted.groupBy("node").agg(*(F.max(c).alias(c) for c in ("sid", "rep", "mark", "n", "small", "hub")))
+    left = table(once.join(of, F.col("of_node") == F.col("node")).select(F.col("to_comp").alias("comp"), "node", "sid", "rep", "mark", "n", "small", "hub"), "ngram-thin-members")
+    exact = linked(with_text(placed(left, "n", BLOCK_SHINGLES)), share, "text", "sid", lambda payloads, n: similar([shingles(t, words) for t in payloads], share))
+    links = table(exact if links is None else exact.union(links), "ngram-links")
     release(spark)
-    found = components(links, "ngram-components").withColumnRenamed("node", "of_sid")
-    label = docs.join(found, docs["sid"] == found["of_sid"], "left").select("doc_id", "n", F.coalesce("comp", "sid").alias("c"))
+    found = components(links, "ngram-components")
+    label = docs.join(found.withColumnRenamed("node", "of_sid"), docs["sid"] == F.col("of_sid"), "left").select("doc_id", "n", F.coalesce("comp", "sid").alias("c"))
     label = table(label, "ngram-labels")
+    for used in (docs, star, members, possible, thinned, left, links, found):
+        drop_table(used)
     least = label.filter("c IS NOT NULL").groupBy(F.col("c").alias("of_c")).agg(F.min("doc_id").alias("m"))
     return label.join(least, label["c"] == least["of_c"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))

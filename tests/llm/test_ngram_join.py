@@ -63,6 +63,15 @@ def test_blocks_of_large_components(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute(rows, 4, 85)
 
 
+def test_repeated_ids(spark):
+    """Rows of one id with different texts each keep their own links."""
+    rng = random.Random(8)
+    a, c = (" ".join(f"r{rng.randrange(9_000)}" for _ in range(200)) for _ in range(2))
+    b = a.rsplit(" ", 2)[0] + " other end"
+    rows = [(5, a), (5, c), (6, b), (7, c), (9, b), (9, a)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85) == brute(rows, 4, 85)
+
+
 def test_odd_rows(odd, none, odd_rows):
     assert got(odd, 4, 85) == brute([r[:2] for r in odd_rows], 4, 85)
     assert ngram_join.join_components(none).collect() == []
