@@ -1,8 +1,8 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 A document is its set of hashed word shingles. Two sets x and y whose Jaccard similarity reaches the threshold t
-differ in at most ``(|x| + |y|) (1 - t) / (1 + t)`` elements. Sets are banded by size; a set signs for its own band
-and for the next, as the smaller partner. For a band the domain of hashes is cut into groups of ``PARTS``
+differ in at most ``(|x| + |y|) (1 - t) / (1 + t)`` elements. Sets are banded by size, ``1 / t**WIDE`` from end to
+end; a set signs for its own band and, where its larger partners reach there, for the next, as the smaller one. For a band the domain of hashes is cut into groups of ``PARTS``
 partitions (first level); in each group all subsets of ``PARTS - MISS`` partitions are enumerated (second level),
 and what a set holds in such a subset is a signature. Spoiling all subsets of a group takes ``MISS + 1``
 differences, so two similar sets agree in some signature of at least ``agreeing`` groups.
@@ -44,7 +44,9 @@ from annalist.llm.common import as_bytes, blocks, claim, column, drop_table, id_
 from annalist.llm.components import components
 
 #: Partitions of a group, differences that spoil not all of its subsets, and groups beyond those that differences can spoil.
-PARTS, MISS, SPARE = 3, 1, 0.25
+PARTS, MISS, SPARE = 3, 1, 0.1
+#: Sizes of a band, as a power of the largest ratio of similar sets.
+WIDE = 2
 #: Words whose hashes a Python worker remembers.
 CACHE_WORDS = 200_000
 #: Shingles that one verifying task holds, about.
@@ -110,16 +112,27 @@ class PartEnum:
         self.share = share
         self.starts = [1]
 
+    def start(self, band: int) -> int:
+        """Least size in a band."""
+        while len(self.starts) <= band:
+            start = self.starts[-1]
+            for _ in range(WIDE):
+                start = start * 100 // self.share + 1
+            self.starts.append(start)
+        return self.starts[band]
+
     def band(self, size: int) -> int:
         while self.starts[-1] <= size:
-            self.starts.append(self.starts[-1] * 100 // self.share + 1)
+            self.start(len(self.starts))
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
     def most(self, band: int) -> int:
         """Largest size in a band."""
-        while len(self.starts) < band + 2:
-            self.starts.append(self.starts[-1] * 100 // self.share + 1)
-        return self.starts[band + 1] - 1
+        return self.start(band + 1) - 1
+
+    def partner(self, size: int) -> int:
+        """Largest size of a similar set."""
+        return size * 100 // self.share
 
     def differences(self, one: int, other: int) -> int:
         """Most elements in which similar sets of these sizes differ."""
@@ -139,7 +152,7 @@ class PartEnum:
         own, out = self.band(len(h)), []
         sums = np.append(np.uint64(0), np.cumsum(mix(h ^ MIX1)))
         subsets = [list(x) for x in combinations(range(PARTS), PARTS - MISS)]
-        for band in (own, own + 1):
+        for band in (own, own + 1) if self.partner(len(h)) >= self.start(own + 1) else (own,):
             groups = self.groups(band)
             n = groups * PARTS
             edges = np.arange(1, n, dtype=np.uint64) * np.uint64(2**64 // n)
@@ -149,7 +162,7 @@ class PartEnum:
             held = np.stack([held[:, x].sum(1, dtype=np.uint64) for x in subsets], 1)
             place = np.arange(count.size).reshape(count.shape)
             order = count * count.size + place
-            agreeing = groups - self.differences(len(h), min(self.most(band), len(h) * 100 // self.share)) // (MISS + 1)
+            agreeing = groups - self.differences(len(h), min(self.most(band), self.partner(len(h)))) // (MISS + 1)
             keep = order >= np.partition(order.min(1), agreeing - 1)[agreeing - 1]
             name = (place.astype(np.uint64) + np.uint64(band << 32)) * MIX2 + np.uint64(1)
             out.append((band, mix(mix(name) + held)[keep].astype(np.int64)))
@@ -181,11 +194,8 @@ def describe(df: DataFrame, words: int, share: int) -> DataFrame:
 
 
 def signed(df: DataFrame, words: int, share: int) -> DataFrame:
-    """(sig, node, to) of every set: with ``to`` null a signature of the node, else a link to the least of its block.
-
-    In a block only the least node of a signature signs; the others are linked to it, under a ``sig`` that only
-    deals them out. A set that a task has signed before is not signed again.
-    """
+    """(sig, node) of every set. In a block only the least node of a signature signs; each other is put with it under
+    a signature of the pair. A set that a task has signed before is not signed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram_join", word_hashes.cache_clear)
@@ -207,19 +217,16 @@ def signed(df: DataFrame, words: int, share: int) -> DataFrame:
             first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
             least = own[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
             link = own != least
-            pairs = np.unique(np.stack([own[link], least[link]], 1), axis=0)
-            to = np.append(np.zeros(first.sum(), np.int64), pairs[:, 1])
-            cols = [np.append(sig[first], mix(pairs[:, 0].astype(np.uint64)).astype(np.int64)), np.append(own[first], pairs[:, 0])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(to, mask=np.arange(len(to)) < first.sum())], ["sig", "node", "to"])
+            a, b = np.unique(np.stack([own[link], least[link]], 1), axis=0).T
+            pair = mix(mix(a.astype(np.uint64)) + b.astype(np.uint64) * MIX2).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([sig[first], pair, pair], [own[first], a, b])], ["sig", "node"])
 
-    return df.select("text").mapInArrow(run, "sig long, node long, to long")
+    return df.select("text").mapInArrow(run, "sig long, node long")
 
 
 def candidates(df: DataFrame, words: int, share: int) -> DataFrame:
     """Links (a, b) of each node to the least node of a bucket, all buckets."""
-    rows = signed(df, words, share)
-    first = F.min(F.when(F.col("to").isNull(), F.col("node"))).over(Window.partitionBy("sig"))
-    star = rows.withColumn("b", F.coalesce("to", first)).filter("node <> b")
+    star = signed(df, words, share).withColumn("b", F.min("node").over(Window.partitionBy("sig").orderBy("node"))).filter("node <> b")
     return star.select(F.col("node").alias("a"), "b").distinct()
 
 
