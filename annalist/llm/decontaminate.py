@@ -16,7 +16,8 @@ The space is fitted on at most ``FIT_PASSAGES`` passages, chosen by hash; all it
 
 Defined results: null and empty texts have no hits; items without words match nothing; repeated documents get equal
 hits; equal items each hit; an empty benchmark gives no hits; a text of any length is searched whole; other columns
-are kept as they are by ``with_hits`` and ignored by ``contaminated``.
+are kept as they are by ``with_hits``, but for one called ``hits``, which the result takes the place of, and ignored
+by ``contaminated``; names that begin with ``_hits_`` are reserved.
 """
 
 from __future__ import annotations
@@ -53,6 +54,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget() -> None:
+    """Named, so that a task clears its own worker's table and no copy of it travels along."""
+    _powers.clear()
+
+
 def byte_table() -> np.ndarray:
     """Lower-case ASCII letters, digits and bytes of other characters as they are; 0 between words."""
     table = np.zeros(256, np.uint8)
@@ -95,7 +101,7 @@ def frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold a word of each bucket, and the number of documents; the sums have a row for each bucket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("decontaminate", _powers.clear)
+        claim("decontaminate", forget)
         counts, n = np.zeros(BUCKETS, np.int64), 0
         for block in blocks(batches, limit=1 << 20):
             h, ends = words(as_bytes(block))
@@ -371,13 +377,13 @@ def with_hits(df: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
         shared = df.sparkSession.sparkContext.broadcast(build(rows, idf, vocabulary, projection))
 
         def start(shared=shared):
-            claim("decontaminate", _powers.clear)
+            claim("decontaminate", forget)
             own = Searcher(shared.value)
             return lambda block: [pa.array(own.search(as_bytes(block)), arrow)]
 
-        names.append(f"hits_{part}")
+        names.append(f"_hits_{part}")
         df = append(df, start, f"{names[-1]} {kind}", limit=1 << 20)
-    return df.withColumn("hits", F.concat(*names)).drop(*names)
+    return df.withColumn("hits", F.concat(*map(F.col, names))).drop(*names)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, answer_col: str | None = None) -> DataFrame:

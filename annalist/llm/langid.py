@@ -4,8 +4,10 @@ For each language a raw-content dictionary is filled with texts of that language
 with every dictionary, in chunks, and the language whose dictionary gives the fewest bytes is chosen. Where the
 lead over the second language is narrow the text is marked as rejected.
 
-The dictionaries are the fitted model: at most ``ROWS`` texts of at most ``MOST_CHARS`` characters a language,
-chosen by the hash of the id, ``DICT_BYTES`` of text each. Everything else covers all rows and whole texts.
+The dictionaries are the fitted model, of a bounded sample: of at most ``ROWS`` texts a language, in the order of a
+hash of id and text and those of ``LEAST_CHARS`` to ``MOST_CHARS`` characters first, whole texts are taken as long as
+they fit in ``DICT_BYTES``. A single text above that bound, where a language has no other, counts with that many
+bytes. Everything else covers all rows and whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; ties go to the language
 first in order of name; equal texts get equal results; no training row leaves every row ``und``; an empty table
@@ -52,11 +54,20 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
     keys = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), odd.alias("odd"), F.xxhash64(id_col, text_col).alias("h"))
     best = keys.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("odd", "h", "i"))).filter(F.col("k") <= ROWS)
     least = F.broadcast(best.select("i", "l", "k"))  # ROWS rows a language at most
-    found = rows.join(least, (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l"))).select("l", "k", F.substring(text_col, 1, MOST_CHARS).alias("t"))
+    found = rows.join(least, (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l"))).select("l", "k", F.col(text_col).alias("t"))
     texts: dict[str, list[str]] = {}
     for r in found.orderBy("l", "k").collect():
         texts.setdefault(r["l"], []).append(r["t"])
-    return {lang: b"".join(map(letters, t))[-DICT_BYTES:] for lang, t in sorted(texts.items())}
+    return {lang: sample(list(map(letters, t))) for lang, t in sorted(texts.items())}
+
+
+def sample(texts: list[bytes]) -> bytes:
+    """Whole texts, as many as fit; the first stands last, where references to it are cheapest."""
+    held = b""
+    for t in texts:
+        if len(t) + len(held) <= DICT_BYTES:
+            held = t + held
+    return held or texts[0][:DICT_BYTES]
 
 
 class Classifier:

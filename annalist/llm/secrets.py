@@ -9,7 +9,7 @@ fixed size from templates with known labels; a team's own triage results can tak
 Defined results: null and empty texts have no findings; a null path says nothing; repeated rows are found
 repeatedly; equal candidates of one text are separate findings, numbered in order; texts and candidates of any
 length are taken whole; an empty table gives an empty table; other columns are ignored by ``scan`` and kept by
-``redact``.
+``redact``, where names that begin with ``_secret_`` are reserved.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.llm.common import table
-from annalist.llm.host_rules import let
 
 NAMED = r"(?i:token|secret|passwd|password|passphrase|pwd|api.?key|access.?key|private.?key|client.?key|auth|credentials?)[A-Za-z0-9_\-]{0,16}[\"']?\s{0,2}[:=]\s{0,2}"
 #: In this order: the quoted and the unquoted value of a name, the password of a URL, a long token with a digit, one of mixed case, the quoted value of an assignment.
@@ -55,9 +54,9 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     low, near = F.lower(candidate), F.lower(F.concat_ws(" ", before, after))
     count = lambda c, p: F.regexp_count(c, F.lit(p)).cast("double")
     flag = lambda c, p: F.coalesce(c.rlike(p), F.lit(False)).cast("double")
-    chars = F.split(candidate, "")
-    kinds = F.array_distinct(chars)
-    entropy = F.aggregate(kinds, F.lit(0.0), lambda acc, k: acc - let(F.size(F.filter(chars, lambda c: c == k)) / size, lambda p: p * F.log2(p)))
+    # Equal characters put together are runs; their lengths give the entropy of a candidate of any length.
+    kinds = F.regexp_extract_all(F.array_join(F.array_sort(F.split(candidate, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    entropy = F.aggregate(F.transform(kinds, lambda k: F.length(k) / size), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return {
         "size": size,
         "digits": count(candidate, "[0-9]") / size,
@@ -66,7 +65,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "transitions": count(candidate, TRANSITION) / size,
         "bigrams": count(low, BIGRAMS) / size,
         "kinds": F.size(kinds) / F.least(size, F.lit(64.0)),
-        "entropy": F.when(size <= 4096, entropy).otherwise(6.0),
+        "entropy": entropy,
         "dictionary": 1.0 - F.length(F.regexp_replace(low, PLACEHOLDERS, "")) / size,
         "hex": flag(candidate, "^[0-9a-fA-F]+$"),
         "number": flag(candidate, r"^[0-9+\-]+$"),
@@ -140,42 +139,44 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
 
 
 def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that have candidates, with ``pieces`` (the text between them) and ``found``."""
+    """The rows that have candidates, with a key, the text between candidates and the candidates."""
     rows = df.filter(F.col(text_col).rlike(CANDIDATE))
-    return rows.withColumns({"pieces": F.split(text_col, CANDIDATE, -1), "found": F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))})
+    return rows.withColumns({"_secret_key": F.monotonically_increasing_id(), "_secret_pieces": F.split(text_col, CANDIDATE, -1), "_secret_found": F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))})
 
 
-def scored(rows: DataFrame, model: RandomForestClassificationModel, path: Column) -> DataFrame:
-    """A row for each candidate of ``rows``: nth, start (characters before it), candidate, score."""
-    length = F.transform("pieces", lambda p: F.length(p)), F.transform("found", lambda c: F.length(c))
+def scored(rows: DataFrame, model: RandomForestClassificationModel, path: Column, keep: list[str]) -> DataFrame:
+    """A row for each candidate of ``rows``: the columns ``keep``, nth, ahead (characters since the candidate before), candidate, score.
+
+    A row holds what stands beside its candidate, never the text, so the work is linear in a text's candidates.
+    """
+    beside = F.transform("_secret_pieces", lambda p: F.struct(F.right(p, F.lit(BESIDE)).alias("tail"), F.left(p, F.lit(BESIDE)).alias("head"), F.length(p).alias("size")))
+    rows = rows.select(*keep, path.alias("path"), beside.alias("pieces"), F.col("_secret_found").alias("found"))
     nth = F.posexplode(F.arrays_zip(F.col("found").alias("candidate"), F.slice("pieces", 1, F.size("found")).alias("before"), F.slice("pieces", 2, F.size("found")).alias("after")))
-    out = rows.withColumns({"piece_sizes": length[0], "sizes": length[1]}).select("*", nth.alias("nth", "x"))
-    total = lambda sizes, n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda acc, k: acc + k)
-    out = out.withColumns({
-        "start": (total("piece_sizes", F.col("nth") + 1) + total("sizes", F.col("nth"))).cast("long"),
-        "candidate": F.col("x.candidate"), "before": F.right("x.before", F.lit(BESIDE)), "after": F.left("x.after", F.lit(BESIDE)),
-    }).drop("piece_sizes", "sizes", "x", "pieces", "found")
-    out, names = with_features(out, path)
+    out = rows.select(*keep, "path", nth.alias("nth", "x"))
+    out = out.select(*keep, "path", "nth", F.col("x.before.size").cast("long").alias("ahead"), "x.candidate", F.col("x.before.tail").alias("before"), F.col("x.after.head").alias("after"))
+    out, names = with_features(out, F.col("path"))
     out = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(out)
-    return model.transform(out).withColumn("score", vector_to_array("probability")[1]).drop(*names, "features", "rawPrediction", "probability", "prediction", "before", "after")
+    return model.transform(out).select(*keep, "nth", "ahead", "candidate", vector_to_array("probability")[1].alias("score"))
 
 
 def scan(df: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row for each secret: doc_id, nth, start, candidate, score."""
+    """One row for each secret: doc_id, nth, start (characters before it), candidate, score."""
     own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(path_col).cast("string").alias("path"))
-    found = scored(candidates(own), model, F.col("path"))
-    return found.filter(F.col("score") >= THRESHOLD).select("doc_id", "nth", "start", "candidate", "score")
+    found = scored(candidates(own), model, F.col("path"), ["doc_id", "_secret_key"])
+    upto = Window.partitionBy("_secret_key").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.sum(F.col("ahead") + F.length("candidate")).over(upto) - F.length("candidate")
+    return found.withColumn("start", start.cast("long")).filter(F.col("score") >= THRESHOLD).select("doc_id", "nth", "start", "candidate", "score")
 
 
 def redact(df: DataFrame, model: RandomForestClassificationModel, text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``df`` with every secret replaced by a mask. Only rows with candidates are dealt out anew."""
     names = df.columns
-    some = table(candidates(df, text_col).withColumn("row_key", F.monotonically_increasing_id()), "secret-candidates")
-    marks = scored(some.select("row_key", F.col(path_col).cast("string").alias("path"), "pieces", "found"), model, F.col("path"))
-    marks = marks.filter(F.col("score") >= THRESHOLD).groupBy(F.col("row_key").alias("of_key")).agg(F.collect_set("nth").alias("secret"))
-    put = F.zip_with("pieces", F.transform("found", lambda c, i: F.when(F.array_contains("secret", i), F.lit(MASK)).otherwise(c)), lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
-    text = F.when(F.col("secret").isNull(), F.col(text_col)).otherwise(F.array_join(put, ""))
-    changed = some.join(marks, F.col("row_key") == F.col("of_key"), "left").withColumn(text_col, text).select(*names)
+    some = table(candidates(df, text_col), "secret-candidates")
+    marks = scored(some, model, F.col(path_col).cast("string"), ["_secret_key"])
+    marks = marks.groupBy(F.col("_secret_key").alias("_secret_of")).agg(F.sort_array(F.collect_list(F.struct("nth", (F.col("score") >= THRESHOLD).alias("hit")))).alias("_secret_marks"))
+    shown = F.zip_with("_secret_found", "_secret_marks", lambda c, m: F.when(m["hit"], F.lit(MASK)).otherwise(c))
+    text = F.array_join(F.zip_with("_secret_pieces", shown, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    changed = some.join(marks, F.col("_secret_key") == F.col("_secret_of")).withColumn(text_col, text).select(*names)
     return df.filter(~F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))).select(*names).unionByName(changed)
 
 

@@ -53,6 +53,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def forget() -> None:
+    """Named, so that a task clears its own worker's table and no copy of it travels along."""
+    _powers.clear()
+
+
 def scatter(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * MIX
     return x ^ (x >> np.uint64(29))
@@ -118,7 +123,7 @@ def find_anchors(df: DataFrame, length: int, gram: int) -> DataFrame:
     their members are rows without a gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("suffix_dedup", _powers.clear)
+        claim("suffix_dedup", forget)
         seen: set[int] = set()
         for block in blocks(batches, limit=SEGMENT):
             tids, texts = column(block, "tid").to_pylist(), as_bytes(block)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -120,7 +121,9 @@ class Decoder:
         return out
 
     def restore(self, token: str) -> str:
-        model = self.model
+        """The likeliest word. What all paths have in common is written out on the way, so a token of any length is
+        decoded as one in time linear in it."""
+        model, done = self.model, []
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for i in range(len(token)):
             step: dict[tuple[int, int], tuple[float, str]] = {}
@@ -135,7 +138,10 @@ class Decoder:
                     if key not in step or found > step[key]:
                         step[key] = found
             states = step
-        return max((s + model[a][b][0], t) for (a, b), (s, t) in states.items())[1]
+            if i % 32 == 31:
+                done.append(os.path.commonprefix([t for _, t in states.values()]))
+                states = {key: (s, t[len(done[-1]) :]) for key, (s, t) in states.items()}
+        return "".join(done) + max((s + model[a][b][0], t) for (a, b), (s, t) in states.items())[1]
 
 
 class Restorer:
@@ -154,8 +160,7 @@ class Restorer:
         if not core or not any(c.isalpha() or c in LOOKS for c in core) or core.isdigit():
             return ()
         if not PLAIN.match(core) or TRIPLE.search(core):
-            parts = [core] if len(core) <= 64 else [core[i : i + 64] for i in range(0, len(core), 64)]
-            core = "".join(self.decoder.restore(p) for p in parts)
+            core = self.decoder.restore(core)
         if not core:
             return ()
         tight = DOUBLE.sub(r"\1", core)
