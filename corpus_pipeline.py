@@ -26,11 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays; documents without words stay."""
-    docs = docs.select(COLUMNS)
-    groups = ngram_join.join_components(docs, words=SHINGLE_WORDS, share=SHARE)
-    firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+    """Of each group of linked documents the one with the least id stays; documents without words stay.
+
+    Rows are told apart by id and text, so a repeated id keeps one row of a group; of equal rows one stays.
+    """
+    rows = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("text")).alias("key"))
+    groups = ngram_join.join_components(rows, words=SHINGLE_WORDS, share=SHARE, id_col="key")
+    firsts = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("kept")).agg(F.sum((F.col("n_shingles") > 0).cast("int")).alias("n"))
+    kept = rows.join(firsts, F.col("key") == F.col("kept"))
+    return kept.filter("n <= 1").select(COLUMNS).union(kept.filter("n > 1").dropDuplicates(["key"]).select(COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
