@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 BLOCK_BYTES = 4 << 20
+#: The session's bound of what goes to a worker at once, and its default.
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: What operators remember in a Python worker from task to task: how to forget it, by operator.
 _FORGET: dict[str, Callable[[], None]] = {}
 
@@ -31,6 +33,12 @@ def claim(operator: str, forget: Callable[[], None]) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches no larger than a block, so that a task needs no more off its heap; a session's own choice stays."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BLOCK_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
@@ -70,6 +78,7 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names, whatever else the table holds."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -112,9 +121,11 @@ def append(df: DataFrame, start, added: str, limit: int = BLOCK_BYTES) -> DataFr
     """``df`` with further columns, computed block by block in Arrow.
 
     ``start()`` runs once a task and gives a function from a block to the arrays of ``added``. The rows keep their
-    order and all their columns; ``df`` has a string column ``text``.
+    order and all their columns but those that ``added`` names anew; ``df`` has a string column ``text``.
     """
-    names = [c for c in df.columns] + [x.split()[0] for x in added.split(", ")]
+    small_batches(df.sparkSession)
+    df = df.drop(*(x.split()[0] for x in added.split(", ")))
+    names = [*df.columns, *(x.split()[0] for x in added.split(", "))]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,14 +24,15 @@ from annalist.llm.common import table
 
 NAMED = r"(?i:token|secret|passwd|password|passphrase|pwd|api.?key|access.?key|private.?key|client.?key|auth|credentials?)[A-Za-z0-9_\-]{0,16}[\"']?\s{0,2}[:=]\s{0,2}"
 #: In this order: the quoted and the unquoted value of a name, the password of a URL, a long token with a digit, one of mixed case, the quoted value of an assignment.
-CANDIDATE = "|".join((
-    rf"""(?<=["'])(?<={NAMED}["'])[^"'\n]{{4,}}+(?=["'])""",
-    rf"""(?<=[:=\s])(?<={NAMED})[^\s"':=][^\s"']*(?<![.,;)}}\]])""",
+#: None begins inside a word; each has a short test that most places fail ahead of the look back for a name or over a token.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?:" + "|".join((
+    rf"""(?<=["'])(?<=[:=]\s{{0,2}}["'])(?<={NAMED}["'])[^"'\n]{{4,}}+(?=["'])""",
+    rf"""(?<=[:=\s])(?<=[:=]\s{{0,2}})(?<={NAMED})[^\s"':=][^\s"']*(?<![.,;)}}\]])""",
     r"""(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/@]++(?=@)""",
-    r"""(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}""",
-    r"""(?<![A-Za-z0-9+/_\-])(?=[a-z+/_\-]*+[A-Z])(?=[A-Z+/_\-]*+[a-z])[A-Za-z+/_\-]{20,}+={0,2}""",
+    r"""(?=[A-Za-z0-9+/_\-]{16})(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}""",
+    r"""(?=[A-Za-z+/_\-]{20})(?=[a-z+/_\-]*+[A-Z])(?=[A-Z+/_\-]*+[a-z])[A-Za-z+/_\-]{20,}+={0,2}""",
     r"""(?<=[:=]\s{0,2}["'])[^"'\s]{8,}+(?=["'])""",
-))
+)) + ")"
 BESIDE = 48
 TREES, DEPTH, SEED, THRESHOLD = 40, 8, 7, 0.5
 #: Labelled rows made for training.
