@@ -89,3 +89,75 @@ def html_text(html: Column) -> Column:
     for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         body = F.replace(body, F.lit(name), F.lit(value))
     return F.trim(F.regexp_replace(body, r"\s+", " "))
+
+
+def tokenize_simple(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Lower-case words of letters and digits of three characters or more, without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: (F.length(w) > 2) & ~w.isin(*stop) if stop else F.length(w) > 2)
+
+
+def json_lenient(text: Column) -> Column:
+    """The object in a reply, as JSON text: fences go, a missing last brace is added; null if it still is none."""
+    body = F.regexp_replace(text, "```(?:json)?", "")
+    from_brace = F.when(F.locate("{", body) > 0, F.substring(body, F.locate("{", body), F.length(body)))
+    whole = F.regexp_extract(from_brace, r"(?s)^(\{.*\})", 1)
+    fixed = F.when(whole != "", whole).otherwise(F.concat(F.rtrim(from_brace), F.lit("}")))
+    return F.when(F.try_parse_json(fixed).isNotNull(), fixed)
+
+
+def first_object(text: Column) -> Column:
+    """The first complete flat JSON object of a reply; null without one."""
+    found = F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), r"(\{[^{}]*\})", 1)
+    return F.when(F.try_parse_json(found).isNotNull(), found)
+
+
+def parse_choice_current(reply: Column, valid: Column, strict: bool = False) -> Column:
+    """The choice of the first complete object, under choice_id or decision; strict takes an object of one key only."""
+    obj = first_object(reply)
+    said = F.trim(F.coalesce(F.get_json_object(obj, "$.choice_id"), F.get_json_object(obj, "$.decision")))
+    fits = F.array_contains(valid, said)
+    return F.when(fits & (F.size(F.json_object_keys(obj)) == 1) if strict else fits, said)
+
+
+def sentences(text: Column) -> Column:
+    """Parts that end behind a stop followed by white space; empty parts go."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
+
+
+def expand_citations(text: Column, ids: Column) -> Column:
+    """Bracketed short ids as full markers where exactly one id equals the short one or ends with it behind an underscore."""
+    cited = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\[([A-Za-z0-9_, ]+)\]"), F.lit(1)), lambda c: F.split(c, r",\s*"))))
+
+    def marker(c: Column) -> Column:
+        fits = F.filter(ids, lambda i: (i == c) | F.endswith(i, F.concat(F.lit("_"), c)))
+        return F.when(F.size(fits) == 1, F.concat(F.lit("[session:"), fits[0], F.lit("]"))).otherwise(F.concat(F.lit("["), c, F.lit("]")))
+
+    # Lists of short ids are told apart first, then each is put in its place.
+    apart = F.regexp_replace(text, r"(?<=[A-Za-z0-9_]),\s*(?=[A-Za-z0-9_]+(?:,\s*[A-Za-z0-9_]+)*\])", "] [")
+    return F.aggregate(cited, apart, lambda acc, c: F.replace(acc, F.concat(F.lit("["), c, F.lit("]")), marker(c)))
+
+
+def valid_summary(text: Column, headings: list[str], ids: Column) -> Column:
+    """All headings as lines in their order, every cited id known, every bullet with a citation."""
+    found = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.isin(*headings))
+    bullets = F.filter(F.split(text, "\n"), lambda x: F.startswith(F.trim(x), F.lit("- ")))
+    return (found == F.array(*map(F.lit, headings))) & F.forall(session_ids(text), lambda i: F.array_contains(ids, i)) & F.forall(bullets, lambda b: F.size(session_ids(b)) > 0)
+
+
+def render_bounded(facts: Column, per_section: int = 1, chars: int = 240, n_ids: int = 2) -> Column:
+    """Facts (section, text, ids) as markdown: so many a section, cut texts, at most so many ids behind each."""
+    line = lambda f: F.concat(F.lit("- "), F.substring(f["text"], 1, chars), F.lit(" "), F.array_join(F.transform(F.slice(f["ids"], 1, n_ids), lambda i: F.concat(F.lit("[session:"), i, F.lit("]"))), " "))
+    sections = F.array_distinct(F.transform(facts, lambda f: f["section"]))
+    part = lambda s: F.concat(F.lit("## "), s, F.lit("\n"), F.array_join(F.transform(F.slice(F.filter(facts, lambda f: f["section"] == s), 1, per_section), line), "\n"))
+    return F.array_join(F.transform(sections, part), "\n")
+
+
+def build_prompt(context: Column, query: Column, choices: Column, task: Column | None = None) -> Column:
+    """The reader's prompt: memory, question, a line for each choice, and the task where one is given."""
+    parts = [F.concat(F.lit("MEMORY\n"), context), F.concat(F.lit("QUESTION\n"), query), F.concat(F.lit("CHOICES\n"), F.array_join(F.transform(choices, lambda c: F.concat(c["choice_id"], F.lit(". "), c["text"])), "\n"))]
+    return F.concat_ws("\n\n", *parts, *([task] if task is not None else []))
+
+
+def json_keys(text: Column) -> Column:
+    """Names of all keys of a JSON text, at any depth."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"\\\\.", ""), F.lit(r'"([^"]*)"\s*:'), F.lit(1)))

@@ -34,3 +34,18 @@ def inherit_edges(edges: DataFrame, old: int, new: int, lineage: str) -> DataFra
     """All edges of ``old`` but lineage ones go to ``new``; loops and repetitions are dropped."""
     move = lambda c: F.when((F.col(c) == old) & (F.col("kind") != lineage), new).otherwise(F.col(c)).alias(c)
     return edges.select(move("src"), move("dst"), "kind").filter("src <> dst").dropDuplicates()
+
+
+def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """id, node, path (nodes on the way) and steps of the shortest paths of at most ``depth`` edges; ties by the smaller path.
+
+    Each step joins the frontier with the edges; of the paths to a node one goes on, and a node that has been reached
+    is not reached again, so no more than a row for each start and node is kept.
+    """
+    front = starts.select("id", F.col("id").alias("node"), F.array("id").alias("path"))
+    found = front.withColumn("steps", F.lit(0))
+    for step in range(1, depth + 1):
+        onward = front.join(edges, F.col("node") == F.col("src")).select("id", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        front = onward.groupBy("id", "node").agg(F.min("path").alias("path")).join(found.select("id", "node"), ["id", "node"], "left_anti")
+        found = found.unionByName(front.withColumn("steps", F.lit(step)))
+    return found

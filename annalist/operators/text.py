@@ -24,16 +24,19 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text:
     """query, doc, score and rank by Okapi BM25: k1 1.5, b 0.75, negative idf replaced by a quarter of the mean idf.
 
     Only documents that share a term with a query are scored; a query's terms count as often as they stand in it.
-    Term statistics join the query's terms by term, so postings of other terms are never dealt out.
+    Document frequencies are counted in each task before they are dealt out; of the postings only those of the
+    queries' terms are kept, before they are counted.
     """
-    terms = term_counts(docs, doc_id, doc_text)
-    stats = docs.select(tokens(F.col(doc_text)).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("w"))
+    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = terms.join(asked, "term").join(idf, "term")
+    sought = asked.select("term").distinct().join(idf, "term")
+    held = words.select("doc", F.size("w").alias("len"), F.explode("w").alias("term")).join(sought, "term").groupBy("doc", "len", "term", "avgdl", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    hits = held.join(asked, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scores = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "doc"))).filter(F.col("rank") <= k)
@@ -61,6 +64,26 @@ def tfidf_pairs(df: DataFrame, doc_id: str, text: str, threshold: float) -> Data
     return both.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("score")).filter(F.col("score") >= threshold)
 
 
+def tfidf_rerank(found: DataFrame, queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, share: float, k: int) -> DataFrame:
+    """``found`` (query, doc, score) ranked anew by (1 - share) score + share times the TF-IDF cosine, the k best.
+
+    Norms need the weights of all terms of the documents found, so only their terms are counted.
+    """
+    own = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("w"))
+    n = own.agg(F.count(F.lit(1)).alias("n"))
+    df = own.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("i"))  # one row
+    hit = own.join(found.select(F.col("doc").alias("hit")).distinct(), F.col("doc") == F.col("hit"), "left_semi")
+    weigh = lambda rows, key: rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")).join(idf, "term").select(key, "term", (F.col("n") * F.col("i")).alias("w"))
+    d = weigh(hit.select("doc", F.explode("w").alias("term")), "doc")
+    q = weigh(queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")), "query")
+    norm = lambda rows, key: rows.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{key}_norm"))
+    dot = found.join(q.withColumnRenamed("w", "qw"), "query").join(d, ["doc", "term"]).groupBy("query", "doc", "score").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    both = dot.join(norm(q, "query"), "query").join(norm(d, "doc"), "doc")
+    out = both.select("query", "doc", F.round((1 - share) * F.col("score") + share * F.col("dot") / (F.col("query_norm") * F.col("doc_norm")), 6).alias("score"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "doc"))).filter(F.col("rank") <= k)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to all tasks at once.
-QUERY_BLOCK = 4_096
+#: Queries and memories that one task multiplies.
+QUERY_BLOCK, MEMORY_BLOCK = 1_024, 8_192
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-10) -> Column:
@@ -24,50 +22,103 @@ def unit(rows: list, width: int) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def topk(queries: DataFrame, memories: DataFrame, k: int, query_id: str = "query_id", memory_id: str = "memory_id", vector: str = "embedding", threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
+def top(score: np.ndarray, names: np.ndarray, fits: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores among those that fit; ties by name."""
+    keep = np.flatnonzero(fits)
+    if len(keep) > 4 * k:
+        own = score[keep]
+        keep = keep[own >= np.partition(own, len(own) - k)[len(own) - k]]
+    return keep[np.lexsort((names[keep], -score[keep]))[:k]]
+
+
+def blocks(queries: DataFrame, rows: DataFrame):
+    """Cogroups of a block of queries (column q) and one of rows (column memory), each pair of blocks once."""
+    n_query, n_memory = queries.count() // QUERY_BLOCK + 1, rows.count() // MEMORY_BLOCK + 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_query)).cast("int")).withColumn("mb", each(n_memory))
+    right = rows.withColumn("mb", F.pmod(F.xxhash64("memory"), F.lit(n_memory)).cast("int")).withColumn("qb", each(n_query))
+    return left.groupBy("qb", "mb").cogroup(right.groupBy("qb", "mb"))
+
+
+def overlap_topk(queries: DataFrame, rows: DataFrame, key: str, tag: str, k: int, least: int) -> DataFrame:
+    """a, b and n: for each key of ``queries`` the k other keys of ``rows`` with the most tags in common, ``least`` or more; ties by key.
+
+    Tags in common are counted as products of indicator matrices of a block of queries and one of rows.
+    """
+    sets = lambda df, name: df.groupBy(F.col(key).alias(name)).agg(F.collect_set(tag).alias("t"))
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, names = np.array(asked.column("q").to_pylist()), np.array(held.column("memory").to_pylist())
+        a, b, n = [], [], []
+        if len(ids) and len(names):
+            (qt, qo), (mt, mo) = (flat(x) for x in (asked, held))
+            known, qt = np.unique(qt, return_inverse=True)
+            at = np.minimum(np.searchsorted(known, mt), len(known) - 1)
+            mo, mt = mo[known[at] == mt], at[known[at] == mt]
+            common = np.zeros((len(ids), len(names)), np.float32)
+            for lo in range(0, len(known), 1024):
+                parts = []
+                for t, o, size in ((qt, qo, len(ids)), (mt, mo, len(names))):
+                    own = (t >= lo) & (t < lo + 1024)
+                    parts.append(np.zeros((size, min(1024, len(known) - lo)), np.float32))
+                    parts[-1][o[own], t[own] - lo] = 1
+                common += parts[0] @ parts[1].T
+            for i, row in enumerate(common):
+                best = top(row, names, (row >= least) & (names != ids[i]), k)
+                a.append(np.full(len(best), i))
+                b.append(best)
+                n.append(row[best])
+        at, to, n = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b, n))
+        return pa.table({"a": asked.column("q").take(pa.array(at)), "b": held.column("memory").take(pa.array(to)), "n": pa.array(n)})
+
+    own, rows = sets(queries, "q"), sets(rows, "memory")
+    kinds = dict(own.dtypes)["q"], dict(rows.dtypes)["memory"]
+    found = blocks(own, rows).applyInArrow(run, f"a {kinds[0]}, b {kinds[1]}, n long")
+    return found.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))).filter(F.col("k") <= k).drop("k")
+
+
+def flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All tags of the sets of a table, and the row of each."""
+    tags = table.column("t").combine_chunks()
+    return np.array(tags.flatten().to_pylist()), np.repeat(np.arange(len(tags)), tags.value_lengths().to_numpy())
+
+
+def topk(
+    queries: DataFrame, memories: DataFrame, k: int, query_id: str = "query_id", memory_id: str = "memory_id", vector: str = "embedding", threshold: float | None = None, exclude_self: bool = False, not_later: bool = False
+) -> DataFrame:
     """query, memory, score (cosine to 9 places) and rank of the k best memories; ties by memory id.
 
-    Queries go out in blocks of ``QUERY_BLOCK``; each task multiplies them with its own memories and keeps k a
-    query, so what is dealt out is k rows a query and task, whatever the number of memories. Null vectors never
-    rank. A threshold applies before the cut.
+    Queries and memories are cut into blocks of bounded size; a task multiplies one block of each and keeps k rows for
+    each of its queries, so no pair of vectors is a row and nothing passes through the driver. A memory is dealt out
+    once for each block of queries. Null vectors never rank. A threshold applies before the cut, and so does
+    ``not_later``, which leaves a query only memories whose id is not above its own.
     """
-    spark = memories.sparkSession
     own = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL")
-    count = own.count()
-    parts = count // QUERY_BLOCK + 1
     rows = memories.select(F.col(memory_id).alias("memory"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, names = np.array(asked.column("q").to_pylist()), np.array(held.column("memory").to_pylist())
+        qs, ms, ss = [], [], []
+        if len(ids) and len(names):
+            width = len(asked.column("v")[0])
+            scores = np.round(unit(asked.column("v").to_pylist(), width) @ unit(held.column("v").to_pylist(), width).T, 9)
+            for i, row in enumerate(scores):
+                fits = np.ones(len(row), bool) if threshold is None else row >= threshold
+                if exclude_self:
+                    fits &= names != ids[i]
+                if not_later:
+                    fits &= names <= ids[i]
+                best = top(row, names, fits, k)
+                qs.append(np.full(len(best), i))
+                ms.append(best)
+                ss.append(row[best])
+        at, to = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (qs, ms))
+        return pa.table({"query": asked.column("q").take(pa.array(at)), "memory": held.column("memory").take(pa.array(to)), "score": pa.array(np.concatenate([*ss, np.zeros(0)]), pa.float64())})
+
     kinds = own.schema["q"].dataType.simpleString(), rows.schema["memory"].dataType.simpleString()
-    out = None
-    for part in range(parts):
-        block = own.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).orderBy("q").collect()  # about QUERY_BLOCK rows
-        shared = spark.sparkContext.broadcast(([r["q"] for r in block], [list(r["v"]) for r in block]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors = shared.value
-            if not ids:
-                return
-            q = unit(vectors, len(vectors[0]))
-            for batch in batches:
-                memory = batch.column(0)
-                if not batch.num_rows:
-                    continue
-                scores = np.round(q @ unit(batch.column(1).to_pylist(), q.shape[1]).T, 9)
-                names = np.array(memory.to_pylist())
-                qs, ms, ss = [], [], []
-                for i, row in enumerate(scores):
-                    keep = np.flatnonzero((row >= threshold) if threshold is not None else np.ones(len(row), bool))
-                    if exclude_self:
-                        keep = keep[names[keep] != ids[i]]
-                    best = keep[np.lexsort((names[keep], -row[keep]))[:k]]
-                    qs += [ids[i]] * len(best)
-                    ms += names[best].tolist()
-                    ss += row[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(ms, memory.type), pa.array(ss, pa.float64())], ["query", "memory", "score"])
-
-        found = rows.mapInArrow(run, f"query {kinds[0]}, memory {kinds[1]}, score double")
-        out = found if out is None else out.unionByName(found)
+    found = blocks(own, rows).applyInArrow(run, f"query {kinds[0]}, memory {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "memory"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def centroid(df: DataFrame, group: str, vector: str = "embedding", weight: Column | None = None) -> DataFrame:
@@ -75,3 +126,36 @@ def centroid(df: DataFrame, group: str, vector: str = "embedding", weight: Colum
     w = F.lit(1.0) if weight is None else weight
     parts = df.select(group, w.alias("w"), F.posexplode(vector).alias("pos", "x")).groupBy(group, "pos").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("x"))
     return parts.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("centroid"))
+
+
+def matrix(df: DataFrame, group: str, id_col: str, vector: str = "embedding") -> DataFrame:
+    """All cosines (to 6 places) of the vectors of each group, which is one retrieved set; a zero vector has cosine 0."""
+
+    def run(held: pa.Table) -> pa.Table:
+        x = unit(held.column("v").to_pylist(), len(held.column("v")[0]))
+        sim = np.round(x @ x.T, 6)
+        n = len(x)
+        a, b = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+        return pa.table({"g": held.column("g").take(pa.array(a)), "a": held.column("i").take(pa.array(a)), "b": held.column("i").take(pa.array(b)), "sim": pa.array(sim.ravel())})
+
+    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("g").applyInArrow(run, f"g {kinds['g']}, a {kinds['i']}, b {kinds['i']}, sim double").withColumnRenamed("g", group)
+
+
+def diverse(df: DataFrame, group: str, id_col: str, bar: float, vector: str = "embedding") -> DataFrame:
+    """In order of id, the vectors of each group whose cosine (to 9 places) with no taken one is above the bar."""
+
+    def run(held: pa.Table) -> pa.Table:
+        ids = np.array(held.column("i").to_pylist())
+        order = np.argsort(ids)
+        x = unit(held.column("v").to_pylist(), len(held.column("v")[0]))
+        taken: list[int] = []
+        for i in order.tolist():
+            if not taken or np.round(x[taken] @ x[i], 9).max() <= bar:
+                taken.append(i)
+        return pa.table({"g": held.column("g").take(pa.array(taken)), "i": held.column("i").take(pa.array(taken))})
+
+    rows = df.select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("g").applyInArrow(run, f"g {kinds['g']}, i {kinds['i']}").select(F.col("g").alias(group), F.col("i").alias(id_col))

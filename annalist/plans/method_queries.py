@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from annalist.functions import chunks
 from annalist.functions import text as texts
-from annalist.operators import scoring, text, vectors
+from annalist.operators import dedup, scoring, text, vectors
 from annalist.plans import history
-from annalist.plans.search_queries import BM25, PAIRS, TOP, asked
+from annalist.plans.search_queries import BM25, FIRST_WINS, PAIRS, TOP, asked
 from annalist.registry import Registry, read
 
 R = Registry()
@@ -34,15 +34,6 @@ def pref_dual_search(spark, sf_dir):
     return sides[0].unionByName(sides[1])
 
 
-@R.query("hybrid_alpha", BM25 + ", b AS (SELECT query, doc, score FROM r WHERE rank <= 10), mm AS (SELECT query, doc, score, min(score) OVER (PARTITION BY query) AS lo, max(score) OVER (PARTITION BY query) AS hi FROM b) SELECT query, doc, round(0.5 * (score - lo) / (hi - lo + 0.000001) + 0.5 * (doc % 7) / 7.0, 3) AS score FROM mm")
-def hybrid_alpha(spark, sf_dir):
-    """Keyword scores scaled to [0, 1] within a query, mixed with another score."""
-    found = text.bm25(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), 10, "item_id", "text", "doc_id", "text")
-    w = Window.partitionBy("query")
-    scaled = (F.col("score") - F.min("score").over(w)) / (F.max("score").over(w) - F.min("score").over(w) + 1e-6)
-    return found.select("query", "doc", F.round(0.5 * scaled + 0.5 * (F.col("doc") % 7) / 7.0, 3).alias("score"))
-
-
 @R.query("triple_bm25", "WITH w AS (SELECT l_orderkey * 10 + l_linenumber AS doc, ['s' || l_suppkey, 'f' || l_returnflag, 'p' || l_partkey] AS w FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_partkey FROM lineitem) d), t AS (SELECT doc, unnest(w) AS term FROM w), tf AS (SELECT doc, 3 AS len, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w), d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS i FROM tf, n GROUP BY term, n), m AS (SELECT avg(i) AS m FROM d), idf AS (SELECT term, CASE WHEN i < 0 THEN 0.25 * m ELSE i END AS idf FROM d, m), qt AS (SELECT 's' || s_suppkey AS term, s_suppkey AS query FROM supplier WHERE s_suppkey % 20 = 0 UNION ALL SELECT 'fr', s_suppkey FROM supplier WHERE s_suppkey % 20 = 0), s AS (SELECT query, doc, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM (SELECT doc, len, lower(term) AS lt, term, tf FROM tf) f JOIN qt ON qt.term = lt JOIN idf ON lower(idf.term) = lt, n GROUP BY query, doc), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s) SELECT query, doc, round(score, 3) AS score FROM r WHERE rank <= 5")
 def triple_bm25(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_partkey").distinct()
@@ -88,7 +79,6 @@ R.statement("preupdate_recall", "SELECT l_partkey AS id FROM {lineitem} WHERE l_
 R.statement("get_nodes", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey IN (1, 2, 5, 8, 13)")
 R.statement("edge_exists", "SELECT n.n_nationkey, EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey) AS has_supplier FROM {nation} n")
 R.statement("delete_by_params", "SELECT o_orderkey FROM {orders} WHERE NOT (o_orderkey IN (1, 2, 3) OR o_custkey % 100 = 7 OR o_totalprice > 400000)")
-R.statement("update_strategy", "SELECT event_id, CASE WHEN value >= 50 THEN 'ADD' WHEN value >= 20 THEN 'REFLECT' ELSE 'APPEND' END AS action, round(value / 100 * CASE WHEN value >= 50 THEN 1 ELSE 0.5 END, 6) AS confidence FROM {events}")
 R.statement("event_update", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || chr(10) || 'more' ELSE 'new' END AS details FROM {events}")
 R.statement("event_merge_missing", "WITH u AS (SELECT doc_id AS id FROM {labels} WHERE quality = 1) SELECT coalesce(e.event_id, u.id) AS id, CASE WHEN u.id IS NULL THEN 'kept' WHEN e.event_id IS NULL THEN 'inserted' ELSE 'merged' END AS state FROM (SELECT event_id FROM {events} WHERE event_id % 3 <> 0) e FULL OUTER JOIN u ON u.id = e.event_id")
 R.statement("typed_update", "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE p_type <> 'ECONOMY' OR p_size > 5 UNION ALL SELECT p_partkey + 700000, upper(p_name) FROM {part} WHERE p_type = 'ECONOMY' AND p_size <= 5")
@@ -97,27 +87,24 @@ R.statement("dual_extract_merge", "WITH a AS (SELECT user_id, count(*) AS n FROM
 R.statement("segment_apply", "WITH l AS (SELECT conv_id, turn, sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM {conversations}) SELECT conv_id, CAST(segment AS BIGINT) AS segment, min(turn) AS first_turn, count(*) AS n FROM l GROUP BY conv_id, segment")
 R.statement("budgeted_context", "WITH d AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS t FROM {documents}) SELECT doc_id, CAST(CASE WHEN t <= 20000 THEN n_chars ELSE 20000 - (t - n_chars) END AS BIGINT) AS shown FROM d WHERE t - n_chars < 20000")
 R.statement("keyword_match", "SELECT doc_id FROM {documents} WHERE lower(text) LIKE '%license%' AND NOT lower(text) LIKE '%mit%'")
-R.statement("fulltext_rank", "WITH m AS (SELECT doc_id, CASE WHEN lower(text) LIKE '%licensed%' THEN 1 ELSE 0 END AS a, CASE WHEN lower(text) LIKE '%version%' THEN 1 ELSE 0 END AS b FROM {documents}), c AS (SELECT count(*) AS n FROM m WHERE a + b = 2) SELECT doc_id, a + b AS hits FROM m, c WHERE a + b = 2 OR (c.n < 10 AND a + b >= 1)")
 R.statement("epsilon_topk", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM {part}) x WHERE k <= 4")
-R.statement("memory_cap", "SELECT event_type, count(*) AS n, least(count(*), 1500) AS kept, count(*) > 0.8 * 1500 AS over FROM {events} GROUP BY event_type")
 R.statement("partition_by_user", "SELECT user_id % 8 AS part, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY 1")
 R.statement("incremental_segment", "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM {conversations}")
 R.statement("graph_add", "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey % 2 = 0 UNION SELECT l_orderkey FROM {lineitem} WHERE l_orderkey % 3 = 0")
-R.statement("private_field_guard", "SELECT event_id, coalesce(get_json_object(props, '$.gold_choice_id'), '') = '' AS clean FROM {events}", "SELECT event_id, coalesce(json_extract_string(props, '$.gold_choice_id'), '') = '' AS clean FROM events")
 
 
-@R.query("random_k")
+@R.query("random_k", "SELECT p_partkey FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT 10")
 def random_k(spark, sf_dir):
-    """A seeded uniform sample of ten; the seed fixes it for one layout of the table only, so no SQL states it."""
-    return read(spark, sf_dir, "part").select("p_partkey").orderBy(F.rand(42), "p_partkey").limit(10)
+    """A uniform sample of ten by a seeded hash of the key, the same for any layout of the table."""
+    return read(spark, sf_dir, "part").select("p_partkey").orderBy(F.md5(F.concat(F.lit("42:"), F.col("p_partkey").cast("string")).cast("binary")), "p_partkey").limit(10)
 
 
-@R.query("minhash_dedup", """WITH w AS (SELECT doc_id AS doc, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2)) AS w FROM documents), t AS (SELECT doc, len(w) AS n, unnest(w) AS term FROM w),
-p AS (SELECT a.doc AS a, b.doc AS b, count(*) AS c, any_value(a.n + b.n) AS s FROM t a JOIN t b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2) SELECT b AS doc_id, min(a) AS duplicate_of FROM p WHERE 100 * c >= 60 * (s - c) GROUP BY b""")
+@R.query("minhash_dedup", """WITH RECURSIVE w AS (SELECT doc_id AS doc, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2)) AS w FROM documents), t AS (SELECT doc, len(w) AS n, unnest(w) AS term FROM w),
+c AS (SELECT a.doc AS a, b.doc AS b, count(*) AS c, any_value(a.n + b.n) AS s FROM t a JOIN t b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2), p AS (SELECT a, b FROM c WHERE 100 * c >= 60 * (s - c)), """ + FIRST_WINS)
 def minhash_dedup(spark, sf_dir):
-    """Documents that are similar (0.6 or more of their tokens) to an earlier one; exact, so without the sketch's misses."""
-    pairs = text.jaccard_pairs(read(spark, sf_dir, "documents"), "doc_id", "text", 60)
-    return pairs.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("duplicate_of"))
+    """A document is dropped if it is similar (0.6 or more of their tokens) to an earlier kept one; exact, so without the sketch's misses."""
+    docs = read(spark, sf_dir, "documents")
+    return dedup.kept_first(docs, "doc_id", text.jaccard_pairs(docs, "doc_id", "text", 60))
 
 
 @R.query("fuzzy_partial")

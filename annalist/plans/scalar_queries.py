@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annalist.functions import text
-from annalist.operators import folds
+from annalist.operators import dedup, folds
 from annalist.plans import history
 from annalist.registry import Registry, read
 
@@ -115,7 +115,12 @@ def adjacent_similarity(spark, sf_dir):
 R.statement("local_maxima", "SELECT event_id FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events}) x WHERE value > p AND value > n")
 R.statement("snap_boundaries", "WITH " + history.SESSIONS + ", f AS (SELECT user_id, session_index AS i FROM sessions WHERE value > 60), c AS (SELECT user_id, session_index AS i FROM sessions WHERE domain = 'error'), k AS (SELECT f.user_id, f.i, max(CASE WHEN abs(f.i - c.i) <= 3 THEN 1 ELSE 0 END) AS near FROM f LEFT JOIN c ON c.user_id = f.user_id GROUP BY f.user_id, f.i), a AS (SELECT user_id, max(near) AS any_near FROM k GROUP BY user_id) SELECT k.user_id, CAST(k.i AS BIGINT) AS boundary FROM k JOIN a ON a.user_id = k.user_id WHERE near = 1 OR any_near = 0")
 R.statement("seq_timestamps", "SELECT conv_id, turn, CAST((ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 500 AS BIGINT) AS offset_ms FROM {conversations}")
-R.statement("alternating_seq", "SELECT conv_id, turn, CAST(ROW_NUMBER() OVER (ORDER BY conv_id, turn, role) - 1 AS BIGINT) AS seq FROM {conversations}")
+
+@R.query("alternating_seq", "SELECT conv_id, turn, CAST(ROW_NUMBER() OVER (ORDER BY conv_id, turn, role) - 1 AS BIGINT) AS seq FROM conversations")
+def alternating_seq(spark, sf_dir):
+    return dedup.numbered(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "seq", "conv_id", "turn", "role").select("conv_id", "turn", "seq")
+
+
 R.statement("segment_fallback", "SELECT conv_id, turn, CAST(floor(turn / 6) AS BIGINT) AS segment FROM {conversations}")
 R.statement("segment_bank", "SELECT 'turn' AS granularity, conv_id, count(*) AS n FROM {conversations} GROUP BY conv_id UNION ALL SELECT 'segment', conv_id, count(DISTINCT floor(turn / 6)) FROM {conversations} GROUP BY conv_id UNION ALL SELECT 'session', conv_id, 1 FROM {conversations} GROUP BY conv_id")
 R.statement("window_tier", "WITH n AS (SELECT doc_id, floor(length(text) / 3.0) AS n FROM {documents}) SELECT doc_id, CASE WHEN n <= 512 THEN '512' WHEN n <= 1024 THEN '1k' WHEN n <= 4096 THEN '4k' WHEN n <= 8192 THEN '8k' ELSE 'too long' END AS tier FROM n")
@@ -125,7 +130,23 @@ R.statement("normalize_entity", "SELECT p_partkey, replace(lower(p_name), ' ', '
 R.statement("md5_text", "SELECT doc_id, md5(text) AS digest FROM {documents}")
 R.statement("detect_lang", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[一-鿿]', '')) < 0.7 * length(text) THEN 'zh' ELSE 'en' END AS script FROM {documents}", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[一-鿿]', '', 'g')) < 0.7 * length(text) THEN 'zh' ELSE 'en' END AS script FROM documents")
 R.statement("compaction_limits", "SELECT a.attempt, CASE a.attempt WHEN 0 THEN 8192 WHEN 1 THEN 4096 ELSE 2048 END AS tokens FROM (SELECT DISTINCT CAST(event_id % 4 AS INT) AS attempt FROM {events}) a")
-R.statement("entropy_keep", "WITH w AS (SELECT p_brand AS word, count(*) AS n FROM {part} GROUP BY p_brand), r AS (SELECT word, n, ROW_NUMBER() OVER (ORDER BY n, word) AS k, count(*) OVER () AS c FROM w) SELECT word, round(-ln(CAST(n AS DOUBLE) / 2000) / ln(2), 5) AS bits FROM r WHERE k <= 0.6 * c")
+
+
+@R.query("entropy_keep", "WITH w AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word, len(w) AS size FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents) d), c AS (SELECT word, count(*) AS n FROM w GROUP BY word), t AS (SELECT count(*) AS total FROM w), r AS (SELECT w.doc_id, pos, w.word, size, ROW_NUMBER() OVER (PARTITION BY w.doc_id ORDER BY n, pos) AS k FROM w JOIN c ON c.word = w.word) SELECT doc_id, count(*) AS n_kept, md5(string_agg(word, ' ' ORDER BY pos)) AS kept_md5 FROM r WHERE k <= ceil(0.6 * size) GROUP BY doc_id")
+def entropy_keep(spark, sf_dir):
+    """Of each text the six tenths of its words with the most information (-log2 of their share of all words), in their order.
+
+    The share falls with the count, so words are ranked by counts over the whole table; ties by place.
+    """
+    words = read(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
+    placed = words.select("doc_id", F.size("w").alias("size"), F.posexplode("w").alias("pos", "word"))
+    counts = placed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "pos"))
+    best = placed.join(counts, "word").withColumn("k", rank).filter(F.col("k") <= F.ceil(F.col("size") * F.expr("0.6BD")))
+    kept = best.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("kept"))
+    return kept.select("doc_id", F.size("kept").cast("long").alias("n_kept"), F.md5(F.array_join(F.transform("kept", lambda x: x["word"]), " ").cast("binary")).alias("kept_md5"))
+
+
 R.statement("tumbling_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {events} GROUP BY 1, 2")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from annalist.operators import text, vectors
+from annalist.operators import dedup, text, vectors
 from annalist.registry import Registry, read
 
 R = Registry()
@@ -56,10 +56,8 @@ def payload_filter_topk(spark, sf_dir):
 def vector_asof_topk(spark, sf_dir):
     """Neighbours that are not later: the twenty best, without the row itself, then the ten best of those."""
     q, m = asked(spark, sf_dir)
-    later = F.col("memory_id") <= F.col("query_id")
-    pairs = q.withColumnRenamed("embedding", "qv").join(m, later).select(F.col("query_id").alias("query"), F.col("memory_id").alias("memory"), F.round(vectors.cosine(F.col("qv"), F.col("embedding"), 0.0), 9).alias("score"))
+    best = vectors.topk(q, m, 20, not_later=True).filter("memory <> query")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "memory")
-    best = pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 20 AND memory <> query")
     return shown(best.withColumn("rank", F.row_number().over(order)).filter("rank <= 10"))
 
 
@@ -127,15 +125,22 @@ def hybrid_rank(spark, sf_dir):
 @R.query("tag_overlap_topk", "WITH t AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 50 AS tag FROM lineitem), p AS (SELECT a.o AS a, b.o AS b, count(*) AS n FROM t a JOIN t b ON a.tag = b.tag AND a.o <> b.o WHERE a.o % 20 = 0 GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM p) x WHERE k <= 5")
 def tag_overlap_topk(spark, sf_dir):
     tags = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 50).alias("tag")).distinct()
-    pairs = tags.filter("o % 20 = 0").withColumnRenamed("o", "a").join(tags.withColumnRenamed("o", "b"), "tag").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return pairs.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))).filter("k <= 5").drop("k")
+    return vectors.overlap_topk(tags.filter("o % 20 = 0"), tags, "o", "tag", 5, 2)
 
 
-@R.query("tfidf_neardup", "WITH " + TOKENS.format(id="doc_id", text="text", table="documents") + """, t AS (SELECT doc, unnest(w) AS term FROM w), tf AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
-d AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n), w2 AS (SELECT doc, term, tf * idf AS w FROM tf JOIN d USING (term)), nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM w2 GROUP BY doc), u AS (SELECT doc, term, w / norm AS w FROM w2 JOIN nm USING (doc))
-SELECT a, b FROM (SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2) x WHERE score >= 0.75""")
+#: Of pairs p (a < b): which documents stay, decided one by one in the order of ids.
+FIRST_WINS = """n2 AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id FROM p UNION SELECT b FROM p)), nb AS (SELECT b AS id, list(a) AS earlier FROM p GROUP BY b),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS stay UNION ALL SELECT n2.k, CASE WHEN nb.earlier IS NOT NULL AND list_has_any(walk.stay, nb.earlier) THEN walk.stay ELSE list_append(walk.stay, n2.id) END FROM walk JOIN n2 ON n2.k = walk.k + 1 LEFT JOIN nb ON nb.id = n2.id),
+fin AS (SELECT stay FROM walk ORDER BY k DESC LIMIT 1) SELECT d.doc_id, n2.id IS NULL OR list_contains(fin.stay, n2.id) AS kept FROM documents d CROSS JOIN fin LEFT JOIN n2 ON n2.id = d.doc_id"""
+
+
+@R.query("tfidf_neardup", "WITH RECURSIVE " + TOKENS.format(id="doc_id", text="text", table="documents") + """, t AS (SELECT doc, unnest(w) AS term FROM w), tf AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+d AS (SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY term, n), w2 AS (SELECT doc, term, tf * idf AS w FROM tf JOIN d USING (term)), nm AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM w2 GROUP BY doc), u AS (SELECT doc, term, w / norm AS w FROM w2 JOIN nm USING (doc)),
+p AS (SELECT a, b FROM (SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS score FROM u a JOIN u b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2) x WHERE score >= 0.75), """ + FIRST_WINS)
 def tfidf_neardup(spark, sf_dir):
-    return text.tfidf_pairs(read(spark, sf_dir, "documents"), "doc_id", "text", 0.75).select("a", "b")
+    """Documents in the order of ids; one that is similar to an earlier kept one is dropped."""
+    docs = read(spark, sf_dir, "documents")
+    return dedup.kept_first(docs, "doc_id", text.tfidf_pairs(docs, "doc_id", "text", 0.75))
 
 
 @R.query("word_match_count", "SELECT doc_id, CAST(len(list_filter(['the', 'of', 'ed', 'zebra'], lambda q: contains(lower(text), q))) AS BIGINT) AS n FROM documents")

@@ -74,11 +74,6 @@ def graph_neighbors(spark, sf_dir):
 WALK = "WITH RECURSIVE " + GRAPH + ", st AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 20 = 0), {both}walk(id, node, steps) AS (SELECT id, id, 0 FROM st UNION SELECT w.id, e.dst, w.steps + 1 FROM walk w JOIN {e} e ON e.src = w.node WHERE w.steps < {d}) SELECT id, node, CAST(min(steps) AS INT) AS steps FROM walk GROUP BY 1, 2"
 
 
-@R.query("graph_path", WALK.replace("{both}", "").replace("{e}", "edges").replace("{d}", "2"))
-def graph_path(spark, sf_dir):
-    return graph.distances(edges(spark, sf_dir), starts(spark, sf_dir), 2)
-
-
 @R.query("graph_subgraph", WALK.replace("{both}", "b2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), ").replace("{e}", "b2").replace("{d}", "2"))
 def graph_subgraph(spark, sf_dir):
     return graph.distances(edges(spark, sf_dir), starts(spark, sf_dir), 2, directed=False)
@@ -182,13 +177,11 @@ R.statement("anti_rawfile_summary", "WITH s AS (SELECT l_partkey AS target FROM
 R.statement("event_expand", "SELECT DISTINCT b.event_id FROM {events} a JOIN {events} b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) WHERE a.event_id % 20 = 0")
 R.statement("links_expand", "WITH l AS (SELECT l_orderkey AS note, l_partkey AS link, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM {lineitem}) SELECT note, link FROM l WHERE pos <= 6")
 R.statement("key_or_tag_recall", "WITH t AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM {lineitem} WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey) SELECT o_orderkey FROM {orders} LEFT JOIN t ON t.l_orderkey = o_orderkey WHERE o_orderkey IN (1, 2, 3) OR coalesce(n, 0) >= 2")
-R.statement("lineage_join", "WITH m AS (SELECT event_id, 's' || (event_id % 600) AS marker FROM {events}), l AS (SELECT 's' || event_id AS marker, user_id FROM {events}) SELECT m.event_id, l.user_id FROM m LEFT JOIN l ON l.marker = m.marker")
 R.statement("history_log", "SELECT o_custkey AS memory_id, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version FROM {orders}")
 R.statement("ttl_delete", "SELECT event_id FROM {events} WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '14' DAY")
 R.statement("soft_delete", "SELECT event_id, user_id % 5 = 0 AS is_deleted FROM {events}")
 R.statement("type_counts", "SELECT p_type, count(*) AS n FROM {part} GROUP BY p_type")
 R.statement("delete_recover_cube", "SELECT c_custkey, c_mktsegment = 'HOUSEHOLD' AND c_custkey % 2 = 0 AS is_deleted FROM {customer}")
-R.statement("entity_merge", "WITH c AS (SELECT a.p_partkey AS id, b.p_partkey AS other, round(1 - abs(a.p_retailprice - b.p_retailprice) / 100, 4) AS score FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND b.p_partkey < a.p_partkey), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY score DESC, other) AS k FROM c WHERE score >= 0.9) SELECT p.p_partkey, coalesce(r.other, p.p_partkey) AS entity FROM {part} p LEFT JOIN r ON r.id = p.p_partkey AND r.k = 1")
 R.statement("ensure_parent", "SELECT p.p_partkey, coalesce(min(q.p_partkey), -1) AS parent FROM {part} p LEFT JOIN {part} q ON q.p_brand = p.p_brand AND q.p_type = p.p_type AND q.p_size = 1 GROUP BY p.p_partkey")
 R.statement("resume_checkpoint", "SELECT e.event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id AND l.quality = 1)")
 R.statement("get_edges", "WITH " + GRAPH + " SELECT src, dst, CASE WHEN src LIKE 'o%' THEN 'contains' ELSE 'supplied_by' END AS kind FROM edges WHERE dst LIKE 'p1%'")

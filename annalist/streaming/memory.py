@@ -100,3 +100,18 @@ def chronological(sessions: DataFrame, probes: DataFrame, start: Callable[[], ob
         return pd.DataFrame(out, columns=["probe_id", "memory_context"])
 
     return sessions.groupBy("user_id").cogroup(probes.groupBy("user_id")).applyInPandas(run, "probe_id string, memory_context string")
+
+
+def stand_in(summary: str, evicted: list[str]) -> str:
+    """What takes the model's place in a fold: the first word of each evicted session behind the summary so far."""
+    return " ".join([*([summary] if summary else []), *(t.split(" ", 1)[0] for t in evicted)])
+
+
+def compacted(df: DataFrame, budget: int, fold: Callable[[str, list[str]], str] = stand_in) -> DataFrame:
+    """user_id, summary and number of recent sessions by ``compact`` over each user's sessions (user_id, session_index, text)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        summary, recent = compact(group.sort_values("session_index")["text"].tolist(), budget, fold)
+        return pd.DataFrame([(group["user_id"].iloc[0], summary, len(recent))], columns=["user_id", "summary", "n_recent"])
+
+    return df.groupBy("user_id").applyInPandas(run, "user_id long, summary string, n_recent long")
