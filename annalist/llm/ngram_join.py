@@ -53,6 +53,8 @@ CACHE_WORDS = 200_000
 BLOCK_SHINGLES = 500_000
 #: Nodes that one thinning task holds, about.
 BLOCK_NODES = 8_192
+#: Buckets of text marks that are sent to all tasks at most, a long each.
+MARK_BUCKETS = 1 << 20
 #: Rounds of comparing a large component with a hub before it is compared in pairs of blocks.
 HUB_ROUNDS = 4
 TILE, SKETCH, FINE = 256, 64, 1_000
@@ -424,8 +426,12 @@ def join_components(df: DataFrame, words: int = 4, share: int = 85, id_col: str
     texts = df.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "text")
 
     def with_text(rows: DataFrame) -> DataFrame:
-        """A set's text is that of the row (doc_id, mark) which stands for it."""
-        return rows.join(texts, F.col("rep").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).drop("id", "m", "rep", "mark")
+        """A set's text is that of the row (doc_id, mark) which stands for it. Texts whose mark falls in no bucket of
+        those sought are left where they are; at most ``MARK_BUCKETS`` bucket numbers are sent out for that."""
+        bucket = lambda c: F.pmod(c, F.lit(MARK_BUCKETS))
+        sought = F.broadcast(rows.select(bucket(F.col("mark")).alias("sought")).distinct())
+        some = texts.join(sought, bucket(F.col("m")) == F.col("sought"), "left_semi")
+        return rows.join(some, F.col("rep").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).drop("id", "m", "rep", "mark")
 
     parted, links = hubs(members, star, with_text, words, share)
 

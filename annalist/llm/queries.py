@@ -43,7 +43,7 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from annalist.llm import secrets
 
-    return secrets.digest(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    return secrets.digest(read(spark, sf_dir, "documents"), secrets.standard(spark))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,18 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(rows)
 
 
+_standard: dict[str, RandomForestClassificationModel] = {}
+
+
+def standard(spark: SparkSession) -> RandomForestClassificationModel:
+    """The forest of ``labelled_findings``, which are the same each time; so an application trains it once."""
+    name = spark.sparkContext.applicationId
+    if name not in _standard:
+        _standard.clear()
+        _standard[name] = train(labelled_findings(spark))
+    return _standard[name]
+
+
 def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that have candidates, with a key, the text between candidates and the candidates."""
     rows = df.filter(F.col(text_col).rlike(CANDIDATE))
