@@ -45,7 +45,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become a mask; all documents stay."""
-    masked = secrets.redact(docs.select(COLUMNS), secrets.train(secrets.labelled_findings(spark)))
+    masked = secrets.redact(docs.select(COLUMNS), secrets.standard(spark))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
