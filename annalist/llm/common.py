@@ -29,8 +29,14 @@ def claim(operator: str, forget: Callable[[], None]) -> None:
     _FORGET[operator] = forget
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give free memory back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if (give := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give(0)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -83,7 +89,7 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def blocks(batches: Iterator[pa.RecordBatch], by: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose ``by`` column holds at most ``limit`` bytes, or a single row."""
+    """Slices of the batches whose ``by`` column holds at most ``limit`` bytes, or a single row. At the end free memory goes back."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(by))
         if batch.num_rows == 0:
@@ -96,6 +102,7 @@ def blocks(batches: Iterator[pa.RecordBatch], by: str = "text", limit: int = BLO
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+    trim()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -103,7 +103,7 @@ def frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("decontaminate", forget)
         counts, n = np.zeros(BUCKETS, np.int64), 0
-        for block in blocks(batches, limit=1 << 20):
+        for block in blocks(batches, limit=1 << 18):
             h, ends = words(as_bytes(block))
             n += block.num_rows
             if len(h):
@@ -382,7 +382,7 @@ def with_hits(df: DataFrame, benchmark: DataFrame, item_col: str = "item_id", te
             return lambda block: [pa.array(own.search(as_bytes(block)), arrow)]
 
         names.append(f"_hits_{part}")
-        df = append(df, start, f"{names[-1]} {kind}", limit=1 << 20)
+        df = append(df, start, f"{names[-1]} {kind}", limit=1 << 19)
     return df.withColumn("hits", F.concat(*map(F.col, names))).drop(*names)
 
 

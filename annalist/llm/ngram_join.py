@@ -48,7 +48,7 @@ PARTS, MISS, SPARE = 3, 1, 0.1
 #: Sizes of a band, as a power of the largest ratio of similar sets.
 WIDE = 2
 #: Words whose hashes a Python worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Shingles that one verifying task holds, about.
 BLOCK_SHINGLES = 500_000
 #: Nodes that one thinning task holds, about.
@@ -182,7 +182,7 @@ def describe(df: DataFrame, words: int, share: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("ngram_join", word_hashes.cache_clear)
         enum = PartEnum(share)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=1 << 20):
             sets = [shingles(t, words) for t in as_bytes(block)]
             sid = [set_id(h) if len(h) else None for h in sets]
             bands = [enum.band(len(h)) if len(h) else 0 for h in sets]
@@ -191,6 +191,7 @@ def describe(df: DataFrame, words: int, share: int) -> DataFrame:
                 [column(block, "doc_id"), column(block, "mark"), *(pa.array(x, pa.int64()) for x in (sid, [len(h) for h in sets], *nodes)), pa.array(map(sketch, sets), pa.binary())],
                 ["doc_id", "mark", "sid", "n", "own", "next", "sketch"],
             )
+        word_hashes.cache_clear()
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, mark long, sid long, n long, own long, next long, sketch binary")
 
@@ -207,7 +208,7 @@ def signed(df: DataFrame, words: int, share: int) -> DataFrame:
             for text in as_bytes(block):
                 h = shingles(text, words)
                 if len(h) and (sid := set_id(h)) not in seen:
-                    if len(seen) > 200_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(sid)
                     for band, found in enum.signatures(h):
@@ -222,6 +223,7 @@ def signed(df: DataFrame, words: int, share: int) -> DataFrame:
             a, b = np.unique(np.stack([own[link], least[link]], 1), axis=0).T
             pair = mix(mix(a.astype(np.uint64)) + b.astype(np.uint64) * MIX2).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([sig[first], pair, pair], [own[first], a, b])], ["sig", "node"])
+        word_hashes.cache_clear()
 
     return df.select("text").mapInArrow(run, "sig long, node long")
 
