@@ -20,16 +20,17 @@ def term_counts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str, repeated: bool = False) -> DataFrame:
     """query, doc, score and rank by Okapi BM25: k1 1.5, b 0.75, negative idf replaced by a quarter of the mean idf.
 
     Only documents that share a term with a query are scored; a query's terms count as often as they stand in it.
     Document frequencies are counted in each task before they are dealt out; of the postings only those of the
-    queries' terms are kept, before they are counted.
+    queries' terms are kept, before they are counted. With ``repeated`` an id may have several rows, which count once.
     """
     words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("w"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    held = words.select("doc", F.explode(F.array_distinct("w")).alias("term"))
+    df = (held.distinct() if repeated else held).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(stats)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row

@@ -39,7 +39,7 @@ def triple_bm25(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_partkey").distinct()
     rows = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc"), F.concat(F.lit("s"), "l_suppkey", F.lit(" f"), "l_returnflag", F.lit(" p"), "l_partkey").alias("t"))
     q = read(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("query"), F.concat(F.lit("s"), "s_suppkey", F.lit(" fR")).alias("qt"))
-    return text.bm25(q, rows, 5, "query", "qt", "doc", "t").select("query", "doc", F.round("score", 3).alias("score"))
+    return text.bm25(q, rows, 5, "query", "qt", "doc", "t", repeated=True).select("query", "doc", F.round("score", 3).alias("score"))
 
 
 @R.query("component_hit", "WITH " + history.SETS + ", t AS (SELECT probe_id, session_id FROM raw WHERE k <= 5), p AS (SELECT probe_id, session_id, ROW_NUMBER() OVER (PARTITION BY probe_id ORDER BY session_id) % 2 AS grp FROM pos), g AS (SELECT p.probe_id, grp, max(CASE WHEN t.session_id IS NULL THEN 0 ELSE 1 END) AS partly, min(CASE WHEN t.session_id IS NULL THEN 0 ELSE 1 END) AS whole FROM p LEFT JOIN t ON t.probe_id = p.probe_id AND t.session_id = p.session_id GROUP BY 1, 2) SELECT probe_id, round(avg(partly), 6) AS component_hit, round(avg(whole), 6) AS component_complete, min(whole) = 1 AS complete_chain FROM g GROUP BY probe_id")
