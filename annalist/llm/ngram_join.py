@@ -378,12 +378,12 @@ def hubs(members: DataFrame, star: DataFrame, with_text: Callable[[DataFrame], D
     A component above the bounds of one task gives its cluster, which then meets only the sets near the hub, under a
     component of their own; the rest stays and has its next round.
     """
-    links, done = None, members.withColumn("hub", F.lit(0).cast("long"))
+    links, done = None, members.withColumns({"hub": F.lit(0).cast("long"), "ring": F.lit(False)})
     degree = star.groupBy(F.col("b").alias("of_b")).agg(F.count("*").alias("degree"))
     for step in range(HUB_ROUNDS):
-        sizes = done.filter("hub = 0").groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("k"), F.sum("n").alias("held"))
+        sizes = done.filter("NOT ring").groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("k"), F.sum("n").alias("held"))
         sizes = sizes.filter((F.col("k") > BLOCK_NODES) | (F.col("held") > BLOCK_SHINGLES)).select("c", F.ceil(F.greatest(F.col("k") / BLOCK_NODES, F.col("held") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-        large = done.filter("hub = 0").join(sizes, F.col("comp") == F.col("c")).drop("c")
+        large = done.filter("NOT ring").join(sizes, F.col("comp") == F.col("c")).drop("c")
         rows = large.join(degree, F.col("node") == F.col("of_b"), "left")
         centre = rows.groupBy("comp").agg(F.max_by(F.struct("node", "sid", "rep", "mark", "parts"), F.struct(F.coalesce("degree", F.lit(0)), "node")).alias("x")).select("comp", "x.*")
         centre = table(centre, "ngram-hubs")
@@ -397,14 +397,16 @@ def hubs(members: DataFrame, star: DataFrame, with_text: Callable[[DataFrame], D
         found = table(hub_distances(with_text(all_rows), words, share), "ngram-hub-links")
         new = found.filter("linked AND sid <> to").select(F.col("sid").alias("a"), F.col("to").alias("b"))
         links = new if links is None else links.union(new)
-        told = done.join(found.select(F.col("node").alias("of_node"), "to", "linked", "near"), F.col("node") == F.col("of_node"), "left")
+        told = done.filter("NOT ring").join(found.select(F.col("node").alias("of_node"), "to", "linked", "near"), F.col("node") == F.col("of_node"), "left")
         # The cluster and what is near it meet in a component of their own, the rest goes on.
-        ring = F.xxhash64("comp", F.lit(step))
-        roles = F.when(F.col("linked"), F.array(F.struct(ring.alias("comp"), F.col("to").alias("hub"))))
-        roles = roles.when(F.col("near"), F.array(F.struct(ring.alias("comp"), F.lit(0).cast("long").alias("hub")), F.struct("comp", F.lit(0).cast("long").alias("hub"))))
-        roles = roles.otherwise(F.array(F.struct("comp", "hub")))
+        # What is in such a ring takes no part in later rounds, so its sets stay together.
+        ring, none = F.xxhash64("comp", F.lit(step)), F.lit(0).cast("long")
+        roles = F.when(F.col("linked"), F.array(F.struct(ring.alias("comp"), F.col("to").alias("hub"), F.lit(True).alias("ring"))))
+        roles = roles.when(F.col("near"), F.array(F.struct(ring.alias("comp"), none.alias("hub"), F.lit(True).alias("ring")), F.struct("comp", none.alias("hub"), F.lit(False).alias("ring"))))
+        roles = roles.otherwise(F.array(F.struct("comp", "hub", "ring")))
         keep = [c for c in members.columns if c != "comp"]
-        before, done = done, table(told.withColumn("x", F.explode(roles)).select("x.comp", *keep, "x.hub"), "ngram-parted")
+        dealt = told.withColumn("x", F.explode(roles)).select("x.comp", *keep, "x.hub", "x.ring")
+        done = table(done.filter("ring").select("comp", *keep, "hub", "ring").unionByName(dealt), "ngram-parted")
         # Only clusters with a set near them have anything left to compare.
         open_ = done.filter("hub = 0").select(F.col("comp").alias("open")).distinct()
         done = done.join(open_, F.col("comp") == F.col("open"), "left_semi")
