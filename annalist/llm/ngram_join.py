@@ -458,5 +458,6 @@ def join_components(df: DataFrame, words: int = 4, share: int = 85, id_col: str
     label = table(label, "ngram-labels")
     for used in (docs, star, members, possible, thinned, left, links, found):
         drop_table(used)
-    least = label.filter("c IS NOT NULL").groupBy(F.col("c").alias("of_c")).agg(F.min("doc_id").alias("m"))
+    # As a table of its own, so that the rows of a component with very many are split over tasks as they meet it.
+    least = table(label.filter("c IS NOT NULL").groupBy(F.col("c").alias("of_c")).agg(F.min("doc_id").alias("m")), "ngram-least")
     return label.join(least, label["c"] == least["of_c"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("m", "doc_id").alias("component_id"))
