@@ -71,24 +71,15 @@ def extract_tagged(spark, sf_dir):
 
 
 R.statement("visible_domains", "WITH " + history.VISIBLE + " SELECT probe_id, domain, count(*) AS n FROM visible GROUP BY probe_id, domain")
-R.statement("replace_working", "WITH w AS (SELECT p_partkey, p_retailprice, 'working' AS kind FROM {part} UNION ALL SELECT s_suppkey + 500000, s_acctbal, 'working' FROM {supplier}) SELECT p_partkey FROM (SELECT p_partkey, ROW_NUMBER() OVER (PARTITION BY kind ORDER BY p_retailprice DESC, p_partkey) AS k FROM w) x WHERE k <= 20")
-R.statement("dual_write", "SELECT p_partkey, 'working' AS copy FROM {part} UNION ALL SELECT p_partkey, 'long term' FROM {part} WHERE p_type IN ('ECONOMY', 'STANDARD')")
 R.statement("keyword_path", "WITH q AS (SELECT DISTINCT p_name AS token FROM {part} WHERE p_partkey % 20 = 0), h AS (SELECT p.p_partkey AS id, q.token, p.p_retailprice / 1000 AS score FROM {part} p JOIN q ON p.p_name = q.token), b AS (SELECT id, max(score) AS score FROM h GROUP BY id) SELECT id, score FROM (SELECT id, score, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS k FROM b) x WHERE k <= 20")
 R.statement("working_path", "SELECT p_partkey FROM (SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY p_partkey) AS k FROM {part} WHERE p_type = 'ECONOMY') x WHERE k <= 15")
 R.statement("preupdate_recall", "SELECT l_partkey AS id FROM {lineitem} WHERE l_discount >= 0.09 UNION SELECT p_partkey FROM {part} WHERE p_name LIKE '%ring%' AND p_size < 5")
 R.statement("get_nodes", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey IN (1, 2, 5, 8, 13)")
 R.statement("edge_exists", "SELECT n.n_nationkey, EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey) AS has_supplier FROM {nation} n")
-R.statement("delete_by_params", "SELECT o_orderkey FROM {orders} WHERE NOT (o_orderkey IN (1, 2, 3) OR o_custkey % 100 = 7 OR o_totalprice > 400000)")
-R.statement("event_update", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || chr(10) || 'more' ELSE 'new' END AS details FROM {events}")
-R.statement("event_merge_missing", "WITH u AS (SELECT doc_id AS id FROM {labels} WHERE quality = 1) SELECT coalesce(e.event_id, u.id) AS id, CASE WHEN u.id IS NULL THEN 'kept' WHEN e.event_id IS NULL THEN 'inserted' ELSE 'merged' END AS state FROM (SELECT event_id FROM {events} WHERE event_id % 3 <> 0) e FULL OUTER JOIN u ON u.id = e.event_id")
-R.statement("typed_update", "SELECT p_partkey AS id, p_name AS name FROM {part} WHERE p_type <> 'ECONOMY' OR p_size > 5 UNION ALL SELECT p_partkey + 700000, upper(p_name) FROM {part} WHERE p_type = 'ECONOMY' AND p_size <= 5")
 R.statement("entries_from_facts", "WITH s AS (SELECT conv_id, turn, role, ROW_NUMBER() OVER (ORDER BY conv_id, turn, role) - 1 AS seq FROM {conversations}), f AS (SELECT event_id AS fact, event_id % 800 AS source_id FROM {events}) SELECT f.fact, s.conv_id, s.role FROM f JOIN s ON s.seq = 2 * f.source_id")
 R.statement("dual_extract_merge", "WITH a AS (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'click' GROUP BY user_id), b AS (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY user_id) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS n FROM a FULL OUTER JOIN b ON a.user_id = b.user_id")
-R.statement("segment_apply", "WITH l AS (SELECT conv_id, turn, sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM {conversations}) SELECT conv_id, CAST(segment AS BIGINT) AS segment, min(turn) AS first_turn, count(*) AS n FROM l GROUP BY conv_id, segment")
 R.statement("budgeted_context", "WITH d AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS t FROM {documents}) SELECT doc_id, CAST(CASE WHEN t <= 20000 THEN n_chars ELSE 20000 - (t - n_chars) END AS BIGINT) AS shown FROM d WHERE t - n_chars < 20000")
 R.statement("keyword_match", "SELECT doc_id FROM {documents} WHERE lower(text) LIKE '%license%' AND NOT lower(text) LIKE '%mit%'")
-R.statement("epsilon_topk", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM {part}) x WHERE k <= 4")
-R.statement("partition_by_user", "SELECT user_id % 8 AS part, count(*) AS n, count(DISTINCT user_id) AS users FROM {events} GROUP BY 1")
 R.statement("incremental_segment", "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM {conversations}")
 R.statement("graph_add", "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey % 2 = 0 UNION SELECT l_orderkey FROM {lineitem} WHERE l_orderkey % 3 = 0")
 

@@ -163,7 +163,6 @@ R.statement("json_exists_text", "SELECT conv_id FROM {conversations} WHERE role
 R.statement("topk_desc_stable", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, ROW_NUMBER() OVER (ORDER BY p_size DESC, p_partkey) AS k FROM {part}) x WHERE k <= 50")
 R.statement("topk_argsort", "SELECT user_id, event_id FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM {events}) x WHERE k <= 3")
 R.statement("topk_3key", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_discount, l_shipdate DESC, l_linenumber, l_partkey) AS k FROM {lineitem}) x WHERE k <= 2")
-R.statement("topk_per_type_truncate", "WITH t AS (SELECT event_id, event_type, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM {events}), c AS (SELECT *, ROW_NUMBER() OVER (ORDER BY event_type, k) AS pos FROM t WHERE k <= 3) SELECT event_id, event_type FROM c WHERE pos <= 13")
 R.statement("seq_page", "SELECT event_id FROM {events} WHERE event_id > 100 AND event_id <= 150")
 R.statement("recent", "SELECT event_id FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 30")
 R.statement("union_all_passages", "SELECT 'doc' AS kind, doc_id AS id, source, CAST(NULL AS INT) AS label FROM {documents} UNION ALL SELECT 'vec', vec_id, CAST(NULL AS VARCHAR(10)), label FROM {embeddings}")
@@ -179,12 +178,8 @@ R.statement("links_expand", "WITH l AS (SELECT l_orderkey AS note, l_partkey AS
 R.statement("key_or_tag_recall", "WITH t AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM {lineitem} WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey) SELECT o_orderkey FROM {orders} LEFT JOIN t ON t.l_orderkey = o_orderkey WHERE o_orderkey IN (1, 2, 3) OR coalesce(n, 0) >= 2")
 R.statement("history_log", "SELECT o_custkey AS memory_id, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version FROM {orders}")
 R.statement("ttl_delete", "SELECT event_id FROM {events} WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '14' DAY")
-R.statement("soft_delete", "SELECT event_id, user_id % 5 = 0 AS is_deleted FROM {events}")
 R.statement("type_counts", "SELECT p_type, count(*) AS n FROM {part} GROUP BY p_type")
-R.statement("delete_recover_cube", "SELECT c_custkey, c_mktsegment = 'HOUSEHOLD' AND c_custkey % 2 = 0 AS is_deleted FROM {customer}")
-R.statement("ensure_parent", "SELECT p.p_partkey, coalesce(min(q.p_partkey), -1) AS parent FROM {part} p LEFT JOIN {part} q ON q.p_brand = p.p_brand AND q.p_type = p.p_type AND q.p_size = 1 GROUP BY p.p_partkey")
 R.statement("resume_checkpoint", "SELECT e.event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id AND l.quality = 1)")
 R.statement("get_edges", "WITH " + GRAPH + " SELECT src, dst, CASE WHEN src LIKE 'o%' THEN 'contains' ELSE 'supplied_by' END AS kind FROM edges WHERE dst LIKE 'p1%'")
 R.statement("children_embeddings", "SELECT e.vec_id, e.label, p.p_partkey FROM {part} p JOIN {embeddings} e ON e.vec_id = p.p_partkey WHERE p.p_size = 10")
-R.statement("event_replace", "SELECT event_id, value FROM {events} WHERE event_id >= 50 UNION ALL SELECT event_id + 900000, value * 2 FROM {events} WHERE event_id < 50")
 R.statement("attach_or_create_key", "WITH c AS (SELECT l_orderkey, l_partkey, l_discount * 10 AS score, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey) AS k FROM {lineitem}) SELECT l_orderkey, CASE WHEN score >= 0.8 THEN l_partkey ELSE -1 END AS key_id FROM c WHERE k = 1")
