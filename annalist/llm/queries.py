@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, host_rules, licenses
+from annalist.llm import ball_tree, centroids, chat, hard_negatives, host_rules, licenses
 from annalist.llm.common import read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ball_tree.topk(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_licenses": op2_licenses,
@@ -84,6 +98,9 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle(), "op5_host_rules": host_rules.oracle(), "op7_chat_format": chat.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_licenses": licenses.oracle(), "op5_host_rules": host_rules.oracle(), "op7_chat_format": chat.oracle(), "op11_hard_negatives": hard_negatives.oracle(), "op12_exact_topk": ball_tree.oracle(), "op13_centroid_clustering": centroids.oracle()}

@@ -21,7 +21,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_like_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
