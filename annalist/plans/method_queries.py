@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annalist.functions import chunks
 from annalist.functions import text as texts
-from annalist.operators import dedup, scoring, text, vectors
+from annalist.operators import clusters, dedup, scoring, text, vectors
 from annalist.plans import history
 from annalist.plans.search_queries import BM25, FIRST_WINS, PAIRS, TOP, asked
 from annalist.registry import Registry, read
@@ -117,11 +116,22 @@ def chunk_separator(spark, sf_dir):
 
 @R.query("kmeans_partition")
 def kmeans_partition(spark, sf_dir):
-    """About twenty vectors a cluster, seed 42; clusters of ten or fewer are left out. Labels depend on the library."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    k = max(2, -(-rows.count() // 20))
-    placed = KMeans(k=k, seed=42, maxIter=10).fit(rows).transform(rows).select("vec_id", F.col("prediction").alias("cluster"))
-    return placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).filter("n > 10")
+    """The clusters of each label's vectors, twenty at most in each; clusters of ten or fewer are left out."""
+    return clusters.partition(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select(F.col("grp").alias("label"), F.col("id").alias("vec_id"), "cluster", "n")
+
+
+@R.query("kmeans_partition_rules", "SELECT label, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_oversized, CAST(0 AS BIGINT) AS n_undersized, CAST(0 AS BIGINT) AS n_nearer_elsewhere, CAST(0 AS BIGINT) AS n_twice, TRUE AS some_kept FROM embeddings GROUP BY label")
+def kmeans_partition_rules(spark, sf_dir):
+    """What must hold for the partition of any table: sizes, nearness at the last division, and each vector in one cluster."""
+    rows = read(spark, sf_dir, "embeddings")
+    found = clusters.partition(rows, "label", "vec_id", "embedding")
+    count = lambda c: F.count(F.when(c, True))
+    made = found.groupBy("grp").agg(count(F.col("n") > 20).alias("n_oversized"), count((F.col("n") <= 10) & (F.col("cluster") != "")).alias("n_undersized"), count(F.col("own") > F.col("other")).alias("n_nearer_elsewhere"), (F.count("*") - F.countDistinct("id")).alias("n_twice"), (F.count("*") > 0).alias("some_kept"))
+    return rows.groupBy("label").agg(F.count("*").alias("n_rows")).join(made, F.col("label") == F.col("grp"), "left").drop("grp")
+
+
+@R.query("reorganize_loop")
+def reorganize_loop(spark, sf_dir):
+    """Parents over the vectors that no supplier links to another one, by label."""
+    edges = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + F.col("s_nationkey")).alias("dst"))
+    return clusters.reorganized(read(spark, sf_dir, "embeddings"), edges, "label", "vec_id", "embedding")
