@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators.ordered import previous
+
 
 def upsert(store: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Rows of the batch replace or join those of the store; columns that a side lacks are null."""
@@ -49,3 +51,26 @@ def archive(store: DataFrame, new: DataFrame, key: str, text: str, history: str,
     entry = F.struct(F.col(text).alias("text"), F.lit(relation).alias("relation"))
     grown = F.when(F.col("_text").isNull(), F.col(history)).otherwise(F.concat(F.col(history), F.array(entry)))
     return joined.withColumns({history: grown, text: F.coalesce("_text", text)}).drop("_key", "_text")
+
+
+def logged(store: DataFrame, actions: DataFrame) -> DataFrame:
+    """The change log of a batch of actions: pos, id, event, before, after, is_deleted. Store: id, text. Actions: pos, id, event, text.
+
+    Every ADD and UPDATE is a change, to the text it brings; it is logged as ADD where the id had no text, else as
+    UPDATE. A DELETE is one where there was something to delete. NONE, null and unknown events change nothing, nor do
+    rows without an id. ``pos`` is unique. Of a repeated id of the store the least text counts; its null texts are no rows.
+    """
+    base = store.filter("id IS NOT NULL AND text IS NOT NULL").groupBy("id").agg(F.min("text").alias("text")).select("id", F.lit(None).cast("long").alias("pos"), F.lit("BASE").alias("event"), "text")
+    real = actions.filter(F.col("id").isNotNull() & F.col("event").isin("ADD", "UPDATE", "DELETE"))
+    both = base.unionByName(real.select("id", F.col("pos").cast("long").alias("pos"), "event", F.when(F.col("event") == "DELETE", None).otherwise(F.coalesce("text", F.lit(""))).alias("text")))
+    steps = previous(both.withColumn("at", F.coalesce("pos", F.lit(-(1 << 63)).cast("long"))), "id", "at", "text", "before").filter("event <> 'BASE'")
+    event = F.when(F.col("text").isNull(), "DELETE").when(F.col("before").isNull(), "ADD").otherwise("UPDATE")
+    return steps.filter("text IS NOT NULL OR before IS NOT NULL").select("pos", "id", event.alias("event"), "before", F.col("text").alias("after"), F.col("text").isNull().cast("int").alias("is_deleted"))
+
+
+def replayed(store: DataFrame, log: DataFrame, last: Column) -> DataFrame:
+    """The store after the changes of the log up to position ``last``: id, text, and the position of the change that made it (null: none)."""
+    newest = log.filter(F.col("pos") <= last).groupBy("id").agg(F.max_by("after", "pos").alias("after"), F.max("pos").alias("pos"))
+    old = store.filter("id IS NOT NULL AND text IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
+    joined = old.join(newest.withColumnRenamed("id", "to_id"), F.col("id") == F.col("to_id"), "full_outer")
+    return joined.select(F.coalesce("id", "to_id").alias("id"), F.when(F.col("pos").isNull(), F.col("text")).otherwise(F.col("after")).alias("text"), "pos").filter("text IS NOT NULL")

@@ -156,4 +156,3 @@ R.statement("dedup_topk", "WITH c AS (SELECT l_orderkey, l_partkey, l_discount,
 R.statement("weighted_rerank", "SELECT p_partkey, round(p_retailprice / 1000 * CASE p_type WHEN 'ECONOMY' THEN 1.0 WHEN 'STANDARD' THEN 0.8 ELSE 0.5 END, 6) AS score FROM {part}")
 R.statement("keyword_like", "SELECT doc_id FROM {documents} WHERE text LIKE '%license%' OR text LIKE '%License%'")
 R.statement("substring_ci", "SELECT doc_id FROM {documents} WHERE lower(text) LIKE '%' || lower('LICENSED') || '%'")
-R.statement("fulltext_or", "WITH m AS (SELECT doc_id, (CASE WHEN lower(text) LIKE '%license%' THEN 1.0 ELSE 0 END) + (CASE WHEN lower(text) LIKE '%token%' THEN 0.4 ELSE 0 END) + (CASE WHEN lower(source) = 'src1' THEN 0.2 ELSE 0 END) AS score FROM {documents}) SELECT doc_id, CAST(score AS DOUBLE) AS score FROM m WHERE score > 0")

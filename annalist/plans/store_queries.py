@@ -176,7 +176,28 @@ R.statement("anti_rawfile_summary", "WITH s AS (SELECT l_partkey AS target FROM
 R.statement("event_expand", "SELECT DISTINCT b.event_id FROM {events} a JOIN {events} b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) WHERE a.event_id % 20 = 0")
 R.statement("links_expand", "WITH l AS (SELECT l_orderkey AS note, l_partkey AS link, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM {lineitem}) SELECT note, link FROM l WHERE pos <= 6")
 R.statement("key_or_tag_recall", "WITH t AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM {lineitem} WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey) SELECT o_orderkey FROM {orders} LEFT JOIN t ON t.l_orderkey = o_orderkey WHERE o_orderkey IN (1, 2, 3) OR coalesce(n, 0) >= 2")
-R.statement("history_log", "SELECT o_custkey AS memory_id, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version FROM {orders}")
+LOG = ACTIONS + """, acts AS (SELECT * FROM a WHERE event <> 'NONE'), s AS (SELECT p_partkey AS id, -1 AS pos, 'BASE' AS event, p_name AS text FROM part),
+steps AS (SELECT id, pos, CASE WHEN event = 'DELETE' THEN NULL ELSE text END AS after, event, lag(CASE WHEN event = 'DELETE' THEN NULL ELSE text END) OVER (PARTITION BY id ORDER BY pos) AS before FROM (SELECT id, pos, event, text FROM s UNION ALL SELECT id, pos, event, text FROM acts) u),
+log AS (SELECT pos, id, CASE WHEN after IS NULL THEN 'DELETE' WHEN before IS NULL THEN 'ADD' ELSE 'UPDATE' END AS event, before, after, CASE WHEN after IS NULL THEN 1 ELSE 0 END AS is_deleted FROM steps WHERE event <> 'BASE' AND (after IS NOT NULL OR before IS NOT NULL))"""
+
+
+def changed(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("ADD", "UPDATE", "DELETE", "NONE"))), (F.col("event_id") % 4 + 1).cast("int"))
+    actions = read(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), (F.col("event_id") % 400).alias("id"), kind.alias("event"), F.concat(F.lit("t"), "event_id").alias("text"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("text")), actions
+
+
+@R.query("history_log", "WITH " + LOG + " SELECT * FROM log")
+def history_log(spark, sf_dir):
+    return mutation.logged(*changed(spark, sf_dir))
+
+
+@R.query("history_replay", "WITH " + LOG + ", h AS (SELECT max(pos) // 2 AS half FROM a), u AS (SELECT id, pos, after FROM log, h WHERE pos <= half UNION ALL SELECT id, -1, text FROM s), l AS (SELECT id, max(pos) AS pos, arg_max(coalesce(after, chr(0)), pos) AS text FROM u GROUP BY id) SELECT id, text, CASE WHEN pos >= 0 THEN pos END AS pos FROM l WHERE text <> chr(0)")
+def history_replay(spark, sf_dir):
+    """The store as it was half way through the actions."""
+    store, actions = changed(spark, sf_dir)
+    half = F.floor(F.lit(actions.agg(F.max("pos")).first()[0] or 0) / 2)
+    return mutation.replayed(store, mutation.logged(store, actions), half)
 R.statement("ttl_delete", "SELECT event_id FROM {events} WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '14' DAY")
 R.statement("type_counts", "SELECT p_type, count(*) AS n FROM {part} GROUP BY p_type")
 R.statement("resume_checkpoint", "SELECT e.event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id AND l.quality = 1)")
