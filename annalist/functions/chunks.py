@@ -117,11 +117,3 @@ def separator_chunks(size: int, overlap: int):
         return text.map(lambda t: by_separator(t, size, overlap))
 
     return run
-
-
-def fuzzy(query: str):
-    @pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: partial_ratio(query, t))
-
-    return run

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import chunks
 from annalist.functions import text as texts
-from annalist.operators import clusters, dedup, scoring, text, vectors
+from annalist.operators import clusters, dedup, fuzzy, scoring, text, vectors
 from annalist.plans import history
 from annalist.plans.search_queries import BM25, FIRST_WINS, PAIRS, TOP, asked
 from annalist.registry import Registry, read
@@ -98,7 +98,10 @@ def minhash_dedup(spark, sf_dir):
 
 @R.query("fuzzy_partial")
 def fuzzy_partial(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", F.round(chunks.fuzzy("smal rign")(F.col("p_name")), 6).alias("ratio"))
+    """The five turns most like the name of every twentieth part, each name once."""
+    names = read(spark, sf_dir, "part").filter("p_partkey % 20 = 0").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("turn_id"), "text")
+    return fuzzy.best_matches(names, turns, 5, "p_partkey", "p_name", "turn_id", "text")
 
 
 @R.query("chunk_paragraph")
