@@ -93,13 +93,14 @@ def leaf_hits(queries: DataFrame, index: DataFrame) -> DataFrame:
     """
     leaves = queries.select("query", "leaf", "words", "prefix").dropDuplicates(["query", "leaf"])
     asked = leaves.select("query", "leaf", F.size("words").alias("n"), "prefix", F.posexplode("words").alias("i", "word"))
-    begun = asked.filter("prefix").select("word").distinct().filter(F.length("word") >= LEAST_PREFIX)
-    terms = index.select("term").distinct()
-    heads = terms.select("term", F.explode(F.sequence(F.lit(LEAST_PREFIX), F.greatest(F.length("term"), F.lit(LEAST_PREFIX)))).alias("m")).select("term", F.expr("substring(term, 1, m)").alias("word")).distinct()
-    longer = heads.join(begun, "word").select(F.col("word").alias("_word"), "term")
-    plain = asked.filter(~F.col("prefix") | (F.length("word") < LEAST_PREFIX)).withColumn("term", F.col("word"))
-    wide = asked.filter(F.col("prefix") & (F.length("word") >= LEAST_PREFIX)).join(longer, F.col("word") == F.col("_word")).drop("_word")
-    sought = plain.unionByName(wide).select("query", "leaf", "n", "i", "term")
+    begins = F.col("prefix") & (F.length("word") >= LEAST_PREFIX)
+    sought = asked.filter(~begins).select("query", "leaf", "n", "i", F.col("word").alias("term"))
+    if not asked.filter(begins).isEmpty():
+        begun = asked.filter(begins).select("word").distinct()
+        terms = index.select("term").distinct().filter(F.length("term") >= LEAST_PREFIX)
+        heads = terms.select("term", F.explode(F.sequence(F.lit(LEAST_PREFIX), F.length("term"))).alias("m")).select("term", F.expr("substring(term, 1, m)").alias("_word"))
+        longer = heads.join(begun, F.col("_word") == F.col("word"), "left_semi")
+        sought = sought.union(asked.filter(begins).join(longer, F.col("word") == F.col("_word")).select("query", "leaf", "n", "i", "term"))
     met = sought.join(index, "term").withColumn("start", F.col("pos") - F.col("i"))
     return met.groupBy("query", "leaf", "n", "doc", "field", "label", "part", "start").count().filter(F.col("count") == F.col("n")).drop("n", "count")
 

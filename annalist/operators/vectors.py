@@ -31,9 +31,9 @@ def top(score: np.ndarray, names: np.ndarray, fits: np.ndarray, k: int) -> np.nd
     return keep[np.lexsort((names[keep], -score[keep]))[:k]]
 
 
-def blocks(queries: DataFrame, rows: DataFrame):
+def blocks(queries: DataFrame, rows: DataFrame, query_block: int = QUERY_BLOCK, memory_block: int = MEMORY_BLOCK):
     """Cogroups of a block of queries (column q) and one of rows (column memory), each pair of blocks once."""
-    n_query, n_memory = queries.count() // QUERY_BLOCK + 1, rows.count() // MEMORY_BLOCK + 1
+    n_query, n_memory = queries.count() // query_block + 1, rows.count() // memory_block + 1
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_query)).cast("int")).withColumn("mb", each(n_memory))
     right = rows.withColumn("mb", F.pmod(F.xxhash64("memory"), F.lit(n_memory)).cast("int")).withColumn("qb", each(n_query))

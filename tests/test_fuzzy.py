@@ -34,13 +34,13 @@ def test_ratios(alphabet):
     for n in (1, 2, 3, 9, 17):
         texts = [text(rng.randrange(60)) for _ in range(25)] + ["", None]
         p = text(n)
-        assert fuzzy.ratios(p, texts).round(6).tolist() == [round(brute(p, t), 6) for t in texts]
+        assert fuzzy.ratios([p], texts)[0].round(6).tolist() == [round(brute(p, t), 6) for t in texts]
     for n in (63, 64, 65, 130):
         p = text(n)
         texts = [text(rng.randrange(n, 170)) for _ in range(4)] + [text(40), p[5:-5] + text(20)]
-        assert fuzzy.ratios(p, texts).round(6).tolist() == [round(brute(p, t), 6) for t in texts]
-    assert fuzzy.ratios(None, ["", "a"]).tolist() == [100.0, 0.0]
-    assert chunks.partial_ratio("abc d", "xx abcd yy") == fuzzy.ratios("abc d", ["xx abcd yy"])[0]
+        assert fuzzy.ratios([p], texts)[0].round(6).tolist() == [round(brute(p, t), 6) for t in texts]
+    assert fuzzy.ratios([None], ["", "a"])[0].tolist() == [100.0, 0.0]
+    assert chunks.partial_ratio("abc d", "xx abcd yy") == fuzzy.ratios(["zz", "abc d"], ["xx abcd yy"])[1, 0]
 
 
 def test_best_matches(spark, monkeypatch):
