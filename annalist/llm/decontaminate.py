@@ -36,7 +36,7 @@ BUCKETS = 1 << 17
 #: Words of a window. Windows of documents begin at every fourth part of one.
 SIZES = (24, 16, 12, 8, 6, 4, 3, 2, 1)
 RANK, EXTRA, SEED = 48, 8, 7
-FIT_PASSAGES, BLOCK_ITEMS = 20_000, 10_000
+FIT_ITEMS, BLOCK_ITEMS = 20_000, 10_000
 #: Least share of a window's weight in benchmark words, and least cosine.
 GATE, COSINE = 0.2, 0.5
 #: Least share of a passage's length that its latent vector keeps.
@@ -137,8 +137,11 @@ def passage_matrix(texts: list[bytes], idf: np.ndarray) -> tuple[list[tuple[int,
 
 
 def fit(items: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary (bucket to row, -1 outside) and projection rows of the latent space."""
-    sample = items.select("text").orderBy(F.xxhash64("text"), "text").limit(FIT_PASSAGES)
+    """Vocabulary (bucket to row, -1 outside) and projection rows of the latent space.
+
+    The words of all items, ``BUCKETS`` rows at most, span the space; only its axes are turned by a bounded sample.
+    """
+    sample = items.select("text").orderBy(F.xxhash64("text"), "text").limit(FIT_ITEMS)
     shared = items.sparkSession.sparkContext.broadcast(idf)
     k = RANK + EXTRA
 
@@ -156,7 +159,7 @@ def fit(items: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["b", "v"])
 
     sums = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(k)]
-    got = sample.mapInArrow(multiply, "b long, v array<double>").groupBy("b").agg(*sums).orderBy("b").toArrow()
+    got = items.select("text").mapInArrow(multiply, "b long, v array<double>").groupBy("b").agg(*sums).orderBy("b").toArrow()
     b = got.column("b").to_numpy()
     vocabulary = np.full(BUCKETS, -1, np.int32)
     vocabulary[b] = np.arange(len(b))
@@ -247,6 +250,7 @@ class Searcher:
         self.rows = np.vstack([index.projection * weight[:, None], np.zeros((1, index.projection.shape[1]), np.float32)])
 
         self.blind = self.blind_items()
+        self.posts, self.post_ends = self.blind_posts()
 
     def folded(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """``fold`` of windows over ``b``, in order of their starts, by running sums over the words that they cover."""
@@ -269,6 +273,27 @@ class Searcher:
                     out.add(i)
         return np.array(sorted(out), np.int64)
 
+    def blind_posts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Blind items by word, of each item's heaviest words so many that a document without any of them can't pass."""
+        pairs = []
+        for i in self.blind.tolist():
+            at = slice(self.offsets[i], self.offsets[i] + self.sizes[i])
+            w, first = np.unique(self.flat[at], return_index=True)
+            weight = np.bincount(np.searchsorted(w, self.flat[at]), self.flat_weights[at])
+            order = np.argsort(-weight, kind="stable")
+            n = int(np.searchsorted(np.cumsum(weight[order]), (1 - LIKELY + 1e-6) * weight.sum())) + 1
+            pairs += [(x, i) for x in w[order[:n]].tolist()]
+        pairs.sort()
+        return np.array([p[1] for p in pairs], np.int64), np.searchsorted([p[0] for p in pairs], np.arange(len(self.known)), side="right")
+
+    def blind_candidates(self, own: np.ndarray) -> np.ndarray:
+        """The blind items that a document with the words ``own`` may hold."""
+        own = np.unique(own[own >= 0])
+        end = self.post_ends[own]
+        n = end - np.where(own > 0, self.post_ends[own - 1], 0)
+        at = np.repeat(end - np.cumsum(n), n) + np.arange(n.sum())
+        return np.unique(self.posts[at])
+
     def coverable(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Which of the items can still pass, by the weight of their words that stand anywhere in a document."""
         self.member[word] = True
@@ -320,7 +345,8 @@ class Searcher:
                         found.setdefault((d, int(owner[k - a])), []).append((float(cosine[i[k], j[k]]), int(s[i[k]]), int(e[i[k]])))
         for d in range(len(texts)) if len(self.blind) else ():
             own = word[begins[d] : ends[d]]
-            for item in self.blind[self.coverable(self.blind, own)].tolist():
+            near = self.blind_candidates(own)
+            for item in near[self.coverable(near, own)].tolist() if len(near) else ():
                 at = begins[d] + np.flatnonzero(np.isin(own, self.flat[self.offsets[item] : self.offsets[item] + self.sizes[item]]))
                 found.setdefault((d, item), []).extend((0.0, k, k + 1) for k in at.tolist())
         for (d, item), hits in found.items():

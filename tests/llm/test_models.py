@@ -112,6 +112,45 @@ def test_short_and_reworded_items(spark):
     assert len(want) >= 75 and want <= got
 
 
+@pytest.mark.parametrize("foreign", [True, False])
+def test_items_beyond_the_sample(spark, monkeypatch, foreign):
+    """One item in twelve turns the space; all the others are found as well, verbatim or with several words changed."""
+    monkeypatch.setattr(decontaminate, "FIT_ITEMS", 20)
+    rng = random.Random(9)
+    text = lambda n, kind: " ".join(rng.choice(ENGLISH) + kind + str(rng.randrange(300)) for _ in range(n))
+    items = [(i, text((5, 8, 12, 20, 30, 40)[i % 6], "i")) for i in range(240)]
+    around = lambda: text(60, "f") if foreign else " ".join(rng.choice(rng.choice(items)[1].split()) for _ in range(60))
+    rows, reworded = [], set()
+    for i, said in items:
+        w = said.split()
+        if i % 2 and len(w) >= 12:
+            for at in range(3, len(w), 8):
+                w[at] = f"changed{at}"
+            reworded.add(i)
+        rows.append((i, f"{around()} {' '.join(w)} {around()}"))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert {(i, i) for i in range(240) if i not in reworded} <= got
+    assert sum((i, i) in got for i in reworded) >= 0.9 * len(reworded)
+    assert foreign is False or got <= {(i, i) for i in range(240)}
+
+
+def test_blind_items_by_word():
+    """Where a space keeps nothing of an item, its words lead to it, and to no document that can't hold it."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, 9)) for _ in range(30)]
+    idf = np.linspace(0.5, 3, decontaminate.BUCKETS)
+    index = decontaminate.build([{"item_id": i, "text": t, "answer": None} for i, t in enumerate(texts)], idf, np.full(decontaminate.BUCKETS, -1, np.int32), np.zeros((0, 1), np.float32))
+    own = decontaminate.Searcher(index)
+    assert own.blind.tolist() == list(range(30))
+    for _ in range(50):
+        h = decontaminate.words([" ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 30))).encode()])[0]
+        word = np.minimum(np.searchsorted(own.known, h), len(own.known) - 1)
+        word = np.where(own.known[word] == h, word, -1)
+        near = own.blind_candidates(word)
+        assert set(own.blind[own.coverable(own.blind, word)].tolist()) == set(near[own.coverable(near, word)].tolist() if len(near) else [])
+
+
 def test_common_weight():
     rng = np.random.default_rng(1)
     for _ in range(50):
