@@ -32,6 +32,8 @@ UNKNOWN = "und"
 #: Bounds of the sample that is learned from, for each language.
 ROWS, LEAST_CHARS, MOST_CHARS = 60, 200, 8_000
 DICT_BYTES = 64 << 10
+#: Texts above this size are not sent to the driver for a dictionary.
+MOST_BYTES = 4 * DICT_BYTES
 #: Texts are encoded in pieces of so many bytes, so that a dictionary counts in all parts of a long text.
 CHUNK_BYTES = 2_048
 LEVEL, SHORT_LEVEL, SHORT_BYTES = 6, 12, 600
@@ -51,10 +53,12 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
     size = F.length(text_col)
     rows = df.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     odd = ~size.between(LEAST_CHARS, MOST_CHARS)
-    keys = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), odd.alias("odd"), F.xxhash64(id_col, text_col).alias("h"))
+    keys = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), odd.alias("odd"), F.xxhash64(id_col, text_col).alias("h"), F.octet_length(text_col).alias("bytes"))
     best = keys.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("odd", "h", "i"))).filter(F.col("k") <= ROWS)
+    # Texts that the dictionary has no room for stay where they are; without any that fits, the first gives its beginning.
+    best = best.withColumn("fits", F.max(F.col("bytes") <= MOST_BYTES).over(Window.partitionBy("l"))).filter((F.col("bytes") <= MOST_BYTES) | (~F.col("fits") & (F.col("k") == 1)))
     least = F.broadcast(best.select("i", "l", "k"))  # ROWS rows a language at most
-    found = rows.join(least, (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l"))).select("l", "k", F.col(text_col).alias("t"))
+    found = rows.join(least, (F.col(id_col) == F.col("i")) & (F.col(lang_col) == F.col("l"))).select("l", "k", F.substring(text_col, 1, MOST_BYTES).alias("t"))
     texts: dict[str, list[str]] = {}
     for r in found.orderBy("l", "k").collect():
         texts.setdefault(r["l"], []).append(r["t"])

@@ -50,6 +50,10 @@ DOUBLE = re.compile(r"(.)\1+")
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 HIDDEN = re.compile("[​-‏⁠﻿­]")
 FRONT, BACK = ".,;:\"'[]{}>#%&*-_=?~`^/\\", ".,;:\"'()[]{}<>#%&*-_=?!~`^/\\|$+@"
+#: Letters of a token up to which the signs at its end may stand for more of them; a longer one is read by its letters.
+SHORT_CORE = 4
+#: What ends a token and stands for no letter.
+PLAIN_BACK = "".join(c for c in BACK if c not in "$@+|*")
 #: Only words in so many toxic rows, and so much likelier in toxic rows, enter the lexicon.
 LEAST_ROWS, LEAST_LIFT = 3, 3.0
 #: Tokens that one Python worker remembers.
@@ -150,21 +154,30 @@ class Restorer:
         self.known: dict[str, tuple[str, ...]] = {}
 
     def forms(self, token: str) -> tuple[str, ...]:
-        """Features of one observed token: its restored word, and that word without doubled letters."""
+        """Features of one observed token: its restored word, and that word without doubled letters.
+
+        A short token that ends in signs which may stand for letters is read both without and with them.
+        """
         token = token.lower()
         if not token.isascii():
             token = HIDDEN.sub("", unicodedata.normalize("NFKC", token))
             if re.search("[a-z]", token):
                 token = token.translate(HOMOGLYPHS)
         core = token.lstrip(FRONT).rstrip(BACK)
+        whole = token.lstrip(FRONT).rstrip(PLAIN_BACK)
+        out = self.restored(core)
+        if whole != core and len(core) <= SHORT_CORE and any(c.isalpha() for c in core):
+            out += self.restored(whole)
+        return out
+
+    def restored(self, core: str) -> tuple[str, ...]:
         if not core or not any(c.isalpha() or c in LOOKS for c in core) or core.isdigit():
             return ()
         if not PLAIN.match(core) or TRIPLE.search(core):
             core = self.decoder.restore(core)
         if not core:
             return ()
-        tight = DOUBLE.sub(r"\1", core)
-        return ("=" + core, "~" + tight)
+        return ("=" + core, "~" + DOUBLE.sub(r"\1", core))
 
     def tokens(self, text: str) -> set[str]:
         """Distinct observed tokens; spelled-out runs also as one."""

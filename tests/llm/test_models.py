@@ -52,6 +52,9 @@ def test_language(spark, odd, none):
     assert np.mean([got[i]["lang_pred"] == ("en" if i % 2 else "de") for i in range(400) if got[i]["held_out"]]) > 0.97
     assert {got[i]["lang_pred"] for i in (900, 901, 902)} == {"und"} and got[903]["lang_pred"] == "en"
     assert langid.identify(none).collect() == []
+    long = [(1, "the cat sat on a mat " * 60_000, "en"), (2, "der hund lief " * 40, "de"), (3, "der hund lief durch den wald " * 30_000, "de")]
+    model = langid.fit(spark.createDataFrame(long, "doc_id long, text string, lang string"), F.lit(True))
+    assert {k: len(v) <= langid.DICT_BYTES for k, v in model.items()} == {"en": True, "de": True} and b"cat sat" in model["en"] and b"wald" not in model["de"]
     assert langid.identify(odd).count() == odd.count()
 
 
@@ -112,6 +115,37 @@ def test_short_and_reworded_items(spark):
     assert len(want) >= 75 and want <= got
 
 
+def test_signs_at_the_end_of_short_words():
+    from annalist.llm.toxicity import Restorer
+
+    rng = np.random.default_rng(0)
+    model = np.log(rng.dirichlet(np.full(toxicity.SYMBOLS, 0.2), (toxicity.SYMBOLS, toxicity.SYMBOLS)))
+    own = Restorer(model)
+    assert {"=a", "~a"} < set(own.forms("a$$")) and len(own.forms("f***")) == 4 and own.forms("cat!!") == ("=cat", "~cat") and own.forms("people***") == ("=people", "~people")
+
+
+def test_viterbi_against_all_paths():
+    """The decoder's best path is the best of all, letter by letter, under the same costs."""
+    from annalist.llm.toxicity import Decoder, symbol
+
+    rng = np.random.default_rng(7)
+    for token in ("b4d", "a*c", "$0", "x1!", "ab"):
+        model = np.log(rng.dirichlet(np.full(toxicity.SYMBOLS, 0.3), (toxicity.SYMBOLS, toxicity.SYMBOLS))) / 3
+        own = Decoder(model)
+        paths = [((0, 0), 0.0, "")]
+        for i in range(len(token)):
+            step = []
+            for (a, b), cost, text in paths:
+                for ch, c in own.choices(token, i):
+                    if ch:
+                        step.append(((b, symbol(ch)), cost + c + own.model[a][b][symbol(ch)], text + ch))
+                    else:
+                        step.append(((a, b), cost + c - 2.5, text))
+            paths = step
+        best = max((c + own.model[a][b][0], t) for (a, b), c, t in paths)
+        assert own.restore(token) == best[1]
+
+
 @pytest.mark.parametrize("foreign", [True, False])
 def test_items_beyond_the_sample(spark, monkeypatch, foreign):
     """One item in twelve turns the space; all the others are found as well, verbatim or with several words changed."""
