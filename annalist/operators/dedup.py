@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROUNDS = 200
+#: Pairs of similar rows that one task decides.
+RANGE_PAIRS = 1_000_000
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -21,27 +25,66 @@ def pinned(df: DataFrame) -> DataFrame:
 def first_wins(pairs: DataFrame) -> DataFrame:
     """Dropped ids, of pairs (a < b) of similar rows: in the order of ids a row is dropped if it is like an earlier kept one.
 
-    Each round keeps the rows that no earlier undecided row is like, and drops those that are like one of them. Rounds
-    grow with the longest chain of decisions that wait for each other, not with the rows.
+    Undecided pairs are sorted into ranges of b, of about ``RANGE_PAIRS`` each. A task walks its range in the order of
+    ids and decides every row whose earlier partners are decided: they are in the range, or like nothing earlier. So a
+    chain of any length within a range takes one round; each round decides the whole lowest range at least and leaves
+    fewer ranges. Pairs may repeat; ids are not null.
     """
-    left = pinned(pairs.select("a", "b").distinct())
-    dropped = None
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
-        heads = left.select(F.col("a").alias("head")).join(left.select(F.col("b").alias("later")), F.col("head") == F.col("later"), "left_anti").distinct()
-        gone = pinned(left.join(heads, F.col("a") == F.col("head"), "left_semi").select(F.col("b").alias("id")).distinct())
+    left, dropped = pinned(pairs.select("a", "b").distinct()), None
+    kinds = dict(pairs.dtypes)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        now, partners = None, []
+
+        def decide() -> tuple[list, list]:
+            said = [True if head else known.get(a) for a, head in partners]
+            verdict = False if any(said) else True if all(x is False for x in said) else None
+            if verdict is not None:
+                known[now] = verdict
+            return ([now], [verdict]) if verdict is not None else ([], [])
+
+        for batch in batches:
+            ids, kept = [], []
+            for a, b, head in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if partners and b != now:
+                    i, k = decide()
+                    ids, kept, partners = ids + i, kept + k, []
+                now = b
+                partners.append((a, head))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(1).type), pa.array(kept, pa.bool_())], ["id", "kept"])
+        if partners:
+            i, k = decide()
+            yield pa.RecordBatch.from_arrays([pa.array(i, batch.column(1).type), pa.array(k, pa.bool_())], ["id", "kept"])
+
+    while (n := left.count()) > 0:
+        later = left.select(F.col("b").alias("_b")).distinct()
+        marked = left.join(later, F.col("a") == F.col("_b"), "left").select("a", "b", F.col("_b").isNull().alias("head"))
+        ranged = marked.repartitionByRange(n // RANGE_PAIRS + 1, "b").sortWithinPartitions("b", "a")
+        decided = pinned(ranged.mapInArrow(walk, f"id {kinds['b']}, kept boolean"))
+        gone = decided.filter("NOT kept").select("id")
         dropped = gone if dropped is None else dropped.union(gone)
-        left = left.join(gone.toDF("x"), F.col("a") == F.col("x"), "left_anti").join(gone.toDF("y"), F.col("b") == F.col("y"), "left_anti")
-        left = pinned(left)
-    else:
-        raise RuntimeError(f"undecided rows after {ROUNDS} rounds")
+        rest = left.join(decided.select(F.col("id").alias("x")), F.col("b") == F.col("x"), "left_anti")
+        left = pinned(rest.join(gone.withColumnRenamed("id", "y"), F.col("a") == F.col("y"), "left_anti"))
     return left.select(F.col("b").alias("id")) if dropped is None else dropped
 
 
-def kept_first(df: DataFrame, id_col: str, pairs: DataFrame) -> DataFrame:
-    """Each id and whether it is kept."""
-    gone = first_wins(pairs).withColumn("gone", F.lit(True)).withColumnRenamed("id", "gone_id")
+def collapsed(df: DataFrame, id_col: str, alike: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that are the first with their value of ``alike``, and the ids of all the others. A null is like nothing.
+
+    What holds for a row's partners holds for those of all rows with its value, so only first rows need be compared, and
+    the others always go: n copies are n rows here, not n * n pairs.
+    """
+    keyed = pinned(df.select(F.col(id_col).alias("id"), alike.alias("_alike")))
+    first = keyed.filter("_alike IS NOT NULL").groupBy(F.col("_alike").alias("_key")).agg(F.min("id").alias("_first"))
+    copies = keyed.join(first, F.col("_alike") == F.col("_key")).filter("id <> _first").select("id")
+    return df.join(copies, F.col(id_col) == F.col("id"), "left_anti"), copies
+
+
+def kept_first(df: DataFrame, id_col: str, pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """Each id and whether it is kept: neither one of ``copies`` nor dropped by ``pairs``."""
+    gone = first_wins(pairs) if copies is None else first_wins(pairs).union(copies)
+    gone = gone.withColumn("gone", F.lit(True)).withColumnRenamed("id", "gone_id")
     return df.select(id_col).join(gone, F.col(id_col) == F.col("gone_id"), "left").select(id_col, F.col("gone").isNull().alias("kept"))
 
 

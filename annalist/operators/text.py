@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators.dedup import pinned
+
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
@@ -43,8 +45,16 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "doc"))).filter(F.col("rank") <= k)
 
 
-def tfidf_pairs(df: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """Pairs (a < b) of documents whose TF-IDF cosine reaches the threshold.
+def same_tokens(text: Column, distinct: bool) -> Column:
+    """A digest of the tokens of a text in order of the alphabet, of each once if ``distinct``; null where there are none."""
+    w = tokens(text)
+    w = F.array_sort(F.array_distinct(w) if distinct else w)
+    return F.when(F.size(w) > 0, F.sha2(F.concat_ws(" ", w).cast("binary"), 256))
+
+
+def tfidf_pairs(df: DataFrame, doc_id: str, text: str, threshold: float, among: DataFrame | None = None) -> DataFrame:
+    """Pairs (a < b) of documents whose TF-IDF cosine reaches the threshold; with ``among`` (of the same columns) only of those,
+    while terms count in all.
 
     Terms are ordered from rare to common. Where a document's remaining terms weigh less than the threshold together,
     they cannot carry a pair; so similar documents share a term before that point in both, and only those rare
@@ -53,6 +63,7 @@ def tfidf_pairs(df: DataFrame, doc_id: str, text: str, threshold: float) -> Data
     terms = term_counts(df, doc_id, text)
     n = df.select(F.count(F.lit(1)).alias("n"))
     idf = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    terms = terms if among is None else term_counts(among, doc_id, text)
     weighted = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = weighted.join(norm, "doc").select("doc", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
@@ -95,13 +106,15 @@ def jaccard_pairs(df: DataFrame, doc_id: str, text: str, percent: int) -> DataFr
     Tokens are ordered from rare to common; sets that similar share one of the first ``n - ceil(t n) + 1`` of each, so
     only these are joined for candidates.
     """
-    rows = df.select(F.col(doc_id).alias("doc"), F.array_distinct(tokens(F.col(text))).alias("w")).filter(F.size("w") > 0)
+    rows = pinned(df.select(F.col(doc_id).alias("doc"), F.array_distinct(tokens(F.col(text))).alias("w")).filter(F.size("w") > 0))
     words = rows.select("doc", F.size("w").alias("n"), F.explode("w").alias("term"))
     df_ = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("df", "term"))
-    first = words.join(df_, "term").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1).select("doc", "n", "term")
-    a, b = (first.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), "term") for x in "ab")
+    first = words.join(df_, "term").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1).select("doc", "n", "term", "k")
+    a, b = (first.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), "term", F.col("k").alias(f"k{x}")) for x in "ab")
     fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    # From their first common token on, both sets must still have room for what a similar pair has in common.
+    fits &= (100 + percent) * (F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) + 1) >= percent * (F.col("na") + F.col("nb"))
     pairs = a.join(b, "term").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     sets = rows.select("doc", "w")
     both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")

@@ -93,7 +93,8 @@ c AS (SELECT a.doc AS a, b.doc AS b, count(*) AS c, any_value(a.n + b.n) AS s FR
 def minhash_dedup(spark, sf_dir):
     """A document is dropped if it is similar (0.6 or more of their tokens) to an earlier kept one; exact, so without the sketch's misses."""
     docs = read(spark, sf_dir, "documents")
-    return dedup.kept_first(docs, "doc_id", text.jaccard_pairs(docs, "doc_id", "text", 60))
+    first, copies = dedup.collapsed(docs.select("doc_id", "text"), "doc_id", text.same_tokens(F.col("text"), distinct=True))
+    return dedup.kept_first(docs, "doc_id", text.jaccard_pairs(first, "doc_id", "text", 60), copies)
 
 
 @R.query("fuzzy_partial")

@@ -140,7 +140,8 @@ p AS (SELECT a, b FROM (SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6)
 def tfidf_neardup(spark, sf_dir):
     """Documents in the order of ids; one that is similar to an earlier kept one is dropped."""
     docs = read(spark, sf_dir, "documents")
-    return dedup.kept_first(docs, "doc_id", text.tfidf_pairs(docs, "doc_id", "text", 0.75))
+    first, copies = dedup.collapsed(docs.select("doc_id", "text"), "doc_id", text.same_tokens(F.col("text"), distinct=False))
+    return dedup.kept_first(docs, "doc_id", text.tfidf_pairs(docs, "doc_id", "text", 0.75, first), copies)
 
 
 @R.query("word_match_count", "SELECT doc_id, CAST(len(list_filter(['the', 'of', 'ed', 'zebra'], lambda q: contains(lower(text), q))) AS BIGINT) AS n FROM documents")

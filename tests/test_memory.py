@@ -1,6 +1,9 @@
+import random
+
 import pandas as pd
+from pyspark.sql import functions as F
 
-from annalist.operators import dedup, stores, vectors
+from annalist.operators import dedup, stores, text, vectors
 from annalist.streaming import memory
 
 
@@ -46,3 +49,34 @@ def test_store_on_disk(spark, tmp_path):
     back = stores.VectorStore.load(spark, str(tmp_path / "s")).delete(spark.createDataFrame([(3,)], "x long"))
     assert sorted(r["id"] for r in back.list().collect()) == [i for i in range(12) if i != 3]
     assert [r["id"] for r in back.get(spark.createDataFrame([(4,), (3,)], "x long")).collect()] == [4]
+
+
+def greedy(pairs):
+    near, gone = {}, set()
+    for a, b in pairs:
+        near.setdefault(b, set()).add(a)
+    for b in sorted(near):
+        if near[b] - gone:
+            gone.add(b)
+    return gone
+
+
+def test_chains_and_random_pairs(spark, monkeypatch):
+    """A chain of thousands of versions is decided in few rounds, whatever the ranges."""
+    rng = random.Random(11)
+    chain = [(i, i + 1) for i in range(5_000)]
+    for pairs, size in ((chain, 10**6), (chain, 1_500), ([tuple(sorted(rng.sample(range(300), 2))) for _ in range(900)], 100), ([(0, i) for i in range(1, 400)], 50)):
+        monkeypatch.setattr(dedup, "RANGE_PAIRS", size)
+        rng.shuffle(pairs)
+        got = [r["id"] for r in dedup.first_wins(spark.createDataFrame(pairs, "a long, b long")).collect()]
+        assert len(got) == len(set(got)) and set(got) == greedy(pairs)
+
+
+def test_copies_make_no_pairs(spark):
+    """A hundred thousand copies, some of them behind a text like theirs that comes first."""
+    near = "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1"
+    docs = spark.range(100_000).selectExpr("id + 10 AS doc_id", "'a1 a2 a3 a4 a5 a6 a7 a8 a9 b2' AS text").union(spark.createDataFrame([(1, near), (2, ""), (3, None), (4, "z9 z8"), (5, "z8 z9")], "doc_id long, text string"))
+    first, copies = dedup.collapsed(docs, "doc_id", text.same_tokens(F.col("text"), distinct=True))
+    assert first.count() == 5 and copies.count() == 100_000
+    kept = dedup.kept_first(docs, "doc_id", text.jaccard_pairs(first, "doc_id", "text", 60), copies)
+    assert sorted(r["doc_id"] for r in kept.filter("kept").collect()) == [1, 2, 3, 4]
