@@ -115,15 +115,6 @@ def test_short_and_reworded_items(spark):
     assert len(want) >= 75 and want <= got
 
 
-def test_signs_at_the_end_of_short_words():
-    from annalist.llm.toxicity import Restorer
-
-    rng = np.random.default_rng(0)
-    model = np.log(rng.dirichlet(np.full(toxicity.SYMBOLS, 0.2), (toxicity.SYMBOLS, toxicity.SYMBOLS)))
-    own = Restorer(model)
-    assert {"=a", "~a"} < set(own.forms("a$$")) and len(own.forms("f***")) == 4 and own.forms("cat!!") == ("=cat", "~cat") and own.forms("people***") == ("=people", "~people")
-
-
 def test_viterbi_against_all_paths():
     """The decoder's best path is the best of all, letter by letter, under the same costs."""
     from annalist.llm.toxicity import Decoder, symbol
