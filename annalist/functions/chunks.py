@@ -1,4 +1,4 @@
-"""Chunkers and fuzzy matching that need a scan of the text; plain functions and their Arrow forms."""
+"""Chunkers and similarity that need a scan of the text; plain functions and their Arrow forms."""
 
 from __future__ import annotations
 
@@ -117,3 +117,84 @@ def separator_chunks(size: int, overlap: int):
         return text.map(lambda t: by_separator(t, size, overlap))
 
     return run
+
+
+HEADING = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t#]*$")
+#: From the widest to the narrowest; the empty one cuts anywhere.
+CUTS = ("\n\n", "\n", ". ", "。", " ", "")
+
+
+def by_heading(text: str | None) -> list[dict]:
+    """path and text of each section of a Markdown text that is not blank: the headings above it, outermost first.
+
+    A heading closes all headings of its level and below. Lines inside a fence are text.
+    """
+    out: list[dict] = []
+    stack: list[tuple[int, str]] = []
+    held: list[str] = []
+    fence = None
+
+    def close() -> None:
+        if (body := "\n".join(held).strip()):
+            out.append({"path": [h for _, h in stack], "text": body})
+        held.clear()
+
+    for line in (text or "").split("\n"):
+        mark = line.lstrip()[:3]
+        if mark in ("```", "~~~"):
+            fence = None if fence == mark else fence or mark
+        m = None if fence or mark in ("```", "~~~") else HEADING.match(line)
+        if m is None:
+            held.append(line)
+            continue
+        close()
+        while stack and stack[-1][0] >= len(m[1]):
+            stack.pop()
+        stack.append((len(m[1]), m[2]))
+    close()
+    return out
+
+
+def recursively(text: str | None, size: int) -> list[str]:
+    """Pieces of at most ``size`` characters that joined give the text, cut at the widest separators that do.
+
+    Level by level, the pieces that are too long are cut behind the next separator; then neighbours are joined again as
+    long as they fit.
+    """
+    pieces = [text] if text else []
+    for sep in CUTS:
+        if all(len(p) <= size for p in pieces):
+            break
+        cut: list[str] = []
+        for p in pieces:
+            if len(p) <= size:
+                cut.append(p)
+            elif sep:
+                parts = p.split(sep)
+                cut += [x for x in (*(q + sep for q in parts[:-1]), parts[-1]) if x]
+            else:
+                cut += [p[i : i + size] for i in range(0, len(p), size)]
+        pieces = cut
+    out: list[str] = []
+    for p in pieces:
+        if out and len(out[-1]) + len(p) <= size:
+            out[-1] += p
+        else:
+            out.append(p)
+    return out
+
+
+def heading_chunks():
+    @pandas_udf("array<struct<path:array<string>,text:string>>")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(by_heading)
+
+    return run
+
+
+def recursive_chunks(size: int):
+    @pandas_udf("array<string>")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: recursively(t, size))
+
+    return run

@@ -117,6 +117,39 @@ def chunk_separator(spark, sf_dir):
     return parts.select("doc_id", "pos", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+MARKED = """m AS (SELECT page_id, string_split(regexp_replace(replace(replace(replace(html, '<h1>', chr(10) || '# '), '<p><b>', chr(10) || '## '), '<p>', chr(10)), '<[^>]*>', '', 'g'), chr(10)) AS lines FROM pages),
+l AS (SELECT page_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM m), k AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}[ \\t]+') THEN length(regexp_extract(line, '^#+')) END AS lvl FROM l),
+s AS (SELECT *, count(lvl) OVER (PARTITION BY page_id ORDER BY i) AS sec FROM k), h AS (SELECT page_id, sec, max(lvl) AS lvl, max(CASE WHEN lvl IS NOT NULL THEN regexp_replace(regexp_replace(line, '^#+[ \\t]+', ''), '[ \\t#]*$', '') END) AS head, trim(coalesce(string_agg(CASE WHEN lvl IS NULL THEN line END, chr(10) ORDER BY i), ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM s GROUP BY page_id, sec),
+o AS (SELECT *, max(CASE WHEN lvl = 1 THEN sec END) OVER w AS one, max(CASE WHEN lvl = 2 THEN sec END) OVER w AS two FROM h WINDOW w AS (PARTITION BY page_id ORDER BY sec)),
+p AS (SELECT o.page_id, o.sec, o.body, list_filter([a.head, b.head], lambda x: x IS NOT NULL) AS path FROM o LEFT JOIN h a ON a.page_id = o.page_id AND a.sec = o.one LEFT JOIN h b ON b.page_id = o.page_id AND b.sec = o.two AND (o.one IS NULL OR o.two > o.one))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY sec) - 1 AS INTEGER) AS pos, array_to_string(path, ' > ') AS path, md5(body) AS body_md5 FROM p WHERE body <> ''"""
+
+
+@R.query("chunk_markdown", "WITH " + MARKED)
+def chunk_markdown(spark, sf_dir):
+    """Sections of the pages, whose headings and paragraphs became Markdown, each with the headings above it."""
+    text = F.col("html")
+    for tag, mark in (("<h1>", "\n# "), ("<p><b>", "\n## "), ("<p>", "\n")):
+        text = F.replace(text, F.lit(tag), F.lit(mark))
+    parts = read(spark, sf_dir, "pages").select("page_id", F.posexplode(chunks.heading_chunks()(F.regexp_replace(text, "<[^>]*>", ""))).alias("pos", "x"))
+    return parts.select("page_id", "pos", F.concat_ws(" > ", "x.path").alias("path"), F.md5(F.col("x.text").cast("binary")).alias("body_md5"))
+
+
+@R.query("chunk_recursive")
+def chunk_recursive(spark, sf_dir):
+    parts = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.recursive_chunks(600)(F.col("text"))).alias("pos", "chunk"))
+    return parts.select("doc_id", "pos", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@R.query("chunk_recursive_rules", "SELECT doc_id, md5(text) AS joined_md5, TRUE AS all_fit, TRUE AS none_joinable FROM documents")
+def chunk_recursive_rules(spark, sf_dir):
+    """Chunks fit, give back the text, and no two neighbours would fit together."""
+    parts = read(spark, sf_dir, "documents").select("doc_id", chunks.recursive_chunks(600)(F.col("text")).alias("c"))
+    sizes = F.transform("c", lambda x: F.length(x))
+    pairs = F.zip_with(F.slice(sizes, 1, F.greatest(F.size("c") - 1, F.lit(0))), F.slice(sizes, 2, F.greatest(F.size("c"), F.lit(1))), lambda a, b: a + b)
+    return parts.select("doc_id", F.md5(F.concat_ws("", "c").cast("binary")).alias("joined_md5"), F.forall(sizes, lambda n: n <= 600).alias("all_fit"), F.forall(pairs, lambda n: n > 600).alias("none_joinable"))
+
+
 @R.query("kmeans_partition")
 def kmeans_partition(spark, sf_dir):
     """The clusters of each label's vectors, twenty at most in each; clusters of ten or fewer are left out."""

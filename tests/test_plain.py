@@ -52,3 +52,21 @@ def test_segments_and_compaction():
     assert len(summary) // 3 + sum(len(r) // 3 for r in recent) <= 40
     assert sum(map(int, summary.strip("+").split("+"))) + len(recent) == 9
     assert memory.compact([], 10, fold) == ("", [])
+
+
+def test_headings_carry_their_path():
+    text = "before\n# One\n\n## Two ##\nbody 2\n```\n# not a heading\n```\n# Next\nlast\n### Deep\n\n#tag\n"
+    got = [(c["path"], c["text"]) for c in chunks.by_heading(text)]
+    assert got == [([], "before"), (["One", "Two"], "body 2\n```\n# not a heading\n```"), (["Next"], "last"), (["Next", "Deep"], "#tag")]
+    assert chunks.by_heading(None) == [] == chunks.by_heading(" \n ")
+
+
+def test_recursive_chunks_give_back_the_text():
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice(["\n\n", "\n", ". ", " ", "ab", "x" * 9, "é😀"]) for _ in range(rng.randrange(80)))
+        for size in (1, 7, 30):
+            out = chunks.recursively(text, size)
+            assert "".join(out) == text and all(0 < len(c) <= size for c in out) and all(len(a) + len(b) > size for a, b in zip(out, out[1:]))
+    assert chunks.recursively("One two. Three four.\n\nFive", 14) == ["One two. ", "Three four.\n\n", "Five"]
+    assert chunks.recursively(None, 5) == []

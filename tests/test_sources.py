@@ -86,3 +86,28 @@ def test_passages(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "a.txt").write_text("one\ntwo\n\nthree\n\n\n")
     assert sorted(r["passage"].strip() for r in datasets.read_passages(spark, str(tmp_path)).collect()) == ["one\ntwo", "three"]
+
+
+def test_publication(spark, tmp_path, monkeypatch):
+    """A writer that dies leaves the old version readable; the next one takes its place as a whole."""
+    path = f"file://{tmp_path}/scores"
+    rows = lambda n: spark.createDataFrame([("a", i, i / 3, None) for i in range(n)], "domain string, n_rows long, recall double, note string")
+    assert sinks.published(spark, path) == {} and sinks.current(spark, path) is None
+    first = sinks.publish(sinks.score_outputs(rows(5), rows(3), rows(0)), path)
+    assert first["outputs"]["scored"]["rows"] == 5 and first["outputs"]["groups"] == {"rows": 0, "digest": "0"}
+    assert {k: df.count() for k, df in sinks.published(spark, path, check=True).items()} == {"scored": 5, "metrics": 3, "groups": 0, "retrieval_metrics": 3, "retrieval_groups": 0}
+    assert sinks.published(spark, path)["retrieval_metrics"].columns == ["domain", "recall", "note"]
+
+    def dead(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(sinks, "put", dead)
+        sinks.publish({"scored": rows(9)}, path)
+    assert sinks.current(spark, path) == first["version"] and sinks.published(spark, path, check=True)["scored"].count() == 5
+    assert len(sinks.sweep(spark, path)) == 1 and sinks.sweep(spark, path) == []
+    second = sinks.publish({"scored": rows(9)}, path)
+    assert set(sinks.published(spark, path, check=True)) == {"scored"} and sinks.sweep(spark, path) == [first["version"]]
+    rows(4).write.mode("overwrite").parquet(f"{path}/{second['version']}/scored")
+    with pytest.raises(ValueError, match="not what was published"):
+        sinks.published(spark, path, check=True)
