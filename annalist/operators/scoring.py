@@ -93,6 +93,50 @@ def metric_columns() -> list[Column]:
     ]
 
 
+def retrieval_fields(scored: DataFrame, mode: str = "ranked") -> DataFrame:
+    """Scored rows with what the retrieval aggregates read besides: counts of attributed ids by class, components, exposure.
+
+    Optional columns: ``groups`` (array of arrays of ids, the components that an answer needs), ``reported`` (a count of
+    its own, else the number of different ids).
+    """
+    some = lambda c, kind: F.col(c) if c in scored.columns else F.lit(None).cast(kind)
+    count = lambda c: F.coalesce(F.size(F.array_intersect("r", some(c, "array<string>"))), F.lit(0))
+    any_, complete, chain = component_scores(F.col("t"), F.coalesce(some("groups", "array<array<string>>"), F.array().cast("array<array<string>>")))
+    of_n = F.size(F.array_intersect("nonbinding", "t"))
+    with_n = F.col("n") > 0
+    return scored.withColumns({
+        "n_wrong_user": count("wrong_user"), "n_after_cutoff": count("after_cutoff"), "n_invalid": F.col("n_unique") - F.col("n_valid"), "n_duplicate": F.col("attributed") - F.col("n_unique"),
+        "reported_items": F.coalesce(some("reported", "long"), F.col("n_unique")), "available": F.col("n_valid") > 0,
+        "component_hit": any_, "component_complete": complete, "complete_chain": chain,
+        "probe_intrusion": F.when(with_n, of_n > 0), "exposure": F.when(with_n, ratio(of_n, F.col("n"))),
+    }).withColumn("mode", F.lit(mode))
+
+
+def retrieval_columns(mode: str) -> list[Column]:
+    """Aggregates of ``retrieval_fields`` rows of one mode: common, of the mode, and optional ones over the rows that have them (null without any)."""
+    mean = lambda c, when=None: F.avg((F.col(c) if when is None else F.when(when, F.col(c))).cast("double"))
+    common = [
+        F.count(F.lit(1)).alias("n"), mean("reported_items").alias("avg_reported"), mean("attributed").alias("avg_attributed"), mean("available").alias("attribution_coverage"),
+        ratio(F.sum("n_invalid"), F.sum("attributed")).alias("invalid_rate"), ratio(F.sum("n_duplicate"), F.sum("attributed")).alias("duplicate_rate"),
+        F.sum(F.col("n_wrong_user").cast("long")).alias("n_wrong_user"), F.sum(F.col("n_after_cutoff").cast("long")).alias("n_after_cutoff"),
+        mean("recall").alias("recall_macro"), ratio(F.sum("h"), F.sum("g")).alias("recall_micro"), mean("full").alias("full_rate"), mean("joint_hit").alias("joint_hit_rate"),
+        mean("component_hit").alias("component_hit"), mean("component_complete").alias("component_complete"), mean("complete_chain").alias("complete_chain_rate"), mean("temporal_recall").alias("temporal_recall"),
+    ]
+    if mode == "context":
+        return [*common, mean("exposure").alias("exposure")]
+    when_hit, when_miss = mean("correct", F.col("hit")), mean("correct", ~F.col("hit"))
+    return [
+        *common, *(mean(c).alias(c) for c in ("coverage_eff", "precision", "mrr", "ndcg", "graded_ndcg", "intrusion", "discrimination")), mean("hit").alias("hit_rate"), mean("joint_full").alias("joint_full_rate"),
+        mean("recall", F.col("available")).alias("recall_attributed"), when_hit.alias("accuracy_hit"), when_miss.alias("accuracy_miss"), (when_hit - when_miss).alias("utility_gap"),
+        mean("probe_intrusion").alias("probe_intrusion_rate"), mean("clean_hit").alias("clean_hit_rate"), mean("clean_grounded").alias("clean_grounded_rate"),
+    ]
+
+
+def retrieval_aggregates(df: DataFrame, mode: str, *by: str) -> DataFrame:
+    """The aggregates of one mode by ``by``, from the input of ``score_probes``."""
+    return retrieval_fields(score_probes(df, mode), mode).groupBy("mode", *by).agg(*retrieval_columns(mode))
+
+
 def rollup(scored: DataFrame, dimensions: list[str]) -> DataFrame:
     """One bucket over all and one for each value of each dimension. Rows are dealt out once; sums are combined in each task first."""
     pairs = F.array(F.struct(F.lit("overall").alias("group_field"), F.lit("all").alias("grp")), *(F.struct(F.lit(d).alias("group_field"), F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias("grp")) for d in dimensions))

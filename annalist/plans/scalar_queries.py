@@ -87,8 +87,8 @@ def greedy_pack(spark, sf_dir):
     return packed.select("user_id", F.explode("out").alias("o")).select("user_id", F.col("o.ord").alias("session_index"), "o.chunk")
 
 
-@R.query("ema_q", "WITH RECURSIVE " + history.SESSIONS + ", q(user_id, i, q) AS (SELECT user_id, session_index, 0.3 * value FROM sessions WHERE session_index = 0 UNION ALL SELECT s.user_id, s.session_index, q.q + 0.3 * (s.value - q.q) FROM q JOIN sessions s ON s.user_id = q.user_id AND s.session_index = q.i + 1) SELECT user_id, round(arg_max(q, i), 5) AS q, count(*) AS visits FROM q GROUP BY user_id")
-def ema_q(spark, sf_dir):
+@R.query("ema_reward", "WITH RECURSIVE " + history.SESSIONS + ", q(user_id, i, q) AS (SELECT user_id, session_index, 0.3 * value FROM sessions WHERE session_index = 0 UNION ALL SELECT s.user_id, s.session_index, q.q + 0.3 * (s.value - q.q) FROM q JOIN sessions s ON s.user_id = q.user_id AND s.session_index = q.i + 1) SELECT user_id, round(arg_max(q, i), 5) AS q, count(*) AS visits FROM q GROUP BY user_id")
+def ema_reward(spark, sf_dir):
     rows = history.lifelines(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("session_index", "value"))).alias("r"))
     return rows.select("user_id", F.round(folds.ema(F.transform("r", lambda x: x["value"]), 0.3), 5).alias("q"), F.size("r").cast("long").alias("visits"))
 

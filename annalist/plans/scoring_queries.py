@@ -64,6 +64,56 @@ def optional_avgs(spark, sf_dir):
     return scored.groupBy("domain").agg(F.round(F.avg("graded_ndcg"), 6).alias("graded_ndcg"), F.count("graded_ndcg").alias("n_graded"), F.round(F.avg("intrusion"), 6).alias("intrusion"), F.count("intrusion").alias("n_intrusion"))
 
 
+MEANS_RANKED = ["coverage_eff", "precision", "mrr", "ndcg", "graded_ndcg", "intrusion", "discrimination", "hit_rate", "joint_full_rate", "recall_attributed", "accuracy_hit", "accuracy_miss", "utility_gap", "probe_intrusion_rate", "clean_hit_rate", "clean_grounded_rate"]
+RETRIEVAL = (
+    "WITH "
+    + history.SETS
+    + """,
+shown AS (SELECT r.probe_id, r.session_id, r.k, r.after FROM raw r JOIN probes q USING (probe_id) WHERE q.user_id % 4 <> 3),
+modes(mode, depth) AS (VALUES ('ranked', 5), ('context', 1000000)),
+asked AS (SELECT probe_id, 'p' AS kind, session_id, CAST(substr(session_id, 2) AS BIGINT) % 2 AS part FROM pos UNION ALL SELECT probe_id, 't', session_id, 0 FROM tmp UNION ALL SELECT probe_id, 'n', session_id, 0 FROM non),
+hits AS (SELECT mode, a.*, CASE WHEN r.k <= depth THEN r.k END AS k FROM asked a LEFT JOIN shown r USING (probe_id, session_id) CROSS JOIN modes),
+ranks AS (SELECT unnest(range(1, 6)) AS k),
+m AS (SELECT mode, probe_id, count(*) FILTER (kind = 'p') AS g, count(k) FILTER (kind = 'p') AS h, count(*) FILTER (kind = 't') AS t, count(k) FILTER (kind = 't') AS ht, count(*) FILTER (kind = 'n') AS n, count(k) FILTER (kind = 'n') AS hn, min(k) FILTER (kind = 'p') AS first, coalesce(sum(1 / log2(k + 1)) FILTER (kind = 'p'), 0) AS dcg, coalesce(sum((CASE kind WHEN 'p' THEN 3 WHEN 't' THEN 1 ELSE 0 END) / log2(k + 1)), 0) AS gdcg FROM hits GROUP BY 1, 2),
+parts AS (SELECT mode, probe_id, part, max(CASE WHEN k IS NULL THEN 0 ELSE 1 END) AS met, min(CASE WHEN k IS NULL THEN 0 ELSE 1 END) AS whole FROM hits WHERE kind = 'p' GROUP BY 1, 2, 3),
+c AS (SELECT mode, probe_id, avg(met) AS met, avg(whole) AS whole, min(whole) AS chain FROM parts GROUP BY 1, 2),
+u AS (SELECT q.probe_id, q.domain, q.user_id, q.cutoff, q.choice = q.gold AS correct, q.user_id % 4 = 3 AS none, count(s.k) AS shown, count(*) FILTER (s.after) AS after FROM probes q LEFT JOIN shown s USING (probe_id) GROUP BY ALL),
+a AS (SELECT *, CASE WHEN none OR cutoff % 4 <> 1 THEN 0 ELSE 1 END AS dup, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS wrong, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS unknown FROM u),
+f AS (SELECT m.*, c.met, c.whole, c.chain, a.domain, a.correct, a.dup, a.wrong, a.after, a.wrong + a.unknown + a.after AS invalid, a.shown + a.wrong + a.unknown AS uniq, a.shown + a.wrong + a.unknown + a.dup AS attributed, a.cutoff, a.user_id, a.shown > a.after AS available, m.h > 0 AS hit, m.h = m.g AS whole_set, CAST(m.h AS DOUBLE) / m.g AS recall,
+  CASE WHEN m.n > 0 THEN m.hn / 5.0 END AS intrusion, CASE WHEN m.n > 0 THEN m.h > 0 AND m.hn = 0 END AS clean,
+  m.dcg / (SELECT sum(1 / log2(k + 1)) FROM ranks WHERE k <= least(5, m.g)) AS ndcg, CASE WHEN m.t > 0 THEN m.gdcg / (SELECT sum((CASE WHEN k <= m.g THEN 3.0 WHEN k <= m.g + m.t THEN 1.0 ELSE 0.0 END) / log2(k + 1)) FROM ranks) END AS graded
+  FROM m JOIN c USING (mode, probe_id) JOIN a USING (probe_id) WHERE m.g > 0),
+g AS (SELECT mode, domain, count(*) AS n, avg(CASE WHEN user_id % 2 = 0 THEN attributed + cutoff % 3 ELSE uniq END) AS avg_reported, avg(attributed) AS avg_attributed, avg(CAST(available AS INT)) AS attribution_coverage, coalesce(sum(invalid) / nullif(sum(attributed), 0), 0) AS invalid_rate, coalesce(sum(dup) / nullif(sum(attributed), 0), 0) AS duplicate_rate, CAST(sum(wrong) AS BIGINT) AS n_wrong_user, CAST(sum(after) AS BIGINT) AS n_after_cutoff,
+  avg(recall) AS recall_macro, sum(h) / sum(g) AS recall_micro, avg(CAST(whole_set AS INT)) AS full_rate, avg(CAST(correct AND hit AS INT)) AS joint_hit_rate, avg(met) AS component_hit, avg(whole) AS component_complete, avg(chain) AS complete_chain_rate, avg(CASE WHEN t > 0 THEN CAST(ht AS DOUBLE) / t END) AS temporal_recall, avg(CASE WHEN n > 0 THEN CAST(hn AS DOUBLE) / n END) AS exposure,
+  avg(CAST(h AS DOUBLE) / least(5, g)) AS coverage_eff, avg(h / 5.0) AS precision, avg(coalesce(1.0 / first, 0)) AS mrr, avg(ndcg) AS ndcg, avg(graded) AS graded_ndcg, avg(intrusion) AS intrusion, avg(h / 5.0 - intrusion) AS discrimination, avg(CAST(hit AS INT)) AS hit_rate, avg(CAST(correct AND whole_set AS INT)) AS joint_full_rate, avg(CASE WHEN available THEN recall END) AS recall_attributed,
+  avg(CASE WHEN hit THEN CAST(correct AS INT) END) AS accuracy_hit, avg(CASE WHEN NOT hit THEN CAST(correct AS INT) END) AS accuracy_miss, avg(CASE WHEN hit THEN CAST(correct AS INT) END) - avg(CASE WHEN NOT hit THEN CAST(correct AS INT) END) AS utility_gap, avg(CASE WHEN n > 0 THEN CAST(hn > 0 AS INT) END) AS probe_intrusion_rate, avg(CAST(clean AS INT)) AS clean_hit_rate, avg(CAST(clean AND correct AS INT)) AS clean_grounded_rate
+  FROM f GROUP BY mode, domain)
+SELECT mode, domain, n, n_wrong_user, n_after_cutoff, """
+    + ", ".join(f"round({c}, 6) AS {c}" for c in "avg_reported avg_attributed attribution_coverage invalid_rate duplicate_rate recall_macro recall_micro full_rate joint_hit_rate component_hit component_complete complete_chain_rate temporal_recall".split())
+    + ", CASE mode WHEN 'context' THEN round(exposure, 6) END AS exposure, "
+    + ", ".join(f"CASE mode WHEN 'ranked' THEN round({c}, 6) END AS {c}" for c in MEANS_RANKED)
+    + " FROM g"
+)
+
+
+@R.query("retrieval_aggregates", RETRIEVAL)
+def retrieval_aggregates(spark, sf_dir):
+    """All aggregates of both modes by domain. Some users have no attribution; others report ids of other users, unknown or repeated ones."""
+    df = history.scored_input(spark, sf_dir)
+    none, user = F.array().cast("array<string>"), F.col("user_id")
+    extra = lambda on, c: F.when(on, F.array(c)).otherwise(none)
+    seen = F.when(user % 4 == 3, none).otherwise(F.col("ranked"))
+    after = F.when(user % 4 == 3, none).otherwise(F.col("after_cutoff"))
+    wrong, unknown = extra(user % 2 == 0, F.concat(F.lit("w"), "probe_id")), extra(user % 3 == 0, F.concat(F.lit("u"), "probe_id"))
+    again = F.when(F.col("cutoff") % 4 == 1, F.slice(seen, 1, 1)).otherwise(none)
+    odd = lambda x: F.substr(x, F.lit(2)).cast("long") % 2
+    groups = F.filter(F.array(F.filter("positives", lambda x: odd(x) == 0), F.filter("positives", lambda x: odd(x) == 1)), lambda g: F.size(g) > 0)
+    df = df.withColumns({"wrong_user": wrong, "unknown": unknown, "after_cutoff": after, "ranked": F.concat(seen, wrong, unknown, again), "groups": groups})
+    df = df.withColumn("reported", F.when(user % 2 == 0, F.size("ranked") + F.col("cutoff") % 3).cast("long"))
+    both = scoring.retrieval_aggregates(df, "ranked", "domain").unionByName(scoring.retrieval_aggregates(df, "context", "domain"), allowMissingColumns=True)
+    return scoring.rounded(both)
+
+
 @R.query("two_level_macro", PER_PROBE + ", u AS (SELECT user_id, avg(recall) AS r, avg(CAST(correct AS INT)) AS c FROM scored GROUP BY user_id) SELECT count(*) AS n_units, round(avg(r), 6) AS recall_macro, round(avg(c), 6) AS correct_macro FROM u")
 def two_level_macro(spark, sf_dir):
     return scoring.rounded(scoring.two_level(scoring.score_probes(history.scored_input(spark, sf_dir)), "user_id", "recall", "correct"))

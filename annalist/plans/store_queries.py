@@ -150,7 +150,6 @@ R.statement("scan_by_filter", "SELECT vec_id, label FROM {embeddings} WHERE labe
 R.statement("scan_vector_list", "SELECT vec_id FROM {embeddings} WHERE label = 5 ORDER BY vec_id LIMIT 20")
 R.statement("scan_scroll", "SELECT vec_id, label FROM {embeddings}")
 R.statement("scan_all_items", "SELECT p_partkey, p_name FROM {part} WHERE p_type = 'ECONOMY' AND p_size > 10")
-R.statement("scan_graph_export", "WITH " + GRAPH + " SELECT src, dst FROM edges ORDER BY src, dst LIMIT 200 OFFSET 100")
 R.statement("load_passages", "SELECT text, count(*) AS n, min(doc_id) AS first_id FROM {documents} WHERE length(text) > 0 GROUP BY text")
 R.statement("status_filter", "SELECT o_orderkey FROM {orders} WHERE coalesce(CASE o_orderstatus WHEN 'F' THEN 'archived' WHEN 'O' THEN 'activated' END, 'activated') = 'activated'")
 R.statement("tenant_or_filter", "SELECT event_id FROM {events} WHERE user_id = 3 OR event_type IN ('signup')")
@@ -198,9 +197,7 @@ def history_replay(spark, sf_dir):
     store, actions = changed(spark, sf_dir)
     half = F.floor(F.lit(actions.agg(F.max("pos")).first()[0] or 0) / 2)
     return mutation.replayed(store, mutation.logged(store, actions), half)
-R.statement("ttl_delete", "SELECT event_id FROM {events} WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '14' DAY")
 R.statement("type_counts", "SELECT p_type, count(*) AS n FROM {part} GROUP BY p_type")
-R.statement("resume_checkpoint", "SELECT e.event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = e.event_id AND l.quality = 1)")
 R.statement("get_edges", "WITH " + GRAPH + " SELECT src, dst, CASE WHEN src LIKE 'o%' THEN 'contains' ELSE 'supplied_by' END AS kind FROM edges WHERE dst LIKE 'p1%'")
 R.statement("children_embeddings", "SELECT e.vec_id, e.label, p.p_partkey FROM {part} p JOIN {embeddings} e ON e.vec_id = p.p_partkey WHERE p.p_size = 10")
 R.statement("attach_or_create_key", "WITH c AS (SELECT l_orderkey, l_partkey, l_discount * 10 AS score, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey) AS k FROM {lineitem}) SELECT l_orderkey, CASE WHEN score >= 0.8 THEN l_partkey ELSE -1 END AS key_id FROM c WHERE k = 1")
