@@ -16,11 +16,11 @@ R = Registry()
 @R.query("ema_q", "WITH RECURSIVE " + history.SESSIONS + """,
 v(user_id, i, q, n, ma, r) AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT), list_transform(range(8), lambda x: CAST(NULL AS DOUBLE)), list_transform(range(8), lambda x: CAST(0 AS BIGINT)), list_transform(range(8), lambda x: CAST(0 AS DOUBLE)), list_transform(range(8), lambda x: CAST(NULL AS DOUBLE)) FROM sessions
  UNION ALL SELECT v.user_id, v.i + 1, list_transform(v.q, lambda x, k: CASE WHEN k = s.m THEN greatest(CAST(0.1 AS DOUBLE), CAST(0.7 AS DOUBLE) * coalesce(x, 0.2) + CAST(0.3 AS DOUBLE) * (s.reward + CAST(0.5 AS DOUBLE) * coalesce(list_max(v.q), 0))) ELSE x END), list_transform(v.n, lambda x, k: CASE WHEN k = s.m THEN x + 1 ELSE x END), list_transform(v.ma, lambda x, k: CASE WHEN k = s.m THEN CAST(0.7 AS DOUBLE) * x + CAST(0.3 AS DOUBLE) * s.reward ELSE x END), list_transform(v.r, lambda x, k: CASE WHEN k = s.m THEN s.reward ELSE x END)
- FROM v JOIN (SELECT user_id, session_index, event_id % 8 + 1 AS m, value / 100 - 1 AS reward FROM sessions) s ON s.user_id = v.user_id AND s.session_index = v.i + 1),
+ FROM v JOIN (SELECT user_id, session_index, event_id % 8 + 1 AS m, value / 97 - 1 AS reward FROM sessions) s ON s.user_id = v.user_id AND s.session_index = v.i + 1),
 l AS (SELECT user_id, max(i) AS i FROM v GROUP BY user_id), e AS (SELECT v.user_id, unnest(range(8)) AS memory_id, unnest(q) AS q, unnest(n) AS visits, unnest(ma) AS reward_mean, unnest(r) AS last_reward FROM v JOIN l USING (user_id, i))
 SELECT user_id, memory_id, round(q, 6) AS q, visits, round(reward_mean, 6) AS reward_mean, round(last_reward, 6) AS last_reward FROM e WHERE visits > 0""")
 def ema_q(spark, sf_dir):
-    rows = history.lifelines(spark, sf_dir).select("user_id", F.col("session_index").alias("ord"), (F.col("event_id") % 8).alias("memory_id"), (F.col("value") / 100 - 1).alias("reward"))
+    rows = history.lifelines(spark, sf_dir).select("user_id", F.col("session_index").alias("ord"), (F.col("event_id") % 8).alias("memory_id"), (F.col("value") / 97 - 1).alias("reward"))
     done = carried.learned_values(rows, 0.3, 0.5, first=0.2, floor=0.1)
     return done.select("user_id", "memory_id", F.round("q", 6).alias("q"), "visits", F.round("reward_mean", 6).alias("reward_mean"), F.round("last_reward", 6).alias("last_reward"))
 
