@@ -75,8 +75,6 @@ R.statement("working_path", "SELECT p_partkey FROM (SELECT p_partkey, ROW_NUMBER
 R.statement("preupdate_recall", "SELECT l_partkey AS id FROM {lineitem} WHERE l_discount >= 0.09 UNION SELECT p_partkey FROM {part} WHERE p_name LIKE '%ring%' AND p_size < 5")
 R.statement("get_nodes", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey IN (1, 2, 5, 8, 13)")
 R.statement("edge_exists", "SELECT n.n_nationkey, EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey) AS has_supplier FROM {nation} n")
-R.statement("entries_from_facts", "WITH s AS (SELECT conv_id, turn, role, ROW_NUMBER() OVER (ORDER BY conv_id, turn, role) - 1 AS seq FROM {conversations}), f AS (SELECT event_id AS fact, event_id % 800 AS source_id FROM {events}) SELECT f.fact, s.conv_id, s.role FROM f JOIN s ON s.seq = 2 * f.source_id")
-R.statement("dual_extract_merge", "WITH a AS (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'click' GROUP BY user_id), b AS (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'view' AND user_id % 2 = 0 GROUP BY user_id) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) + coalesce(b.n, 0) AS n FROM a FULL OUTER JOIN b ON a.user_id = b.user_id")
 R.statement("budgeted_context", "WITH d AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS t FROM {documents}) SELECT doc_id, CAST(CASE WHEN t <= 20000 THEN n_chars ELSE 20000 - (t - n_chars) END AS BIGINT) AS shown FROM d WHERE t - n_chars < 20000")
 R.statement("graph_add", "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey % 2 = 0 UNION SELECT l_orderkey FROM {lineitem} WHERE l_orderkey % 3 = 0")
 

@@ -172,8 +172,6 @@ R.statement("graph_chain", "WITH " + GRAPH + " SELECT src, dst FROM edges WHERE
 R.statement("source_passages_join", "SELECT l_orderkey, l_linenumber, s_name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey")
 R.statement("exclude_ids", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity >= 47)")
 R.statement("anti_rawfile_summary", "WITH s AS (SELECT l_partkey AS target FROM {lineitem} WHERE l_quantity >= 49) SELECT p_partkey FROM {part} LEFT JOIN s ON s.target = p_partkey WHERE s.target IS NULL")
-R.statement("event_expand", "SELECT DISTINCT b.event_id FROM {events} a JOIN {events} b ON date_trunc('hour', a.ts) = date_trunc('hour', b.ts) WHERE a.event_id % 20 = 0")
-R.statement("links_expand", "WITH l AS (SELECT l_orderkey AS note, l_partkey AS link, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM {lineitem}) SELECT note, link FROM l WHERE pos <= 6")
 R.statement("key_or_tag_recall", "WITH t AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM {lineitem} WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey) SELECT o_orderkey FROM {orders} LEFT JOIN t ON t.l_orderkey = o_orderkey WHERE o_orderkey IN (1, 2, 3) OR coalesce(n, 0) >= 2")
 LOG = ACTIONS + """, acts AS (SELECT * FROM a WHERE event <> 'NONE'), s AS (SELECT p_partkey AS id, -1 AS pos, 'BASE' AS event, p_name AS text FROM part),
 steps AS (SELECT id, pos, CASE WHEN event = 'DELETE' THEN NULL ELSE text END AS after, event, lag(CASE WHEN event = 'DELETE' THEN NULL ELSE text END) OVER (PARTITION BY id ORDER BY pos) AS before FROM (SELECT id, pos, event, text FROM s UNION ALL SELECT id, pos, event, text FROM acts) u),
