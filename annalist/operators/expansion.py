@@ -1,4 +1,4 @@
-"""What is added to found rows: linked notes, rows of the same time, source messages; and two extractions as one."""
+"""Recall by key or tags, what is added to found rows (linked notes, rows of the same time, source messages), and batches on their way into a store."""
 
 from __future__ import annotations
 
@@ -45,3 +45,28 @@ def merged_extracts(a: Column, b: Column) -> Column:
     usage = lambda x: F.coalesce(x["usage"], F.lit(0).cast("long"))
     both = lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.struct(F.concat(items(x), items(y)).alias("items"), (usage(x) + usage(y)).alias("usage")))
     return F.zip_with(none(a), none(b), both)
+
+
+def key_or_tags(asked: DataFrame, rows: DataFrame, least: int = 2) -> DataFrame:
+    """query, id, by_key and n_shared of the rows whose key a query names or that share ``least`` different tags with it.
+
+    ``asked``: query, keys, tags (arrays); ``rows``: id, key, tags. Both paths are equi joins on exploded values, so no
+    query meets a row with which it shares nothing. Nulls and repeated tags count for nothing.
+    """
+    tags = lambda df, name: df.select(name, F.explode(F.array_distinct("tags")).alias("tag")).filter("tag IS NOT NULL")
+    keys = asked.select("query", F.explode(F.array_distinct("keys")).alias("_key")).join(rows.select("id", "key"), F.col("_key") == F.col("key"))
+    shared = tags(asked, "query").join(tags(rows, "id"), "tag").groupBy("query", "id").agg(F.count_distinct("tag").alias("n_shared"))
+    both = keys.select("query", "id", F.lit(True).alias("named"), F.lit(0).cast("long").alias("n_shared")).unionByName(shared.withColumn("named", F.lit(False)))
+    found = both.groupBy("query", "id").agg(F.max("named").alias("by_key"), F.max("n_shared").alias("n_shared"))
+    return found.filter(F.col("by_key") | (F.col("n_shared") >= least))
+
+
+def passages(df: DataFrame, id_col: str, size: int = 100) -> DataFrame:
+    """Rows ready for a store: without blank texts and without an embedding that a row of a smaller id has, in batches of ``size``.
+
+    ``df``: ``id_col`` (unique), text, embedding. Rows without an embedding are left out.
+    """
+    whole = df.filter((F.trim("text") != "") & F.col("embedding").isNotNull())
+    first = whole.groupBy("embedding").agg(F.min(id_col).alias("_first")).select("_first")
+    kept = whole.join(first, F.col(id_col) == F.col("_first"), "left_semi")
+    return numbered(kept, "_place", id_col).withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")

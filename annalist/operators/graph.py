@@ -49,3 +49,14 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         front = onward.groupBy("id", "node").agg(F.min("path").alias("path")).join(found.select("id", "node"), ["id", "node"], "left_anti")
         found = found.unionByName(front.withColumn("steps", F.lit(step)))
     return found
+
+
+def added(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, ...) and edges (src, dst, kind) after a batch: a new node takes the place of that of its id, an edge is there once.
+
+    New edges with an end that no node has are left out; edges that were there stay. A batch brings an id once.
+    """
+    all_nodes = nodes.join(new_nodes.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti").unionByName(new_nodes)
+    ids = all_nodes.select(F.col("id").alias("_end"))
+    sound = new_edges.join(ids, F.col("src") == F.col("_end"), "left_semi").join(ids, F.col("dst") == F.col("_end"), "left_semi")
+    return all_nodes, edges.select("src", "dst", "kind").unionByName(sound.select("src", "dst", "kind")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.operators import expansion, vectors
+from annalist.operators import expansion, graph, vectors
 from annalist.plans import history
 from annalist.plans.search_queries import PAIRS, TOP, asked
 from annalist.registry import Registry, read
@@ -54,3 +54,50 @@ def dual_extract_merge(spark, sf_dir):
     half = F.slice(F.col("x")["b"], F.lit(1), F.floor(F.size("x") / 2).cast("int"))
     merged = own.select("user_id", F.posexplode(expansion.merged_extracts(F.col("x")["a"], half)).alias("pos", "m"))
     return merged.select("user_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("m").isNotNull(), F.array_join("m.items", ",")).alias("items"), "m.usage")
+
+
+@R.query("key_or_tag_recall", """WITH t AS (SELECT DISTINCT user_id, CAST(day(ts) AS VARCHAR) || '-' || regexp_extract(props, '[0-9]+') AS tag FROM events), u AS (SELECT DISTINCT user_id FROM events),
+s AS (SELECT a.user_id AS query, b.user_id AS id, count(*) AS n FROM t a JOIN t b ON a.tag = b.tag WHERE a.user_id % 20 = 0 GROUP BY 1, 2)
+SELECT q.user_id AS query, r.user_id AS id, r.user_id - q.user_id IN (1, 2) AS by_key, coalesce(n, 0) AS n_shared FROM u q JOIN u r ON true LEFT JOIN s ON s.query = q.user_id AND s.id = r.user_id WHERE q.user_id % 20 = 0 AND (r.user_id - q.user_id IN (1, 2) OR coalesce(n, 0) >= 2)""")
+def key_or_tag_recall(spark, sf_dir):
+    """Every twentieth user asks for the two users after it by name, and for all that share two tags of day and item."""
+    tag = F.concat_ws("-", F.dayofmonth("ts"), F.get_json_object("props", "$.k"))
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(tag).alias("tags"))
+    asked_ = rows.filter("user_id % 20 = 0").select(F.col("user_id").alias("query"), F.array(F.col("user_id") + 1, F.col("user_id") + 2).alias("keys"), "tags")
+    return expansion.key_or_tags(asked_, rows.select(F.col("user_id").alias("id"), F.col("user_id").alias("key"), "tags"))
+
+
+@R.query("load_passages", """WITH p AS (SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN ' ' ELSE text END AS text, list_transform(embedding[1:3], lambda x: CAST(floor(x * 8) AS BIGINT)) AS e FROM embeddings JOIN documents ON doc_id = vec_id), w AS (SELECT * FROM p WHERE trim(text) <> ''), f AS (SELECT min(vec_id) AS vec_id FROM w GROUP BY e)
+SELECT vec_id, (ROW_NUMBER() OVER (ORDER BY vec_id) - 1) // 100 AS batch FROM f""")
+def load_passages(spark, sf_dir):
+    """Texts with coarse embeddings of three places, of which many are equal; every ninth text is blank."""
+    text = F.when(F.col("vec_id") % 9 == 0, " ").otherwise(F.col("text")).alias("text")
+    coarse = F.transform(F.slice("embedding", 1, 3), lambda x: F.floor(x * 8)).alias("embedding")
+    rows = read(spark, sf_dir, "embeddings").join(read(spark, sf_dir, "documents"), F.col("vec_id") == F.col("doc_id")).select("vec_id", text, coarse)
+    return expansion.passages(rows, "vec_id").select("vec_id", "batch")
+
+
+BATCH = """n AS (SELECT 'p' || p_partkey AS id, p_name AS name FROM part), b AS (SELECT 'p' || p_partkey AS id, 'new ' || p_name AS name FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 0),
+a AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT * FROM b)"""
+
+
+def batch(spark, sf_dir):
+    part, supplier, lines = (read(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    name = lambda letter, c: F.concat(F.lit(letter), c)
+    nodes = part.select(name("p", "p_partkey").alias("id"), F.col("p_name").alias("name"))
+    more = part.filter("p_partkey % 3 = 0").select(name("p", "p_partkey").alias("id"), F.concat(F.lit("new "), "p_name").alias("name"))
+    new_nodes = more.unionByName(supplier.filter("s_suppkey % 2 = 0").select(name("s", "s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    edge = lambda flag: lines.filter(F.col("l_returnflag") == flag).select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst"), F.lit("supplied_by").alias("kind"))
+    return graph.added(nodes, edge("A"), new_nodes, edge("R"))
+
+
+@R.query("graph_add", "WITH " + BATCH + " SELECT id, name FROM a")
+def graph_add(spark, sf_dir):
+    """Nodes after a batch of changed parts and new suppliers."""
+    return batch(spark, sf_dir)[0]
+
+
+@R.query("graph_add_edges", "WITH " + BATCH + ", e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_returnflag AS flag FROM lineitem) SELECT DISTINCT src, dst, 'supplied_by' AS kind FROM e WHERE flag = 'A' OR (flag = 'R' AND src IN (SELECT id FROM a) AND dst IN (SELECT id FROM a))")
+def graph_add_edges(spark, sf_dir):
+    """Edges after it: a new edge needs both its ends."""
+    return batch(spark, sf_dir)[1]

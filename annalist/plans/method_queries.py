@@ -76,7 +76,6 @@ R.statement("preupdate_recall", "SELECT l_partkey AS id FROM {lineitem} WHERE l_
 R.statement("get_nodes", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey IN (1, 2, 5, 8, 13)")
 R.statement("edge_exists", "SELECT n.n_nationkey, EXISTS (SELECT 1 FROM {supplier} s WHERE s.s_nationkey = n.n_nationkey) AS has_supplier FROM {nation} n")
 R.statement("budgeted_context", "WITH d AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS t FROM {documents}) SELECT doc_id, CAST(CASE WHEN t <= 20000 THEN n_chars ELSE 20000 - (t - n_chars) END AS BIGINT) AS shown FROM d WHERE t - n_chars < 20000")
-R.statement("graph_add", "SELECT o_orderkey AS id FROM {orders} WHERE o_orderkey % 2 = 0 UNION SELECT l_orderkey FROM {lineitem} WHERE l_orderkey % 3 = 0")
 
 
 @R.query("random_k", "SELECT p_partkey FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT 10")

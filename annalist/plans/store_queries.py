@@ -150,7 +150,6 @@ R.statement("scan_by_filter", "SELECT vec_id, label FROM {embeddings} WHERE labe
 R.statement("scan_vector_list", "SELECT vec_id FROM {embeddings} WHERE label = 5 ORDER BY vec_id LIMIT 20")
 R.statement("scan_scroll", "SELECT vec_id, label FROM {embeddings}")
 R.statement("scan_all_items", "SELECT p_partkey, p_name FROM {part} WHERE p_type = 'ECONOMY' AND p_size > 10")
-R.statement("load_passages", "SELECT text, count(*) AS n, min(doc_id) AS first_id FROM {documents} WHERE length(text) > 0 GROUP BY text")
 R.statement("status_filter", "SELECT o_orderkey FROM {orders} WHERE coalesce(CASE o_orderstatus WHEN 'F' THEN 'archived' WHEN 'O' THEN 'activated' END, 'activated') = 'activated'")
 R.statement("tenant_or_filter", "SELECT event_id FROM {events} WHERE user_id = 3 OR event_type IN ('signup')")
 R.statement("tags_any", "SELECT DISTINCT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R' OR l_linestatus = 'O'")
@@ -172,7 +171,6 @@ R.statement("graph_chain", "WITH " + GRAPH + " SELECT src, dst FROM edges WHERE
 R.statement("source_passages_join", "SELECT l_orderkey, l_linenumber, s_name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey")
 R.statement("exclude_ids", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity >= 47)")
 R.statement("anti_rawfile_summary", "WITH s AS (SELECT l_partkey AS target FROM {lineitem} WHERE l_quantity >= 49) SELECT p_partkey FROM {part} LEFT JOIN s ON s.target = p_partkey WHERE s.target IS NULL")
-R.statement("key_or_tag_recall", "WITH t AS (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM {lineitem} WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey) SELECT o_orderkey FROM {orders} LEFT JOIN t ON t.l_orderkey = o_orderkey WHERE o_orderkey IN (1, 2, 3) OR coalesce(n, 0) >= 2")
 LOG = ACTIONS + """, acts AS (SELECT * FROM a WHERE event <> 'NONE'), s AS (SELECT p_partkey AS id, -1 AS pos, 'BASE' AS event, p_name AS text FROM part),
 steps AS (SELECT id, pos, CASE WHEN event = 'DELETE' THEN NULL ELSE text END AS after, event, lag(CASE WHEN event = 'DELETE' THEN NULL ELSE text END) OVER (PARTITION BY id ORDER BY pos) AS before FROM (SELECT id, pos, event, text FROM s UNION ALL SELECT id, pos, event, text FROM acts) u),
 log AS (SELECT pos, id, CASE WHEN after IS NULL THEN 'DELETE' WHEN before IS NULL THEN 'ADD' ELSE 'UPDATE' END AS event, before, after, CASE WHEN after IS NULL THEN 1 ELSE 0 END AS is_deleted FROM steps WHERE event <> 'BASE' AND (after IS NOT NULL OR before IS NOT NULL))"""

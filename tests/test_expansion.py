@@ -1,8 +1,8 @@
-"""Linked notes, rows of one time, messages of facts and merged extractions on hand-made rows."""
+"""Linked notes, rows of one time, messages of facts and merged extractions on hand-made rows; recall by key or tags, batches of passages and of a graph."""
 
 from pyspark.sql import functions as F
 
-from annalist.operators import expansion
+from annalist.operators import expansion, graph
 
 
 def test_links_beyond_the_counter_and_to_unknown_notes(spark):
@@ -33,3 +33,26 @@ def test_two_extractions_place_by_place(spark):
     df = spark.createDataFrame([([(["x"], 1), None, (None, 2), None], [(["y", "z"], None), None]), (None, [(["w"], 3)]), (None, None), ([], [])], f"a {kind}, b {kind}")
     got = [[None if m is None else (m["items"], m["usage"]) for m in r[0]] for r in df.select(expansion.merged_extracts(F.col("a"), F.col("b"))).collect()]
     assert got == [[(["x", "y", "z"], 1), None, ([], 2), None], [(["w"], 3)], [], []]
+
+
+def test_recall_by_key_or_by_two_tags(spark):
+    rows = spark.createDataFrame([(1, "a", ["x", "y", "x"]), (2, "b", ["x", "x"]), (3, None, [None, "y"]), (4, "c", None), (5, "d", ["x", "y", "z"])], "id long, key string, tags array<string>")
+    asked = spark.createDataFrame([("q", ["b", "c", "b", None], ["x", "y", "y", None]), ("e", [], []), ("n", None, None)], "query string, keys array<string>, tags array<string>")
+    got = sorted(tuple(r) for r in expansion.key_or_tags(asked, rows).select("query", "id", "by_key", "n_shared").collect())
+    assert got == [("q", 1, False, 2), ("q", 2, True, 1), ("q", 4, True, 0), ("q", 5, False, 2)]
+
+
+def test_passages_without_blanks_and_repeated_embeddings(spark):
+    rows = [(i, "t" if i != 3 else "  ", [i % 4, 0]) for i in range(12)] + [(20, "t", None), (21, None, [9, 9]), (22, "t", [9, 9])]
+    got = expansion.passages(spark.createDataFrame(rows, "id long, text string, embedding array<long>"), "id", 2).orderBy("id").collect()
+    assert [(r["id"], r["batch"]) for r in got] == [(0, 0), (1, 0), (2, 1), (7, 1), (22, 2)]
+
+
+def test_a_batch_into_a_graph(spark):
+    node, edge = "id string, name string", "src string, dst string, kind string"
+    nodes, edges = graph.added(
+        spark.createDataFrame([("a", "A"), ("b", "B")], node), spark.createDataFrame([("a", "b", "k"), ("a", "gone", "k")], edge),
+        spark.createDataFrame([("b", "B2"), ("c", None)], node), spark.createDataFrame([("a", "b", "k"), ("a", "b", "l"), ("c", "a", "k"), ("c", "z", "k"), (None, "a", "k")], edge),
+    )
+    assert sorted(map(tuple, nodes.collect())) == [("a", "A"), ("b", "B2"), ("c", None)]
+    assert sorted(map(tuple, edges.collect())) == [("a", "b", "k"), ("a", "b", "l"), ("a", "gone", "k"), ("c", "a", "k")]
