@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,23 @@ def visible_history(probes: DataFrame, sessions: DataFrame, cutoff: str = "cutof
 def snapshots(probes: DataFrame) -> DataFrame:
     """Distinct (user, cutoff): what several probes share is computed once."""
     return probes.select("user_id", "cutoff").distinct()
+
+
+def running_top(df: DataFrame, key: str, order: list[str], by: list[str], k: int, name: str, where: Column | None = None) -> DataFrame:
+    """``df`` with ``name``: of the rows of its key up to and with each row, the ``k`` with the greatest ``by``, greatest first, as structs of ``by``.
+
+    A place of the list is the running maximum of what the place above it let go: the lesser of a newcomer and of the
+    holder before it. So a list is k running maxima over one sort, whatever the length of a history, and no row is paired
+    with another. ``order`` and ``by`` are each unique within a key; nulls in ``by`` are least; rows where ``where``
+    doesn't hold are in no list but have one.
+    """
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    new = F.struct(*by)
+    df = df.withColumn("_new", new if where is None else F.when(where, new))
+    for i in range(k):
+        held = F.max("_new").over(before)
+        df = df.withColumn(f"_held{i}", held)
+        passed = F.when(F.col("_new").isNotNull() & F.col(f"_held{i}").isNotNull(), F.least("_new", f"_held{i}"))
+        df = df.withColumns({f"_held{i}": F.greatest("_new", f"_held{i}"), "_new": passed})
+    places = [f"_held{i}" for i in range(k)]
+    return df.withColumn(name, F.array_compact(F.array(*places))).drop("_new", *places)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annalist.operators.asof import visible_history
+from annalist.operators import asof
 from annalist.registry import read
 
 #: The same relations as common table expressions.
@@ -38,36 +38,33 @@ def lifelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def probes(sessions: DataFrame) -> DataFrame:
-    """Every tenth session asks about what came before it."""
+def probes(sessions: DataFrame, *also: str) -> DataFrame:
+    """Every tenth session asks about what came before it; columns ``also`` stay."""
     letter = lambda n: F.substring(F.lit("ABCD"), (n % 4 + 1).cast("int"), F.lit(1))
     own = sessions.filter((F.col("session_index") > 0) & (F.col("session_index") % 10 == 0))
     return own.select(
-        F.concat(F.lit("p"), "event_id").alias("probe_id"), "user_id", (F.col("session_index") - 1).alias("cutoff"), "domain", letter(F.col("event_id")).alias("gold"), letter(F.col("event_id") * 7).alias("choice")
+        F.concat(F.lit("p"), "event_id").alias("probe_id"), "user_id", (F.col("session_index") - 1).alias("cutoff"), "domain", letter(F.col("event_id")).alias("gold"), letter(F.col("event_id") * 7).alias("choice"), *also
     )
 
 
 def scored_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each probe with positives: evidence sets and the raw ranked list with each id's class.
 
-    The window over a probe's visible sessions replaces one self join for each set.
+    A probe stands at its own session, so what it saw are frames before that row and running lists up to it: the work
+    grows with the sessions, not with the sessions before each probe.
     """
-    sessions = lifelines(spark, sf_dir)
-    asked = probes(sessions)
-    near = visible_history(asked.withColumn("reach", F.col("cutoff") + 2), sessions.select("user_id", "session_id", "session_index", F.col("domain").alias("of_domain"), "value"), "reach")
-    shown = F.col("session_index") <= F.col("cutoff")
-    newest = lambda cond: F.sum((cond & shown).cast("int")).over(Window.partitionBy("probe_id").orderBy(F.col("session_index").desc()))
-    same = F.col("of_domain") == F.col("domain")
-    error = (F.col("of_domain") == "error") & (F.col("domain") != "error")
-    rank = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.col("value").desc(), F.col("session_index").desc()))
-    marked = near.withColumns({"n_same": newest(same), "n_error": newest(error), "rank": rank})
-    positive = same & shown & (F.col("n_same") <= 6)
-    ids = lambda cond: F.collect_list(F.when(cond, F.col("session_id")))
-    ranked = F.sort_array(F.collect_list(F.when(F.col("rank") <= 8, F.struct("rank", "session_id", (~shown).alias("after")))))
-    grouped = marked.groupBy("probe_id", "user_id", "cutoff", "domain", "gold", "choice").agg(
-        ids(positive).alias("positives"),
-        ids(shown & ~positive & (F.col("session_index") > F.col("cutoff") - 3)).alias("temporal"),
-        ids(error & shown & (F.col("n_error") <= 3)).alias("nonbinding"),
-        ranked.alias("hits"),
-    )
-    return grouped.filter(F.size("positives") > 0).select("*", F.col("hits.session_id").alias("ranked"), F.filter("hits", lambda x: x["after"])["session_id"].alias("after_cutoff")).drop("hits")
+    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    sessions = lifelines(spark, sf_dir).filter(F.col("user_id").isNotNull())
+    best = asof.running_top(sessions, "user_id", ["ts", "event_id"], ["value", "session_index", "session_id"], 8, "best")
+    errors = asof.running_top(best, "user_id", ["ts", "event_id"], ["session_index", "session_id"], 3, "errors", F.col("domain") == "error")
+    seen = errors.withColumns({"hits": F.coalesce(F.lead("best").over(line), F.col("best")), "newest": F.collect_list("session_id").over(line.rowsBetween(-3, -1))})
+    own = Window.partitionBy("user_id", "domain").orderBy("ts", "event_id").rowsBetween(-6, -1)
+    same = seen.withColumn("positives", F.when(F.col("domain").isNotNull(), F.collect_list("session_id").over(own)))
+    asked = probes(same, "hits", "newest", "positives", "errors").filter(F.size("positives") > 0)
+    return asked.select(
+        "probe_id", "user_id", "cutoff", "domain", "gold", "choice", "positives",
+        F.array_except("newest", "positives").alias("temporal"),
+        F.when(F.col("domain") != "error", F.col("errors.session_id")).otherwise(F.array().cast("array<string>")).alias("nonbinding"),
+        F.col("hits.session_id").alias("ranked"),
+        F.filter("hits", lambda x: x["session_index"] > F.col("cutoff"))["session_id"].alias("after_cutoff"),
+    )
