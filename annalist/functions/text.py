@@ -62,7 +62,20 @@ def tagged(text: Column, tag: str) -> Column:
 
 
 def yes_no(text: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(text, r"(?i)\b(yes|no)\b", 1)), F.lit(""))
+    """The first yes or no that stands as a word, letters of any script apart; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(text, r"(?i)(?<![\p{L}\p{N}_])(yes|no)(?![\p{L}\p{N}_])", 1)), F.lit(""))
+
+
+def long_enough(text: Column, least: int = 20) -> Column:
+    """At least so many words where all characters are ASCII, else so many characters, without blanks at the ends; null and blank texts are not."""
+    own = F.regexp_replace(text, r"^\s+|\s+$", "")
+    words = F.size(F.split(own, r"\s+"))
+    return F.coalesce((own != "") & (F.when(own.rlike(r"^[\x00-\x7F]*$"), words).otherwise(F.length(own)) >= least), F.lit(False))
+
+
+def without_markers(text: Column, markers: tuple[str, ...]) -> Column:
+    """Texts that hold none of ``markers``; a null text holds none."""
+    return ~F.coalesce(F.greatest(*(F.contains(text, F.lit(m)) for m in markers), F.lit(False)), F.lit(False))
 
 
 def detect_script(text: Column) -> Column:

@@ -150,14 +150,6 @@ def lineage_join(spark, sf_dir):
     return found.select("event_id", F.coalesce("own_id", "text_id", "mark_id").alias("session_id"))
 
 
-@R.query("private_field_guard", """WITH j AS (SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN '{"a": {"gold_choice_id": "A"}}' WHEN 1 THEN '{"gold": "choice_id: x", "list": [{"scores": 1}]}' WHEN 2 THEN props ELSE '{"note": "gold_choice_id"}' END AS JSON) AS js FROM events), k AS (SELECT event_id, t.key AS key FROM j, json_tree(j.js) t WHERE t.key IN ('gold_choice_id', 'scores')) SELECT e.event_id, string_agg(k.key, ',' ORDER BY k.key) AS private_keys FROM events e LEFT JOIN k ON k.event_id = e.event_id GROUP BY e.event_id""")
-def private_field_guard(spark, sf_dir):
-    """Private keys at any depth of a JSON text; values that only name one are none."""
-    made = F.when(F.col("event_id") % 4 == 0, F.lit('{"a": {"gold_choice_id": "A"}}')).when(F.col("event_id") % 4 == 1, F.lit('{"gold": "choice_id: x", "list": [{"scores": 1}]}')).when(F.col("event_id") % 4 == 2, F.col("props")).otherwise(F.lit('{"note": "gold_choice_id"}'))
-    found = F.array_sort(F.array_intersect(texts.json_keys(made), F.array(F.lit("gold_choice_id"), F.lit("scores"))))
-    return read(spark, sf_dir, "events").select("event_id", F.when(F.size(found) > 0, F.array_join(found, ",")).alias("private_keys"))
-
-
 @R.query("graph_path", "WITH RECURSIVE edges AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem), walk(id, node, path, steps) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, ['c' || c_custkey], 0 FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT w.id, e.dst, list_append(w.path, e.dst), w.steps + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.steps < 2 AND NOT list_contains(w.path, e.dst)) SELECT id, node, array_to_string(path, '>') AS path FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id, node ORDER BY steps, array_to_string(path, '>')) AS k FROM walk) x WHERE k = 1")
 def graph_path(spark, sf_dir):
     """Shortest paths of at most two steps from every twentieth customer over orders to parts, with the nodes on the way."""
@@ -236,21 +228,6 @@ def split_long_message(spark, sf_dir):
     return rows.withColumn("part", F.col("part").cast("long"))
 
 
-@R.query("parse_json_lenient", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"k\": ' || event_id || '}' WHEN 1 THEN '{\"k\": ' || event_id || '}' WHEN 2 THEN '{\"k\": ' || event_id || '}' END AS object FROM events")
-def parse_json_lenient(spark, sf_dir):
-    n = F.col("event_id").cast("string")
-    reply = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('```json\n{"k": '), n, F.lit("}\n```"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('it is {"k": '), n, F.lit("} so"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"k": '), n)).otherwise(F.lit("nothing here"))
-    return read(spark, sf_dir, "events").select("event_id", texts.json_lenient(reply).alias("object"))
-
-
-@R.query("parse_choice_current", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS choice, CASE event_id % 5 WHEN 0 THEN 'A' END AS strict_choice FROM events")
-def parse_choice_current(spark, sf_dir):
-    replies = ('{"choice_id": "A"} then {"choice_id": "B"}', '{"decision": " B ", "why": "x"}', '{"choice_id": "Z"}', "choice_id: A", '{"choice_id": "A"')
-    reply = F.element_at(F.array(*map(F.lit, replies)), (F.col("event_id") % 5 + 1).cast("int"))
-    valid = F.array(*map(F.lit, "ABCD"))
-    return read(spark, sf_dir, "events").select("event_id", texts.parse_choice_current(reply, valid).alias("choice"), texts.parse_choice_current(reply, valid, True).alias("strict_choice"))
-
-
 @R.query("tz_convert", "SELECT event_id, ts + INTERVAL 9 HOUR AS tokyo FROM events")
 def tz_convert(spark, sf_dir):
     """Times without a zone are UTC."""
@@ -263,20 +240,6 @@ def digest(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.sha2(F.to_json(F.struct("event_id", "event_type", "user_id")).cast("binary"), 256).alias("digest"))
 
 
-@R.query("expand_citations", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a [session:u1_s1] b' WHEN 1 THEN 'see [session:u1_s1] [session:u2_s3]' WHEN 2 THEN 'two [s2] of them' ELSE 'none [s9]' END AS said FROM customer")
-def expand_citations(spark, sf_dir):
-    said = F.element_at(F.array(*map(F.lit, ("a [s1] b", "see [s1, u2_s3]", "two [s2] of them", "none [s9]"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    ids = F.array(*map(F.lit, ("u1_s1", "u1_s2", "u2_s2", "u2_s3")))
-    return read(spark, sf_dir, "customer").select("c_custkey", texts.expand_citations(said, ids).alias("said"))
-
-
-@R.query("validate_summary", "SELECT event_id, event_id % 4 = 0 AS valid FROM events")
-def validate_summary(spark, sf_dir):
-    good = "## Facts\n- likes tea [session:s1]\n## Plans\n- none yet [session:s2]"
-    said = F.element_at(F.array(*map(F.lit, (good, "## Plans\n- x [session:s1]\n## Facts", good.replace("s2", "s7"), good.replace(" [session:s1]", "")))), (F.col("event_id") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "events").select("event_id", texts.valid_summary(said, ["## Facts", "## Plans"], F.array(F.lit("s1"), F.lit("s2"))).alias("valid"))
-
-
 @R.query("render_bounded", "SELECT conv_id, '## assistant' || chr(10) || '- ' || substr(max(text) FILTER (WHERE turn = a), 1, 30) || ' [session:' || conv_id || ']' AS said FROM (SELECT *, min(turn) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id) AS a FROM conversations) x WHERE a IS NOT NULL GROUP BY conv_id")
 def render_bounded(spark, sf_dir):
     """One fact of a section, cut to 30 characters, with at most one id."""

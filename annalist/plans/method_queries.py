@@ -56,19 +56,6 @@ def array_set_ops(spark, sf_dir):
     return df.select("probe_id", size(F.col("positives")).alias("n_pos"), size(F.array_intersect("positives", "t")).alias("n_common"), size(F.array_except("positives", "t")).alias("n_missed"))
 
 
-@R.query("yes_no", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS said FROM events")
-def yes_no(spark, sf_dir):
-    reply = F.when(F.col("event_id") % 3 == 0, "Well, YES or no").when(F.col("event_id") % 3 == 1, "nothing? No.").otherwise("nobody knows")
-    return read(spark, sf_dir, "events").select("event_id", texts.yes_no(reply).alias("said"))
-
-
-@R.query("extract_tagged", "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'v' || event_id END AS inside FROM events")
-def extract_tagged(spark, sf_dir):
-    one = F.concat(F.lit("<a>v"), "event_id", F.lit("</a>"))
-    said = F.when(F.col("event_id") % 3 == 0, F.concat(one, one)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("x "), one)).otherwise(F.lit("<a> open"))
-    return read(spark, sf_dir, "events").select("event_id", texts.tagged(said, "a").alias("inside"))
-
-
 R.statement("visible_domains", "WITH " + history.VISIBLE + " SELECT probe_id, domain, count(*) AS n FROM visible GROUP BY probe_id, domain")
 R.statement("keyword_path", "WITH q AS (SELECT DISTINCT p_name AS token FROM {part} WHERE p_partkey % 20 = 0), h AS (SELECT p.p_partkey AS id, q.token, p.p_retailprice / 1000 AS score FROM {part} p JOIN q ON p.p_name = q.token), b AS (SELECT id, max(score) AS score FROM h GROUP BY id) SELECT id, score FROM (SELECT id, score, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS k FROM b) x WHERE k <= 20")
 R.statement("working_path", "SELECT p_partkey FROM (SELECT p_partkey, ROW_NUMBER() OVER (ORDER BY p_partkey) AS k FROM {part} WHERE p_type = 'ECONOMY') x WHERE k <= 15")

@@ -177,8 +177,6 @@ def snapshot_join(spark, sf_dir):
 R.statement("session_ordinal", "WITH " + history.SESSIONS + " SELECT session_id, user_id, CAST(session_index AS BIGINT) AS session_index FROM sessions")
 R.statement("visible_history", "WITH " + history.VISIBLE + " SELECT probe_id, session_id FROM visible")
 R.statement("filter_domain", "WITH " + history.PROBES + " SELECT p.probe_id, count(s.session_id) AS n_sessions FROM probes p JOIN sessions s ON s.user_id = p.user_id AND lower(trim(s.domain)) = 'purchase' WHERE lower(trim(p.domain)) = lower(trim(' Purchase ')) GROUP BY p.probe_id")
-R.statement("subset_users_probes", "WITH " + history.PROBES + """, u AS (SELECT user_id, DENSE_RANK() OVER (ORDER BY CAST(user_id AS VARCHAR(20))) AS ur FROM (SELECT DISTINCT user_id FROM probes) d), kept AS (SELECT p.*, ROW_NUMBER() OVER (ORDER BY p.event_id) AS pr FROM probes p JOIN u USING (user_id) WHERE u.ur <= 60), few AS (SELECT * FROM kept WHERE pr <= 300), again AS (SELECT user_id, ROW_NUMBER() OVER (ORDER BY CAST(user_id AS VARCHAR(20))) - 1 AS i FROM (SELECT DISTINCT user_id FROM few) d)
-SELECT f.probe_id, f.user_id FROM few f JOIN again a USING (user_id) WHERE a.i % 4 = 1""")
 R.statement("group_user_jobs", "WITH " + history.PROBES + " SELECT p.user_id, p.probe_id, CAST(ROW_NUMBER() OVER (PARTITION BY p.user_id ORDER BY p.cutoff, p.probe_id) AS BIGINT) AS job_pos, n.n_sessions FROM probes p JOIN (SELECT user_id, count(*) AS n_sessions FROM sessions GROUP BY user_id) n USING (user_id)")
 R.statement("join_probe_key", "WITH " + history.PROBES + ", keys AS (SELECT probe_id, gold FROM probes WHERE event_id % 17 <> 3) SELECT coalesce(p.probe_id, k.probe_id) AS probe_id, k.gold, CASE WHEN k.probe_id IS NULL THEN 'no key' WHEN p.probe_id IS NULL THEN 'no probe' ELSE 'ok' END AS state FROM (SELECT probe_id FROM probes WHERE event_id % 13 <> 2) p FULL OUTER JOIN keys k ON p.probe_id = k.probe_id")
 R.statement("join_prediction_probe", "WITH " + history.PROBES + ", pred AS (SELECT probe_id, choice FROM probes WHERE event_id % 11 <> 5 UNION ALL SELECT probe_id, choice FROM probes WHERE event_id % 29 = 1), n AS (SELECT probe_id, count(*) AS n, max(choice) AS choice FROM pred GROUP BY probe_id) SELECT p.probe_id, coalesce(n.n, 0) AS n_predictions, CASE WHEN n.n IS NULL THEN 'missing' WHEN n.n > 1 THEN 'duplicate' WHEN n.choice NOT IN ('A', 'B', 'C', 'D') THEN 'invalid' ELSE 'ok' END AS state FROM probes p LEFT JOIN n ON n.probe_id = p.probe_id")
@@ -188,7 +186,6 @@ R.statement("key_identity", "SELECT event_id, coalesce(nullif(CASE WHEN event_id
 R.statement("dup_check", "WITH d AS (SELECT event_id % 900 AS id FROM {events}) SELECT id, count(*) AS n FROM d GROUP BY id HAVING count(*) > 1")
 R.statement("mode_guard", "SELECT user_id, count(DISTINCT event_type) AS n_modes, count(DISTINCT event_type) = 1 AS uniform FROM {events} GROUP BY user_id")
 R.statement("gold_validation", "WITH " + history.SETS + ", bad AS (SELECT p.probe_id, p.session_id, s.user_id AS owner, s.session_index, q.user_id, q.cutoff FROM pos p JOIN probes q USING (probe_id) LEFT JOIN sessions s ON s.session_id = p.session_id UNION ALL SELECT q.probe_id, s.session_id, s.user_id, s.session_index, q.user_id, q.cutoff FROM probes q JOIN sessions s ON s.event_id = q.event_id + 1) SELECT probe_id, session_id, CASE WHEN owner IS NULL THEN 'unknown' WHEN owner <> user_id THEN 'wrong user' ELSE 'after cutoff' END AS violation FROM bad WHERE owner IS NULL OR owner <> user_id OR session_index > cutoff")
-R.statement("restore_order", "WITH " + history.PROBES + " SELECT probe_id, CAST(ROW_NUMBER() OVER (ORDER BY event_id) - 1 AS BIGINT) AS probe_pos FROM probes")
 R.statement("count_by_fields", "SELECT event_type, CAST(CAST(get_json_object(props, '$.k') AS INT) % 5 AS BIGINT) AS k, count(*) AS n FROM {events} GROUP BY 1, 2", "SELECT event_type, CAST(CAST(json_extract_string(props, '$.k') AS INT) % 5 AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
 R.statement("count_total", "SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id")
 R.statement("usage_totals", "SELECT l_returnflag AS phase, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, round(sum(l_tax), 4) AS latency FROM {lineitem} GROUP BY l_returnflag")

@@ -150,10 +150,6 @@ def word_match_count(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(words, lambda q: F.contains(F.lower("text"), q))).cast("long").alias("n"))
 
 
-SIM_Q = "SELECT l_orderkey, l_linenumber, round({w} * (l_discount - avg(l_discount) OVER (PARTITION BY l_orderkey)) / {sd} + 0.3 * greatest(-3, least(3, (l_tax - avg(l_tax) OVER (PARTITION BY l_orderkey)) / {sq})), 6) + 0.0 AS score FROM {lineitem}"
-R.statement("sim_q_rank", SIM_Q.replace("{w}", "0.7").replace("{sd}", "CASE WHEN coalesce(stddev_pop(l_discount) OVER (PARTITION BY l_orderkey), 0) < 1e-9 THEN 1 ELSE stddev_pop(l_discount) OVER (PARTITION BY l_orderkey) END").replace("{sq}", "CASE WHEN coalesce(stddev_pop(l_tax) OVER (PARTITION BY l_orderkey), 0) < 1e-9 THEN 1 ELSE stddev_pop(l_tax) OVER (PARTITION BY l_orderkey) END"))
-R.statement("value_select", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT l_orderkey, l_partkey, l_linenumber, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_tax DESC, l_linenumber, l_partkey) AS k FROM {lineitem} WHERE l_discount >= 0.02) x WHERE k <= 2")
 R.statement("dedup_topk", "WITH c AS (SELECT l_orderkey, l_partkey, l_discount, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey % 3 END AS task FROM {lineitem}), one AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, coalesce(CAST(task AS VARCHAR(20)), 'id' || l_partkey) ORDER BY l_discount DESC, l_partkey) AS u FROM c) SELECT l_orderkey, l_partkey FROM (SELECT l_orderkey, l_partkey, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_partkey) AS k FROM one WHERE u = 1) x WHERE k <= 3")
-R.statement("weighted_rerank", "SELECT p_partkey, round(p_retailprice / 1000 * CASE p_type WHEN 'ECONOMY' THEN 1.0 WHEN 'STANDARD' THEN 0.8 ELSE 0.5 END, 6) AS score FROM {part}")
 R.statement("keyword_like", "SELECT doc_id FROM {documents} WHERE text LIKE '%license%' OR text LIKE '%License%'")
 R.statement("substring_ci", "SELECT doc_id FROM {documents} WHERE lower(text) LIKE '%' || lower('LICENSED') || '%'")

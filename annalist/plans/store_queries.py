@@ -155,8 +155,6 @@ R.statement("tenant_or_filter", "SELECT event_id FROM {events} WHERE user_id = 3
 R.statement("tags_any", "SELECT DISTINCT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R' OR l_linestatus = 'O'")
 R.statement("time_range", "SELECT event_id, ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00' AS inclusive, ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-06 00:00:00' AS exclusive FROM {events}")
 R.statement("events_around", "SELECT a.event_id AS a, b.event_id AS b FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL '1' HOUR AND a.ts + INTERVAL '1' HOUR AND a.event_id <> b.event_id")
-R.statement("filter_short_text", "SELECT doc_id FROM {documents} WHERE CASE WHEN lang = 'en' THEN length(text) - length(replace(text, ' ', '')) + 1 >= 20 ELSE length(text) >= 20 END")
-R.statement("filter_intermediate", "SELECT doc_id FROM {documents} WHERE NOT (text LIKE '%GNU%' OR text LIKE '%MIT License%' OR text LIKE '%token = %')")
 R.statement("json_exists_text", "SELECT conv_id FROM {conversations} WHERE role = 'user' GROUP BY conv_id HAVING max(CASE WHEN lower(text) LIKE '%the%' THEN 1 ELSE 0 END) = 1")
 R.statement("topk_desc_stable", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, ROW_NUMBER() OVER (ORDER BY p_size DESC, p_partkey) AS k FROM {part}) x WHERE k <= 50")
 R.statement("topk_argsort", "SELECT user_id, event_id FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM {events}) x WHERE k <= 3")
@@ -195,5 +193,3 @@ def history_replay(spark, sf_dir):
     return mutation.replayed(store, mutation.logged(store, actions), half)
 R.statement("type_counts", "SELECT p_type, count(*) AS n FROM {part} GROUP BY p_type")
 R.statement("get_edges", "WITH " + GRAPH + " SELECT src, dst, CASE WHEN src LIKE 'o%' THEN 'contains' ELSE 'supplied_by' END AS kind FROM edges WHERE dst LIKE 'p1%'")
-R.statement("children_embeddings", "SELECT e.vec_id, e.label, p.p_partkey FROM {part} p JOIN {embeddings} e ON e.vec_id = p.p_partkey WHERE p.p_size = 10")
-R.statement("attach_or_create_key", "WITH c AS (SELECT l_orderkey, l_partkey, l_discount * 10 AS score, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey) AS k FROM {lineitem}) SELECT l_orderkey, CASE WHEN score >= 0.8 THEN l_partkey ELSE -1 END AS key_id FROM c WHERE k = 1")
