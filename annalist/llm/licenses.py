@@ -2,7 +2,7 @@
 
 Texts are cut into pieces at line ends and stops, pieces are normalised (lower case, words and numbers only), and
 successive pieces that together are a known licence sentence, wrapped or not, become its identifier; a line without
-words, blank or of comment marks, ends a sentence. The identifiers of a text in order are matched against ordered rules: a
+words, blank or of comment marks, ends a sentence, but for blank lines right behind a stop. The identifiers of a text in order are matched against ordered rules: a
 rule holds if its sentences stand in the text in that order, other text between them or not. Of the rules of one
 licence the longest that holds is reported.
 
@@ -13,6 +13,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +50,47 @@ SENTENCES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by": "licensed under cc by 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
+    "apache-title": "apache license version 2 0 january 2004",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2 1 february 1999",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "mpl-title": "mozilla public license version 2 0",
+    "lgpl3-name": "gnu lesser general public license version 3",
+    "lgpl21-name": "gnu lesser general public license version 2 1",
+    "agpl3-name": "gnu affero general public license version 3",
+    "lgpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
 }
-#: Other wordings of those sentences. The SQL does not know them.
+#: Other wordings of those sentences.
 WORDINGS = {"the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "as-is"}
+#: SPDX identifiers and the licence that a rule names.
+SPDX = {
+    "MIT": "MIT",
+    "Apache-2.0": "Apache-2.0",
+    "GPL-3.0-only": "GPL-3.0",
+    "GPL-3.0-or-later": "GPL-3.0",
+    "GPL-2.0-only": "GPL-2.0",
+    "GPL-2.0-or-later": "GPL-2.0",
+    "LGPL-3.0-only": "LGPL-3.0",
+    "LGPL-3.0-or-later": "LGPL-3.0",
+    "LGPL-2.1-only": "LGPL-2.1",
+    "LGPL-2.1-or-later": "LGPL-2.1",
+    "AGPL-3.0-only": "AGPL-3.0",
+    "AGPL-3.0-or-later": "AGPL-3.0",
+    "BSD-3-Clause": "BSD-3-Clause",
+    "BSD-2-Clause": "BSD-2-Clause",
+    "ISC": "ISC",
+    "MPL-2.0": "MPL-2.0",
+    "Unlicense": "Unlicense",
+    "CC-BY-4.0": "CC-BY-4.0",
+    "CC-BY-SA-4.0": "CC-BY-SA-4.0",
+    "CC0-1.0": "CC0-1.0",
+}
 #: Fixed values: (rule, licence, sentences in order).
 RULES = [
     ("mit-full", "MIT", ["mit-grant", "mit-notice", "as-is", "mit-liable"]),
@@ -76,11 +115,24 @@ RULES = [
     ("cc-by-4.0", "CC-BY-4.0", ["cc-by"]),
     ("cc-by-sa-4.0", "CC-BY-SA-4.0", ["cc-by-sa"]),
     ("cc0-1.0", "CC0-1.0", ["cc0"]),
-]
+    ("apache-2.0-title", "Apache-2.0", ["apache-title"]),
+    ("gpl-3.0-title", "GPL-3.0", ["gpl3-title"]),
+    ("gpl-2.0-title", "GPL-2.0", ["gpl2-title"]),
+    ("lgpl-3.0-title", "LGPL-3.0", ["lgpl3-title"]),
+    ("lgpl-3.0-name", "LGPL-3.0", ["lgpl3-name"]),
+    ("lgpl-3.0-notice", "LGPL-3.0", ["lgpl3-free", "gpl-hope"]),
+    ("lgpl-2.1-title", "LGPL-2.1", ["lgpl21-title"]),
+    ("lgpl-2.1-name", "LGPL-2.1", ["lgpl21-name"]),
+    ("lgpl-2.1-notice", "LGPL-2.1", ["lgpl21-free", "lgpl-hope"]),
+    ("agpl-3.0-title", "AGPL-3.0", ["agpl3-title"]),
+    ("agpl-3.0-name", "AGPL-3.0", ["agpl3-name"]),
+    ("agpl-3.0-notice", "AGPL-3.0", ["agpl3-free", "gpl-hope"]),
+    ("mpl-2.0-title", "MPL-2.0", ["mpl-title"]),
+] + [(f"spdx-{spdx.lower()}", lic, [f"spdx-{spdx.lower()}"]) for spdx, lic in SPDX.items()]
 #: Fixed value: a text without these letters has no known sentence.
 TRIGGER = "(?i)licen[sc]e|permission|redistribut|free software|this program|copyright|provided|liable|public domain"
 ORDER = list(SENTENCES)
-KNOWN = {said: name for name, said in SENTENCES.items()} | WORDINGS
+KNOWN = {said: name for name, said in SENTENCES.items()} | WORDINGS | {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", spdx.lower()): f"spdx-{spdx.lower()}" for spdx in SPDX}
 #: The words that known sentences begin with, and the words of the longest: it cannot have more pieces.
 FIRST = "^(?:" + "|".join(sorted({said.split()[0] for said in KNOWN})) + r")\b"
 LONGEST = max(len(said.split()) for said in KNOWN)
@@ -123,16 +175,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def oracle() -> str:
-    """The same in DuckDB."""
+    """The same in DuckDB: runs of pieces from every piece that begins as a known sentence does."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(said)}, {quote(name)})" for name, said in SENTENCES.items())
+    known = ", ".join(f"({quote(said)}, {quote(name)})" for said, name in KNOWN.items())
     rules = ", ".join(f"({quote(name)}, {quote(lic)}, {len(need)}, {quote('%' + '%'.join(f' {s} ' for s in need) + '%')})" for name, lic, need in RULES)
     return f"""
 WITH known(said, name) AS (VALUES {known}),
+heads AS (SELECT split_part(said, ' ', 1) AS head, max(len(string_split(said, ' '))) AS longest FROM known GROUP BY 1),
 rules(rule, license, n, pattern) AS (VALUES {rules}),
-cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(text, '([.?;:])\\s+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
-lines AS (SELECT r, doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM cut),
-named AS (SELECT r, doc_id, i, name FROM lines JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = said),
-ids AS (SELECT r, doc_id, ' ' || string_agg(name, '  ' ORDER BY i) || ' ' AS ids FROM named GROUP BY r, doc_id),
+cut AS (SELECT row_number() OVER () AS r, doc_id, list_transform(string_split(regexp_replace(text, '([.?;:])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda p: trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g'))) AS parts FROM documents),
+begun AS (SELECT r, doc_id, parts, i, unnest(range(1, least(longest, len(parts) - i + 1) + 1)) AS n FROM (SELECT r, doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut) x JOIN heads ON split_part(parts[i], ' ', 1) = head),
+named AS (SELECT r, doc_id, i, n, name FROM begun JOIN known ON array_to_string(parts[i:i + n - 1], ' ') = said),
+ids AS (SELECT r, doc_id, ' ' || string_agg(name, '  ' ORDER BY i, n) || ' ' AS ids FROM named GROUP BY r, doc_id),
 held AS (SELECT r, doc_id, license, rule, n, row_number() OVER (PARTITION BY r, license ORDER BY n DESC, rule) AS k FROM ids JOIN rules ON ids LIKE pattern)
 SELECT doc_id, license, rule, CAST(n AS BIGINT) AS n_sentences FROM held WHERE k = 1"""

@@ -186,3 +186,36 @@ AND FITNESS. IN NO EVENT"""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r["doc_id"], r["rule"]) for r in licenses.scan(df).collect())
     assert got == [(0, "mit-full"), (1, "apache-2.0-header"), (2, "gpl-3.0-notice"), (3, "gpl-2.0-notice"), (4, "bsd-2-clause"), (5, "bsd-2-clause"), (5, "bsd-3-clause"), (6, "isc"), (7, "mpl-2.0"), (8, "apache-2.0-header")]
+
+
+def test_titles_identifiers_and_notices_like_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    lesser = """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+
+    This library is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    texts = {
+        "# SPDX-License-Identifier: MIT": ["spdx-mit"],
+        "// SPDX-License-Identifier: Apache-2.0\n// SPDX-License-Identifier: GPL-2.0-only\nint main();": ["spdx-apache-2.0", "spdx-gpl-2.0-only"],
+        "   Apache License\n   Version 2.0, January 2004\n   http": ["apache-2.0-title"],
+        "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007": ["agpl-3.0-title"],
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": ["lgpl-2.1-title"],
+        lesser: ["lgpl-2.1-notice"],
+        lesser.replace("\n", "\r\n * "): ["lgpl-2.1-notice"],
+        "SPDX-License-Identifier\n\nMIT": [],
+        "SPDX-License-Identifier:\n\n\tISC": ["spdx-isc"],
+        "The identifier of a license: MITRE": [],
+        "": [],
+    }
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["license"], r["rule"], r["n_sentences"]) for r in licenses.scan(df).collect())
+    assert [(i, rule) for i, _, rule, _ in got] == sorted((i, rule) for i, rules in enumerate(texts.values()) for rule in rules)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([*enumerate(texts), (99, None)], columns=["doc_id", "text"]))
+    assert sorted(con.sql(licenses.oracle()).fetchall()) == got
