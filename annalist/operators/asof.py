@@ -12,6 +12,19 @@ def visible_history(probes: DataFrame, sessions: DataFrame, cutoff: str = "cutof
     return probes.join(of, (F.col("user_id") == F.col("of_user")) & (F.col("session_index") <= F.col(cutoff))).drop("of_user")
 
 
+def around(df: DataFrame, key: str, time: str, id_col: str, seconds: int) -> DataFrame:
+    """Pairs (a, b) of different rows of one key whose times are at most ``seconds`` apart, in both orders.
+
+    Rows meet in buckets of that width, each with its own and the two beside it, so a key of a third of all rows is
+    dealt out by time, and rows far apart never meet. A null key or time is near nothing.
+    """
+    width = seconds * 1_000_000
+    rows = df.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(id_col).alias("a"), F.col(key).alias("_key"), F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_at") / width))
+    near = rows.select(F.col("a").alias("b"), "_key", F.col("_at").alias("_then"), F.explode(F.array(*(F.col("_bucket") + d for d in (-1, 0, 1)))).alias("_bucket"))
+    return rows.join(near, ["_key", "_bucket"]).filter((F.abs(F.col("_at") - F.col("_then")) <= width) & (F.col("a") != F.col("b"))).select("a", "b")
+
+
 def snapshots(probes: DataFrame) -> DataFrame:
     """Distinct (user, cutoff): what several probes share is computed once."""
     return probes.select("user_id", "cutoff").distinct()

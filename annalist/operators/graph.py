@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators.dedup import pinned
+
 
 def neighbors(edges: DataFrame, node: DataFrame, direction: str = "both") -> DataFrame:
     """Neighbours of the nodes in ``node`` (column id): out, in, or both without repetition."""
@@ -14,13 +16,19 @@ def neighbors(edges: DataFrame, node: DataFrame, direction: str = "both") -> Dat
 
 
 def distances(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True) -> DataFrame:
-    """id, node and least number of steps (0 to ``depth``). Each round joins only the newest frontier."""
+    """id, node and least number of steps (0 to ``depth``). Edges may repeat.
+
+    Each round joins only the newest frontier with the edges as they are read: pairs are made distinct after the join,
+    in each task first, so edges are never shuffled to be made distinct. A round's frontier is a checkpoint, so plans
+    don't grow with the depth; an empty frontier ends the walk.
+    """
     steps = edges.select("src", "dst") if directed else edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    steps = steps.distinct()
     seen = frontier = start.select("id", F.col("id").alias("node"), F.lit(0).alias("steps"))
     for d in range(1, depth + 1):
         reached = frontier.join(steps, F.col("node") == F.col("src")).select("id", F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen, ["id", "node"], "left_anti").withColumn("steps", F.lit(d))
+        frontier = pinned(reached.join(seen, ["id", "node"], "left_anti").withColumn("steps", F.lit(d)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -151,3 +151,11 @@ def two_level(scored: DataFrame, unit: str, *measures: str) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields))
+
+
+def gold_violations(gold: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Of labels (probe_id, session_id, user_id, cutoff) those that break the contract, and how: an unknown session, one of another user, or one after the cutoff."""
+    of = sessions.select(F.col("session_id").alias("_session"), F.col("user_id").alias("_owner"), F.col("session_index").alias("_index"))
+    found = gold.join(of, F.col("session_id") == F.col("_session"), "left")
+    why = F.when(F.col("_session").isNull(), "unknown").when(~F.col("_owner").eqNullSafe(F.col("user_id")), "wrong user").when(F.col("_index") > F.col("cutoff"), "after cutoff")
+    return found.select("probe_id", "session_id", why.alias("violation")).filter(F.col("violation").isNotNull())

@@ -47,8 +47,8 @@ def probes(sessions: DataFrame, *also: str) -> DataFrame:
     )
 
 
-def scored_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each probe with positives: evidence sets and the raw ranked list with each id's class.
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each probe: evidence sets and the raw ranked list with each id's class.
 
     A probe stands at its own session, so what it saw are frames before that row and running lists up to it: the work
     grows with the sessions, not with the sessions before each probe.
@@ -60,11 +60,16 @@ def scored_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = errors.withColumns({"hits": F.coalesce(F.lead("best").over(line), F.col("best")), "newest": F.collect_list("session_id").over(line.rowsBetween(-3, -1))})
     own = Window.partitionBy("user_id", "domain").orderBy("ts", "event_id").rowsBetween(-6, -1)
     same = seen.withColumn("positives", F.when(F.col("domain").isNotNull(), F.collect_list("session_id").over(own)))
-    asked = probes(same, "hits", "newest", "positives", "errors").filter(F.size("positives") > 0)
+    asked = probes(same, "hits", "newest", "positives", "errors", "event_id")
     return asked.select(
-        "probe_id", "user_id", "cutoff", "domain", "gold", "choice", "positives",
+        "probe_id", "event_id", "user_id", "cutoff", "domain", "gold", "choice", "positives",
         F.array_except("newest", "positives").alias("temporal"),
         F.when(F.col("domain") != "error", F.col("errors.session_id")).otherwise(F.array().cast("array<string>")).alias("nonbinding"),
         F.col("hits.session_id").alias("ranked"),
         F.filter("hits", lambda x: x["session_index"] > F.col("cutoff"))["session_id"].alias("after_cutoff"),
     )
+
+
+def scored_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes with positives; one without any is an error of the keys and not scored."""
+    return evidence(spark, sf_dir).filter(F.size("positives") > 0).drop("event_id")

@@ -180,12 +180,28 @@ R.statement("filter_domain", "WITH " + history.PROBES + " SELECT p.probe_id, cou
 R.statement("group_user_jobs", "WITH " + history.PROBES + " SELECT p.user_id, p.probe_id, CAST(ROW_NUMBER() OVER (PARTITION BY p.user_id ORDER BY p.cutoff, p.probe_id) AS BIGINT) AS job_pos, n.n_sessions FROM probes p JOIN (SELECT user_id, count(*) AS n_sessions FROM sessions GROUP BY user_id) n USING (user_id)")
 R.statement("join_probe_key", "WITH " + history.PROBES + ", keys AS (SELECT probe_id, gold FROM probes WHERE event_id % 17 <> 3) SELECT coalesce(p.probe_id, k.probe_id) AS probe_id, k.gold, CASE WHEN k.probe_id IS NULL THEN 'no key' WHEN p.probe_id IS NULL THEN 'no probe' ELSE 'ok' END AS state FROM (SELECT probe_id FROM probes WHERE event_id % 13 <> 2) p FULL OUTER JOIN keys k ON p.probe_id = k.probe_id")
 R.statement("join_prediction_probe", "WITH " + history.PROBES + ", pred AS (SELECT probe_id, choice FROM probes WHERE event_id % 11 <> 5 UNION ALL SELECT probe_id, choice FROM probes WHERE event_id % 29 = 1), n AS (SELECT probe_id, count(*) AS n, max(choice) AS choice FROM pred GROUP BY probe_id) SELECT p.probe_id, coalesce(n.n, 0) AS n_predictions, CASE WHEN n.n IS NULL THEN 'missing' WHEN n.n > 1 THEN 'duplicate' WHEN n.choice NOT IN ('A', 'B', 'C', 'D') THEN 'invalid' ELSE 'ok' END AS state FROM probes p LEFT JOIN n ON n.probe_id = p.probe_id")
-R.statement("join_session_lookup", "WITH " + history.SETS + " SELECT r.probe_id, r.session_id, s.user_id AS owner, CAST(s.session_index AS BIGINT) AS session_index FROM raw r LEFT JOIN sessions s ON s.session_id = r.session_id")
+
+
+@R.query("join_session_lookup", "WITH " + history.SETS.replace("{events}", "events") + " SELECT r.probe_id, r.session_id, s.user_id AS owner, CAST(s.session_index AS BIGINT) AS session_index FROM raw r LEFT JOIN sessions s ON s.session_id = r.session_id")
+def join_session_lookup(spark, sf_dir):
+    """Ranked ids with their session's owner and ordinal."""
+    of = history.lifelines(spark, sf_dir).select("session_id", F.col("user_id").alias("owner"), F.col("session_index").cast("long").alias("session_index"))
+    return history.evidence(spark, sf_dir).select("probe_id", F.explode("ranked").alias("session_id")).join(of, "session_id", "left")
+
+
 R.statement("coverage_diff", "WITH " + history.PROBES + ", got AS (SELECT probe_id FROM probes WHERE event_id % 7 <> 0 UNION ALL SELECT 'extra' || event_id FROM probes WHERE event_id % 41 = 0) SELECT p.probe_id, 'missing' AS side FROM probes p LEFT JOIN got g ON g.probe_id = p.probe_id WHERE g.probe_id IS NULL UNION ALL SELECT g.probe_id, 'extra' FROM got g LEFT JOIN probes p ON p.probe_id = g.probe_id WHERE p.probe_id IS NULL")
 R.statement("key_identity", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN NULL ELSE 'q' || event_id END, ''), nullif('p' || event_id, ''), '') AS key_id FROM {events}")
 R.statement("dup_check", "WITH d AS (SELECT event_id % 900 AS id FROM {events}) SELECT id, count(*) AS n FROM d GROUP BY id HAVING count(*) > 1")
 R.statement("mode_guard", "SELECT user_id, count(DISTINCT event_type) AS n_modes, count(DISTINCT event_type) = 1 AS uniform FROM {events} GROUP BY user_id")
-R.statement("gold_validation", "WITH " + history.SETS + ", bad AS (SELECT p.probe_id, p.session_id, s.user_id AS owner, s.session_index, q.user_id, q.cutoff FROM pos p JOIN probes q USING (probe_id) LEFT JOIN sessions s ON s.session_id = p.session_id UNION ALL SELECT q.probe_id, s.session_id, s.user_id, s.session_index, q.user_id, q.cutoff FROM probes q JOIN sessions s ON s.event_id = q.event_id + 1) SELECT probe_id, session_id, CASE WHEN owner IS NULL THEN 'unknown' WHEN owner <> user_id THEN 'wrong user' ELSE 'after cutoff' END AS violation FROM bad WHERE owner IS NULL OR owner <> user_id OR session_index > cutoff")
+
+
+@R.query("gold_validation", "WITH " + history.SETS.replace("{events}", "events") + ", gold AS (SELECT probe_id, session_id, user_id, cutoff FROM pos JOIN probes USING (probe_id) UNION ALL SELECT probe_id, 's' || (event_id + 1), user_id, cutoff FROM probes UNION ALL SELECT probe_id, 's' || event_id, user_id, cutoff FROM probes), m AS (SELECT g.*, s.user_id AS owner, s.session_index AS place, s.session_id IS NOT NULL AS known FROM gold g LEFT JOIN sessions s USING (session_id)) SELECT probe_id, session_id, CASE WHEN NOT known THEN 'unknown' WHEN owner IS DISTINCT FROM user_id THEN 'wrong user' ELSE 'after cutoff' END AS violation FROM m WHERE NOT known OR owner IS DISTINCT FROM user_id OR place > cutoff")
+def gold_validation(spark, sf_dir):
+    """Labels of probes, and two wrong ones each: the session of the next event, and the probe's own."""
+    asked = history.evidence(spark, sf_dir).withColumn("own", F.concat("positives", F.array(*(F.concat(F.lit("s"), F.col("event_id") + d) for d in (1, 0)))))
+    return scoring.gold_violations(asked.select("probe_id", "user_id", "cutoff", F.explode("own").alias("session_id")), history.lifelines(spark, sf_dir))
+
+
 R.statement("count_by_fields", "SELECT event_type, CAST(CAST(get_json_object(props, '$.k') AS INT) % 5 AS BIGINT) AS k, count(*) AS n FROM {events} GROUP BY 1, 2", "SELECT event_type, CAST(CAST(json_extract_string(props, '$.k') AS INT) % 5 AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
 R.statement("count_total", "SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id")
 R.statement("usage_totals", "SELECT l_returnflag AS phase, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens, round(sum(l_tax), 4) AS latency FROM {lineitem} GROUP BY l_returnflag")

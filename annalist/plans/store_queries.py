@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from annalist.operators import filters, graph, mutation
+from annalist.operators import asof, filters, graph, mutation
 from annalist.registry import Registry, read
 
 R = Registry()
@@ -154,7 +154,6 @@ R.statement("status_filter", "SELECT o_orderkey FROM {orders} WHERE coalesce(CAS
 R.statement("tenant_or_filter", "SELECT event_id FROM {events} WHERE user_id = 3 OR event_type IN ('signup')")
 R.statement("tags_any", "SELECT DISTINCT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R' OR l_linestatus = 'O'")
 R.statement("time_range", "SELECT event_id, ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00' AS inclusive, ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-06 00:00:00' AS exclusive FROM {events}")
-R.statement("events_around", "SELECT a.event_id AS a, b.event_id AS b FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL '1' HOUR AND a.ts + INTERVAL '1' HOUR AND a.event_id <> b.event_id")
 R.statement("json_exists_text", "SELECT conv_id FROM {conversations} WHERE role = 'user' GROUP BY conv_id HAVING max(CASE WHEN lower(text) LIKE '%the%' THEN 1 ELSE 0 END) = 1")
 R.statement("topk_desc_stable", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, ROW_NUMBER() OVER (ORDER BY p_size DESC, p_partkey) AS k FROM {part}) x WHERE k <= 50")
 R.statement("topk_argsort", "SELECT user_id, event_id FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM {events}) x WHERE k <= 3")
@@ -193,3 +192,9 @@ def history_replay(spark, sf_dir):
     return mutation.replayed(store, mutation.logged(store, actions), half)
 R.statement("type_counts", "SELECT p_type, count(*) AS n FROM {part} GROUP BY p_type")
 R.statement("get_edges", "WITH " + GRAPH + " SELECT src, dst, CASE WHEN src LIKE 'o%' THEN 'contains' ELSE 'supplied_by' END AS kind FROM edges WHERE dst LIKE 'p1%'")
+
+
+@R.query("events_around", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL '1' HOUR AND a.ts + INTERVAL '1' HOUR AND a.event_id <> b.event_id")
+def events_around(spark, sf_dir):
+    """Events of a user within an hour of each other."""
+    return asof.around(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600)

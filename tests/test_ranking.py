@@ -6,7 +6,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from annalist.functions import text as texts
-from annalist.operators import asof, ranking
+from annalist.operators import asof, graph, ranking, scoring
 
 
 def test_running_top_against_all_earlier_rows(spark):
@@ -72,3 +72,24 @@ def test_short_and_marked_texts(spark):
     assert [r["x"] for r in marked.collect() if not r["ok"]] == ["has KEY: in it"]
     words = spark.createDataFrame([("ñno, Yes!",), ("nobody",), (None,)], "x string")
     assert [r["s"] for r in words.select(texts.yes_no(F.col("x")).alias("s")).collect()] == ["yes", None, None]
+
+
+def test_rows_around_each_other(spark):
+    dice = random.Random(3)
+    rows = [(i, dice.choice([1, 1, 1, 2, None]), dice.choice([None, *range(0, 40_000)])) for i in range(400)] + [(1000, 1, 0), (1001, 1, 3600), (1002, 1, 7200), (1003, 1, 7201)]
+    df = spark.createDataFrame(rows, "id int, u int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((r["a"], r["b"]) for r in asof.around(df, "u", "ts", "id", 3600).collect())
+    assert got == sorted((i, j) for i, u, s in rows for j, v, t in rows if i != j and u is not None and u == v and s is not None and t is not None and abs(s - t) <= 3600)
+
+
+def test_gold_violations(spark):
+    sessions = spark.createDataFrame([("a", 1, 0), ("b", 1, 5), ("c", 2, 0), ("d", None, 0)], "session_id string, user_id int, session_index int")
+    gold = spark.createDataFrame([("p", s, 1, 3) for s in ("a", "b", "c", "d", "x")], "probe_id string, session_id string, user_id int, cutoff int")
+    assert {r["session_id"]: r["violation"] for r in scoring.gold_violations(gold, sessions).collect()} == {"b": "after cutoff", "c": "wrong user", "d": "wrong user", "x": "unknown"}
+
+
+def test_walk_over_repeated_edges_ends(spark):
+    edges = spark.createDataFrame([("a", "b")] * 50 + [("b", "c"), ("c", "a")], "src string, dst string")
+    start = spark.createDataFrame([("a",), ("z",)], "id string")
+    got = {(r["id"], r["node"]): r["steps"] for r in graph.distances(edges, start, 9).collect()}
+    assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "c"): 2, ("z", "z"): 0}
