@@ -112,23 +112,33 @@ def retrieval_fields(scored: DataFrame, mode: str = "ranked") -> DataFrame:
     }).withColumn("mode", F.lit(mode))
 
 
+def mean(c: str, when: Column | None = None) -> Column:
+    """Mean of fractions below 100, whatever the order of the rows.
+
+    Doubles summed in another order differ in their last digit, which decides how a mean that lies half-way between two
+    roundings is rounded. Sums of decimals are exact; what a double lacks of a fraction such as 1/3 is below the 15th digit.
+    """
+    x = F.col(c) if when is None else F.when(when, F.col(c))
+    return F.round(F.avg(x.cast("decimal(20,18)")), 15).cast("double")
+
+
 def retrieval_columns(mode: str) -> list[Column]:
     """Aggregates of ``retrieval_fields`` rows of one mode: common, of the mode, and optional ones over the rows that have them (null without any)."""
-    mean = lambda c, when=None: F.avg((F.col(c) if when is None else F.when(when, F.col(c))).cast("double"))
+    truth = lambda c, when=None: F.avg((F.col(c) if when is None else F.when(when, F.col(c))).cast("double"))
     common = [
-        F.count(F.lit(1)).alias("n"), mean("reported_items").alias("avg_reported"), mean("attributed").alias("avg_attributed"), mean("available").alias("attribution_coverage"),
+        F.count(F.lit(1)).alias("n"), truth("reported_items").alias("avg_reported"), truth("attributed").alias("avg_attributed"), truth("available").alias("attribution_coverage"),
         ratio(F.sum("n_invalid"), F.sum("attributed")).alias("invalid_rate"), ratio(F.sum("n_duplicate"), F.sum("attributed")).alias("duplicate_rate"),
         F.sum(F.col("n_wrong_user").cast("long")).alias("n_wrong_user"), F.sum(F.col("n_after_cutoff").cast("long")).alias("n_after_cutoff"),
-        mean("recall").alias("recall_macro"), ratio(F.sum("h"), F.sum("g")).alias("recall_micro"), mean("full").alias("full_rate"), mean("joint_hit").alias("joint_hit_rate"),
-        mean("component_hit").alias("component_hit"), mean("component_complete").alias("component_complete"), mean("complete_chain").alias("complete_chain_rate"), mean("temporal_recall").alias("temporal_recall"),
+        mean("recall").alias("recall_macro"), ratio(F.sum("h"), F.sum("g")).alias("recall_micro"), truth("full").alias("full_rate"), truth("joint_hit").alias("joint_hit_rate"),
+        mean("component_hit").alias("component_hit"), mean("component_complete").alias("component_complete"), truth("complete_chain").alias("complete_chain_rate"), mean("temporal_recall").alias("temporal_recall"),
     ]
     if mode == "context":
         return [*common, mean("exposure").alias("exposure")]
-    when_hit, when_miss = mean("correct", F.col("hit")), mean("correct", ~F.col("hit"))
+    when_hit, when_miss = truth("correct", F.col("hit")), truth("correct", ~F.col("hit"))
     return [
-        *common, *(mean(c).alias(c) for c in ("coverage_eff", "precision", "mrr", "ndcg", "graded_ndcg", "intrusion", "discrimination")), mean("hit").alias("hit_rate"), mean("joint_full").alias("joint_full_rate"),
+        *common, *(mean(c).alias(c) for c in ("coverage_eff", "precision", "mrr", "ndcg", "graded_ndcg", "intrusion", "discrimination")), truth("hit").alias("hit_rate"), truth("joint_full").alias("joint_full_rate"),
         mean("recall", F.col("available")).alias("recall_attributed"), when_hit.alias("accuracy_hit"), when_miss.alias("accuracy_miss"), (when_hit - when_miss).alias("utility_gap"),
-        mean("probe_intrusion").alias("probe_intrusion_rate"), mean("clean_hit").alias("clean_hit_rate"), mean("clean_grounded").alias("clean_grounded_rate"),
+        truth("probe_intrusion").alias("probe_intrusion_rate"), truth("clean_hit").alias("clean_hit_rate"), truth("clean_grounded").alias("clean_grounded_rate"),
     ]
 
 
