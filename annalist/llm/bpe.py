@@ -72,10 +72,12 @@ class MergeReplay:
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.merged = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1)
+        self.of_bytes = self.rank(np.repeat(self.single, 256), np.tile(self.single, 256)).reshape(256, 256)
+        self.narrow = np.uint16 if self.none < 1 << 16 else np.int64  # ranks sort faster in 16 bits
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair makes, or -1."""
-        key = a * (self.none + 1) + b
+        key = a.astype(np.int64, copy=False) * (self.none + 1) + b
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
@@ -101,10 +103,13 @@ class MergeReplay:
             return []
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n, stops = int(lens.sum()), np.cumsum(lens)
-        ids = np.append(self.single[np.frombuffer(b"".join(pieces), np.uint8)], self.none)  # position n stands beside every end
-        owner = np.repeat(np.arange(len(pieces)), lens)
-        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
-        nxt[stops - 1], prv[stops - lens] = n, n
+        held = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.append(self.single[held], self.none).astype(np.int32)  # position n stands beside every end
+        nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        nxt[stops - 1], prv[stops - lens], nxt[n] = n, n, n
+        # The rank that each position makes with the next one, or -1: tells which entries of the index still stand.
+        pair = np.append(self.of_bytes[held[:-1], held[1:]], [-1, -1]).astype(np.int32)
+        pair[stops - 1] = -1
         dead = self.none
         slow: dict[int, list[int]] = {}
         # The inverted index: for each rank, the left positions of the pairs that make it.
@@ -112,56 +117,58 @@ class MergeReplay:
         order: list[int] = []
 
         def put(at: np.ndarray, rank: np.ndarray) -> None:
-            at, rank = at[rank >= 0], rank[rank >= 0]
-            if not len(at):
+            some = np.flatnonzero(rank >= 0)
+            if not len(some):
                 return
-            by = np.argsort(rank, kind="stable")
+            at, rank = at[some].astype(np.int32, copy=False), rank[some]
+            by = np.argsort(rank.astype(self.narrow), kind="stable")
             at, rank = at[by], rank[by]
             cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            for r, a, b in zip(rank[np.append(0, cuts)].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+            starts = [0, *cuts.tolist()]
+            for r, a, b in zip(rank[starts].tolist(), starts, [*starts[1:], len(at)]):
                 if r not in index:
                     index[r] = []
                     heapq.heappush(order, r)
                 index[r].append(at[a:b])
 
-        put(np.arange(n), self.rank(ids[:n], ids[nxt[:n]]))
+        put(np.arange(n), pair[:n])
         while order:
             rank = heapq.heappop(order)
-            at = np.unique(np.concatenate(index.pop(rank)))
-            at = at[self.rank(ids[at], ids[nxt[at]]) == rank]  # the others have lost a neighbour since
-            if not len(at):
+            found = index.pop(rank)
+            at = found[0] if len(found) == 1 else np.concatenate(found)
+            at = np.sort(at[pair[at] == rank])  # the others have lost a neighbour since
+            if len(at) > 1:
+                at = at[np.append(True, at[1:] != at[:-1])]
+            elif not len(at):
                 continue
             after = nxt[at]
-            if len(at) > 1 and (after[:-1] == at[1:]).any():  # runs such as aaa: leftmost first, each position once
-                free, last = np.ones(len(at), bool), -1
-                for i, (x, y) in enumerate(zip(at.tolist(), after.tolist())):
-                    free[i] = x != last
-                    last = y if free[i] else last
-                at, after = at[free], after[free]
-            made = np.full(len(at), rank)
-            far = nxt[after]
-            lower = np.zeros(len(at), bool)
-            for r in (self.rank(ids[prv[at]], made), self.rank(made, ids[far]), self.rank(made, made)):
-                lower |= (r >= 0) & (r < rank)
-            if lower.any():  # a merge that makes a pair of lower rank changes the order in its piece: such pieces go step by step
-                for w in np.unique(owner[at[lower]]).tolist():
-                    slow[w] = merge_word(self.single[np.frombuffer(pieces[w], np.uint8)].tolist(), self.one)
-                    ids[stops[w] - lens[w] : stops[w]] = dead
-                at = at[~np.isin(owner[at], list(slow))]
+            touch = after[:-1] == at[1:]
+            if touch.any():  # runs such as aaa: leftmost first, each position once, so every other one of a run
+                i = np.arange(len(at))
+                at = at[(i - np.maximum.accumulate(np.where(np.append(False, touch), 0, i))) % 2 == 0]
                 after = nxt[at]
-                far = nxt[after]
-                made = made[: len(at)]
-            ids[at], ids[after] = rank, dead
-            nxt[at] = far
-            prv[far] = at
-            before = prv[at]
-            put(np.append(before, at), np.append(self.rank(ids[before], made), self.rank(made, ids[far])))
+            far, before = nxt[after], prv[at]
+            near = np.flatnonzero(far[:-1] == at[1:])  # a merge right behind another: for a moment its first half has the other's token beside it
+            between = self.rank(np.full(len(near), rank), ids[far[near]]) if len(near) else near
+            ids[at], ids[after], pair[after] = rank, dead, -1
+            nxt[at], prv[far] = far, at
+            left = np.concatenate([before, at])
+            made = self.rank(ids[left], ids[nxt[left]])
+            lower = [left[(made >= 0) & (made < rank)], at[near[(between >= 0) & (between < rank)]]]
+            if len(lower[0]) or len(lower[1]):  # a merge that makes a pair of lower rank changes the order in its piece: such pieces go step by step
+                for w in np.unique(np.searchsorted(stops, np.concatenate(lower), side="right")).tolist():
+                    slow[w] = merge_word(self.single[np.frombuffer(pieces[w], np.uint8)].tolist(), self.one)
+                    own = slice(stops[w] - lens[w], stops[w])
+                    ids[own], pair[own] = dead, -1
+                    made[(left >= own.start) & (left < own.stop)] = -1
+            pair[left] = made
+            put(left, made)
         alive = ids[:n] != dead
-        flat = ids[:n][alive].astype(np.int32).tobytes()
-        ends = (4 * np.cumsum(np.bincount(owner[alive], minlength=len(pieces)))).tolist()
+        flat = ids[:n][alive].tobytes()
+        ends = (4 * np.append(0, np.cumsum(alive))[stops]).tolist()
         out = [flat[a:b] for a, b in zip([0, *ends], ends)]
-        for w, found in slow.items():
-            out[w] = np.array(found, np.int32).tobytes()
+        for w, own in slow.items():
+            out[w] = np.array(own, np.int32).tobytes()
         return out
 
 
@@ -180,8 +187,7 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-            new = list(pieces)
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
         self.known.update(zip(new, self.replay.encode([p.encode() for p in new])))
 
     def join(self, pieces: list[str]) -> bytes:
@@ -201,17 +207,31 @@ class Encoder:
         Where single blanks between other characters are the only blanks, no piece crosses them, and a blank with the
         word behind it is looked up as one. A text with other runs of white space is split whole.
         """
-        plain = {i: t.split(" ") for i, t in enumerate(texts) if is_plain(t)}
-        new = set().union(*plain.values()).difference(self.words)
+        plain = [is_plain(t) for t in texts]
+        words, starts = set(), set()
+        for t in (t for t, p in zip(texts, plain) if p):
+            own = t.split(" ")
+            starts.add(own[0])
+            words.update(own[1:])
+        new = list(words.difference(self.words))
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = set().union(*plain.values())
-        split = {w: self.split.findall(" " + w) for w in new}
-        first = {i: self.split.findall(p[0]) for i, p in plain.items()}
-        self.learn(set().union(*split.values(), *first.values()))
-        self.words.update((w, self.join(p)) for w, p in split.items())
-        done = {i: np.frombuffer(self.join(first[i]) + b"".join(map(self.words.__getitem__, p[1:])), dtype=np.int32) for i, p in plain.items()}
-        return [done[i] if i in done else self.long(t) for i, t in enumerate(texts)]
+            self.words = {w: self.words[w] for w in words if w in self.words}
+        first = {w: self.split.findall(w) for w in starts}
+        simple = [w for w in new if w.isascii() and w.isalpha()]  # one piece with the blank before it
+        mixed = [w for w in new if not (w.isascii() and w.isalpha())]
+        parts = [self.split.findall(" " + w) for w in mixed]
+        self.learn(set().union(*first.values(), *parts, (" " + w for w in simple)))
+        self.words.update(zip(mixed, map(self.join, parts)))
+        self.words.update((w, self.known[" " + w]) for w in simple)
+        begin = {w: self.join(p) for w, p in first.items()}
+        done = []
+        for t, p in zip(texts, plain):
+            if p:
+                own = t.split(" ")
+                done.append(np.frombuffer(b"".join([begin[own[0]], *map(self.words.__getitem__, own[1:])]), dtype=np.int32))
+            else:
+                done.append(self.long(t))
+        return done
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -236,7 +256,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe", encoder.cache_clear)
         own = encoder(ranks_path, pattern)
-        for block in blocks(batches, limit=3 << 20):
+        for block in blocks(batches):
             ids = own.encode([t or "" for t in column(block, "text").to_pylist()])
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())

@@ -48,3 +48,30 @@ def test_rows(odd, none, odd_rows, library):
         want.append((i is None, i or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.digest(none, PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_full_caches_keep_what_a_block_reads(monkeypatch):
+    """Words that a block shares with the one before are not replayed again when the caches are full."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 60)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 60)
+    encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    asked, real = [], encoder.replay.encode
+    monkeypatch.setattr(encoder.replay, "encode", lambda pieces: asked.extend(pieces) or real(pieces))
+    same, first, second = (" ".join(f"{c}{chr(97 + i)}qxz" for i in range(20)) for c in "klm")
+    known = [x.tolist() for x in encoder.encode([f"a {same} {first}."])]
+    asked.clear()
+    again = encoder.encode([f"b {same} {second}, {second}!", f"a {same} {first}."])
+    assert len(encoder.words) <= 80 and again[1].tolist() == known[0]
+    assert not {b" " + w.encode() for w in same.split(" ")} & set(asked)
+
+
+def test_runs_of_merges_beside_each_other():
+    """Any rank table over two letters: a merge right behind another, and runs of one letter."""
+    rng = random.Random(4)
+    for _ in range(60):
+        tokens = {"".join(rng.choice("ab") for _ in range(rng.randint(2, 5))).encode() for _ in range(8)}
+        ranks = {b"a": 100, b"b": 101} | dict(zip(sorted(tokens), rng.sample(range(90), len(tokens))))
+        replay = bpe.MergeReplay(ranks)
+        pieces = ["".join(rng.choice("aab") for _ in range(rng.randint(1, 24))).encode() for _ in range(30)]
+        for piece, ids in zip(pieces, replay._replay(pieces)):
+            assert list(memoryview(ids).cast("i")) == bpe.merge_word([ranks[bytes([b])] for b in piece], replay.one), (ranks, piece)
