@@ -52,6 +52,29 @@ def test_segments_of_long_texts(spark, monkeypatch):
     assert sorted(starts) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 39)]
 
 
+def test_kept_texts_and_spans(spark):
+    shared = "zwölf Boxkämpfer jagen Viktor über den Deich, "
+    rows = [(1, "ä" + shared + "eins"), (2, "zwei " + shared), (3, "short"), (4, None), (5, shared), (6, shared)]
+    df = spark.createDataFrame(rows, "item long, body string").repartition(3)
+    got = {r["doc_id"]: r for r in D.cut_repeats(df, 40, 12, id_col="item", text_col="body").collect()}
+    n = len(shared.encode())
+    assert {i: [(x["a"], x["b"]) for x in r["spans"]] for i, r in got.items()} == {1: [(2, 2 + n)], 2: [(5, 5 + n)], 3: [], 4: [], 5: [(0, n)], 6: [(0, n)]}
+    assert {i: bytes(r["kept"]) for i, r in got.items()} == {1: "äeins".encode(), 2: b"zwei ", 3: b"short", 4: b"", 5: b"", 6: b""}
+
+
+def test_passages_of_just_under_and_of_the_length(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    passage = filler(80)
+    under, just = passage[:399], passage[:400]
+    rows = [(1, f"{filler(90)}A{under}B{filler(5)}"), (2, f"C{under}D{filler(70)}"), (3, filler(60) + "E" + just + "F"), (4, "G" + just + "H" + filler(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(under.split()) > 50
+    assert [r[2] for r in got(df, 400, 100)] == [0, 0, 400, 400]
+    assert got(df, 400, 100) == brute(rows, 400)
+
+
 def test_odd_rows(odd, none, odd_rows):
     assert got(odd, 400, 100) == brute([r[:2] for r in odd_rows], 400)
     assert D.remove_repeats(none).collect() == []
