@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters whose full upper case is several letters but that have one, and that one: sharp s and Greek letters with a subscript.
+MANY = "ß" + "".join(chr(c) for lo in (0x1F80, 0x1F90, 0x1FA0) for c in range(lo, lo + 8)) + "ᾳῃῳ"
+ONE = "ẞ" + "".join(chr(c) for lo in (0x1F88, 0x1F98, 0x1FA8) for c in range(lo, lo + 8)) + "ᾼῌῼ"
+
 
 def token_count(text: Column) -> Column:
     """A third of the characters, rounded down: the default stand-in for a tokenizer."""
@@ -114,8 +118,8 @@ def json_lenient(text: Column) -> Column:
     body = F.regexp_replace(text, "```(?:json)?", "")
     from_brace = F.when(F.locate("{", body) > 0, F.substring(body, F.locate("{", body), F.length(body)))
     whole = F.regexp_extract(from_brace, r"(?s)^(\{.*\})", 1)
-    fixed = F.when(whole != "", whole).otherwise(F.concat(F.rtrim(from_brace), F.lit("}")))
-    return F.when(F.try_parse_json(fixed).isNotNull(), fixed)
+    fixed = F.concat(F.rtrim(from_brace), F.lit("}"))
+    return F.when(F.try_parse_json(whole).isNotNull(), whole).when(F.try_parse_json(fixed).isNotNull(), fixed)
 
 
 def first_object(text: Column) -> Column:
@@ -132,6 +136,12 @@ def parse_choice_current(reply: Column, valid: Column, strict: bool = False) ->
     return F.when(fits & (F.size(F.json_object_keys(obj)) == 1) if strict else fits, said)
 
 
+def upper_letter(letter: Column) -> Column:
+    """One letter in upper case as one letter, as DuckDB has it; where full mapping gives several (SS), the single one, or the letter as it is."""
+    full = F.upper(letter)
+    return F.when(F.length(full) <= 1, full).otherwise(F.translate(letter, MANY, ONE))
+
+
 def sentences(text: Column) -> Column:
     """Parts that end behind a stop followed by white space; empty parts go."""
     return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")

@@ -19,7 +19,7 @@ def replies(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumn("prose", F.translate("text", "{}", "()"))
     more = F.contains("text", F.lit("\n"))
     key = F.when(F.length("text") % 3 == 1, "choice_id").otherwise("decision")
-    obj = F.concat(F.lit('{"'), key, F.lit('": "'), F.upper(F.substring("text", 1, 1)), F.lit('"'), F.when(more, F.concat(F.lit(', "chars": '), F.length("text"))).otherwise(""))
+    obj = F.concat(F.lit('{"'), key, F.lit('": "'), texts.upper_letter(F.substring("text", 1, 1)), F.lit('"'), F.when(more, F.concat(F.lit(', "chars": '), F.length("text"))).otherwise(""))
     return docs.select("doc_id", "prose", "text", F.concat(obj, F.when(F.length("text") % 3 == 0, "").otherwise("}")).alias("obj"))
 
 
