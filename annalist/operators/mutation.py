@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from annalist.operators.ordered import previous
 
 
-def upsert(store: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Rows of the batch replace or join those of the store; columns that a side lacks are null."""
-    return store.join(batch.select(key), key, "left_anti").unionByName(batch, allowMissingColumns=True)
+def upsert(store: DataFrame, batch: DataFrame, *key: str) -> DataFrame:
+    """Rows of the batch replace those of the store with their key (one column or several) or join them; columns that a side lacks are null."""
+    return store.join(batch.select(*key), [*key], "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
 def update(store: DataFrame, changes: DataFrame, key: str, *columns: str) -> DataFrame:

@@ -23,3 +23,9 @@ def test_letters_of_several_and_braces(spark, tmp_path):
     values = ", ".join(f"({i}, '" + t.replace("'", "''") + "')" for i, t in enumerate(texts))
     got, want = like_sql(spark, tmp_path, "parse_json_lenient", documents=f"SELECT * FROM (VALUES {values}) t(doc_id, text)")
     assert len(want) == 10 and got == want
+
+
+def test_added_rows_replace_none(spark, tmp_path):
+    part = "SELECT i::BIGINT AS p_partkey, 'n' || i AS p_name, (i % 7)::INTEGER AS p_size FROM (SELECT unnest([3, 5, 13, 105, 1000003, 1000005, 1000105, 1000106]) AS i)"
+    got, want = like_sql(spark, tmp_path, "upsert_vectors", part=part)
+    assert len(want) == 12 and got == want
