@@ -29,3 +29,30 @@ def test_added_rows_replace_none(spark, tmp_path):
     part = "SELECT i::BIGINT AS p_partkey, 'n' || i AS p_name, (i % 7)::INTEGER AS p_size FROM (SELECT unnest([3, 5, 13, 105, 1000003, 1000005, 1000105, 1000106]) AS i)"
     got, want = like_sql(spark, tmp_path, "upsert_vectors", part=part)
     assert len(want) == 12 and got == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topk_by_blocks_in_place(spark, monkeypatch):
+    import numpy as np
+
+    from annalist.operators import pairing, vectors
+
+    monkeypatch.setattr(pairing, "FEW_BLOCK", 8)
+    monkeypatch.setattr(pairing, "FEW_HELD", 20)
+    monkeypatch.setattr(pairing.met, "__defaults__", (None, False, 16))
+    x = np.random.default_rng(5).normal(size=(90, 6)).round(1)
+    x[60:] = x[:30]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, 9)
+    for later in (False, True):
+        found = vectors.topk(rows, rows, 3, "i", "i", "v", 0.2, exclude_self=True, not_later=later)
+        assert "CartesianProduct" in plan(found)
+        want = []
+        for a in range(90):
+            fits = [b for b in range(90) if b != a and sim[a, b] >= 0.2 and (b < a or not later)]
+            want += [(a, b, n) for n, b in enumerate(sorted(fits, key=lambda b: (-sim[a, b], b))[:3], 1)]
+        assert sorted((r["query"], r["memory"], r["rank"]) for r in found.collect()) == want
