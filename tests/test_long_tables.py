@@ -56,3 +56,27 @@ def test_topk_by_blocks_in_place(spark, monkeypatch):
             fits = [b for b in range(90) if b != a and sim[a, b] >= 0.2 and (b < a or not later)]
             want += [(a, b, n) for n, b in enumerate(sorted(fits, key=lambda b: (-sim[a, b], b))[:3], 1)]
         assert sorted((r["query"], r["memory"], r["rank"]) for r in found.collect()) == want
+
+
+def test_bm25_leaves_words_where_they_are(spark, monkeypatch):
+    import random
+
+    from annalist.operators import pairing, text
+
+    monkeypatch.setattr(text, "CELLS", 40)
+    monkeypatch.setattr(pairing, "FEW_BLOCK", 3)
+    monkeypatch.setattr(pairing, "FEW_HELD", 5)
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choice(["the", "the", "of", "aa", "bb", "cc", "dd", f"w{rng.randrange(40)}"]) for _ in range(n))
+    docs = [(i, said(rng.choice([0, 1, 2, 2, 9]))) for i in range(150)]
+    docs += [(150 + i, docs[i % 20][1]) for i in range(100)]
+    asked = [(i, said(6)) for i in range(12)] + [(12, "zz")]
+    found = text.bm25(spark.createDataFrame(asked, "i long, t string"), spark.createDataFrame(docs, "d long, t string").repartition(3), 4, "i", "t", "d", "t")
+    assert "CartesianProduct" in plan(found) and "hashpartitioning(term" not in plan(found)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", asked)
+    want = con.execute(catalog.ORACLE_SQL["bm25_okapi"].replace("rank <= 5", "rank <= 4")).fetchall()
+    assert sorted((r["query"], r["doc"], round(r["score"], 3), r["rank"]) for r in found.collect()) == sorted(want)
