@@ -80,3 +80,16 @@ def test_bm25_leaves_words_where_they_are(spark, monkeypatch):
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", asked)
     want = con.execute(catalog.ORACLE_SQL["bm25_okapi"].replace("rank <= 5", "rank <= 4")).fetchall()
     assert sorted((r["query"], r["doc"], round(r["score"], 3), r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_searches_deal_out_no_texts(spark, tmp_path):
+    docs = "SELECT i::BIGINT AS doc_id, 'the ab' || (i % 7) || ' cd' || (i % 5) || ' ' || repeat('long ', (i % 9)::INTEGER) AS text FROM range(60) t(i)"
+    items = "SELECT i::BIGINT AS item_id, 'the ab' || i || ' cd' || i || ' long' AS text FROM range(6) t(i)"
+    vectors = "SELECT i::BIGINT AS vec_id, [sin(i), cos(i * 3), sin(i * i)]::FLOAT[] AS embedding, (i % 4)::INTEGER AS label FROM range(60) t(i)"
+    for name in ("hybrid_rank", "bm25_tfidf_rerank", "milvus_hybrid", "hybrid_alpha", "search_pipeline"):
+        at = tmp_path / name
+        at.mkdir()
+        got, want = like_sql(spark, at, name, documents=docs, benchmark=items, embeddings=vectors)
+        assert want and got == want
+        steps = plan(catalog.QUERIES[name](spark, str(at))).split("\n")
+        assert not any("hashpartitioning(doc_id" in line and "text" in line for line in steps) and not any("hashpartitioning(term" in line and "len" in line for line in steps)
