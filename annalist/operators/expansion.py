@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.operators import overlap, pairing
 from annalist.operators.dedup import numbered
+from annalist.operators.pairing import inside
 
 
 def linked(found: DataFrame, notes: DataFrame, k: int) -> DataFrame:
@@ -50,15 +56,32 @@ def merged_extracts(a: Column, b: Column) -> Column:
 def key_or_tags(asked: DataFrame, rows: DataFrame, least: int = 2) -> DataFrame:
     """query, id, by_key and n_shared of the rows whose key a query names or that share ``least`` different tags with it.
 
-    ``asked``: query, keys, tags (arrays); ``rows``: id, key, tags. Both paths are equi joins on exploded values, so no
-    query meets a row with which it shares nothing. Nulls and repeated tags count for nothing.
+    ``asked``: query, keys, tags (arrays); ``rows``: id, key, tags. Blocks of queries meet blocks of rows as these lie and
+    count what they share, so that only what comes out is a row, and a hot tag is no group. Nulls and repeated tags count
+    for nothing.
     """
-    tags = lambda df, name: df.select(name, F.explode(F.array_distinct("tags")).alias("tag")).filter("tag IS NOT NULL")
-    keys = asked.select("query", F.explode(F.array_distinct("keys")).alias("_key")).join(rows.select("id", "key"), F.col("_key") == F.col("key"))
-    shared = tags(asked, "query").join(tags(rows, "id"), "tag").groupBy("query", "id").agg(F.count_distinct("tag").alias("n_shared"))
-    both = keys.select("query", "id", F.lit(True).alias("named"), F.lit(0).cast("long").alias("n_shared")).unionByName(shared.withColumn("named", F.lit(False)))
-    found = both.groupBy("query", "id").agg(F.max("named").alias("by_key"), F.max("n_shared").alias("n_shared"))
-    return found.filter(F.col("by_key") | (F.col("n_shared") >= least))
+    own = asked.select("query", "keys", F.array_distinct("tags").alias("tags"))
+    other = rows.select("id", "key", F.array_distinct("tags").alias("own_tags"))
+    kinds = dict(own.dtypes)["query"], dict(other.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                number = batch.column("block")[row].as_py()
+                if number not in held:
+                    held[number] = inside(batch, "query", row), overlap.Tags(inside(batch, "keys", row)), overlap.Tags(inside(batch, "tags", row))
+                queries, keys, tags = held[number]
+                ids, named, sets = (inside(batch, c, row) for c in ("id", "key", "own_tags"))
+                for lo in range(0, len(ids), overlap.ROWS):
+                    some = ids.slice(lo, overlap.ROWS)
+                    key = named.slice(lo, overlap.ROWS)
+                    shared = tags.common(sets.slice(lo, overlap.ROWS))
+                    by_key = keys.common(pa.ListArray.from_arrays(pa.array(range(len(key) + 1), pa.int32()), key)) > 0
+                    at, to = np.nonzero(by_key | (shared >= least))
+                    yield pa.RecordBatch.from_arrays([queries.take(pa.array(at)), some.take(pa.array(to)), pa.array(by_key[at, to]), pa.array(shared[at, to], pa.int64())], ["query", "id", "by_key", "n_shared"])
+
+    return pairing.met(own, other).mapInArrow(run, f"query {kinds[0]}, id {kinds[1]}, by_key boolean, n_shared long")
 
 
 def passages(df: DataFrame, id_col: str, size: int = 100) -> DataFrame:

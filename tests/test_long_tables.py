@@ -114,3 +114,23 @@ def test_most_tags_by_subsets_and_blocks(spark, monkeypatch, most):
         want += [(a, b, -n) for n, b in near[:5]]
     found = vectors.overlap_topk(rows.filter("o % 4 = 0"), rows, "o", "tag", 5, 2)
     assert sorted(tuple(r) for r in found.select("a", "b", "n").collect()) == sorted(want)
+
+
+def test_shared_tags_make_no_groups(spark):
+    import random
+
+    from annalist.operators import expansion
+
+    sets = sharing(random.Random(1), range(120), 9, 12)
+    rows = spark.createDataFrame([(i, f"k{i}" if i % 9 else None, [*map(str, s), None, *map(str, s)]) for i, s in sets.items()], "id long, key string, tags array<string>").repartition(3)
+    asked = rows.filter("id % 5 = 0").selectExpr("id AS query", "array(key, concat('k', id + 1), 'k7', 'k7') AS keys", "tags")
+    found = expansion.key_or_tags(asked, rows)
+    assert "hashpartitioning(tag" not in plan(found)
+    want = []
+    for a in range(0, 120, 5):
+        keys = {f"k{a}" if a % 9 else None, f"k{a + 1}", "k7"} - {None}
+        for b in sets:
+            named = b % 9 != 0 and f"k{b}" in keys
+            if named or len(sets[a] & sets[b]) >= 2:
+                want.append((a, b, named, len(sets[a] & sets[b])))
+    assert sorted(tuple(r) for r in found.select("query", "id", "by_key", "n_shared").collect()) == sorted(want)
