@@ -134,3 +134,29 @@ def test_shared_tags_make_no_groups(spark):
             if named or len(sets[a] & sets[b]) >= 2:
                 want.append((a, b, named, len(sets[a] & sets[b])))
     assert sorted(tuple(r) for r in found.select("query", "id", "by_key", "n_shared").collect()) == sorted(want)
+
+
+def test_walk_keeps_no_copy_of_its_last_round(spark, monkeypatch):
+    import random
+
+    from annalist.operators import graph
+
+    made = []
+    monkeypatch.setattr(graph, "MOST_BITS", 64)
+    monkeypatch.setattr(graph, "pinned", lambda df: made.append(df) or df.localCheckpoint())
+    rng = random.Random(3)
+    links = [(rng.randrange(80), rng.randrange(80)) for _ in range(110)] * 2 + [(0, x) for x in range(40)]
+    edges = spark.createDataFrame(links, "src long, dst long").repartition(3)
+    start = spark.createDataFrame([(x,) for x in (0, 1, 2, 2, 500)], "id long")
+    for directed in (True, False):
+        both = set(links) | (set() if directed else {(b, a) for a, b in links})
+        want = set()
+        for s in (0, 1, 2, 500):
+            steps, front = {s: 0}, {s}
+            for d in (1, 2, 3):
+                front = {b for a, b in both if a in front} - set(steps)
+                steps |= dict.fromkeys(front, d)
+            want |= {(s, *x) for x in steps.items()}
+        got = [tuple(r) for r in graph.distances(edges, start, 3, directed).select("id", "node", "steps").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(made) == 4
