@@ -160,3 +160,36 @@ def test_walk_keeps_no_copy_of_its_last_round(spark, monkeypatch):
         got = [tuple(r) for r in graph.distances(edges, start, 3, directed).select("id", "node", "steps").collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert len(made) == 4
+
+
+def test_similar_documents_by_blocks(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from annalist.operators import similar, text
+
+    for name, n in (("COMMON", 6), ("GROUPS", 4), ("BLOCK", 40), ("SLICE", 16), ("TERMS", 30), ("PRODUCTS", 50)):
+        monkeypatch.setattr(similar, name, n)
+    rng = random.Random(7)
+    said = [[rng.choice(["the", "of", "and", f"w{rng.randrange(12)}", f"v{rng.randrange(300)}"]) for _ in range(rng.choice([1, 3, 8, 30]))] for _ in range(150)]
+    said += [[w for w in said[i] if rng.random() < 0.9] + ["aa"] for i in range(60)] + [[]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(said)], "d long, t string").repartition(4)
+    among = docs.filter("d % 10 <> 3")
+    df = Counter(w for s in said for w in set(s))
+    unit = []
+    for s in said:
+        w = {x: n * (math.log((1 + len(said)) / (1 + df[x])) + 1) for x, n in Counter(s).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        unit.append({x: v / norm for x, v in w.items()})
+    cos, sets = [], []
+    for b in range(len(said)):
+        for a in range(b):
+            if a % 10 != 3 and b % 10 != 3 and round(sum(v * unit[b].get(x, 0) for x, v in unit[a].items()), 6) >= 0.75:
+                cos.append((a, b))
+            if said[a] and said[b] and 100 * len(set(said[a]) & set(said[b])) >= 60 * len(set(said[a]) | set(said[b])):
+                sets.append((a, b))
+    found = text.tfidf_pairs(docs, "d", "t", 0.75, among)
+    assert "hashpartitioning(term" not in plan(found) and "hashpartitioning(a" not in plan(found)
+    assert cos and sorted(tuple(r) for r in found.collect()) == sorted(cos)
+    assert sets and sorted(tuple(r) for r in text.jaccard_pairs(docs, "d", "t", 60).collect()) == sorted(sets)
